@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_path
+from .decontaminate import benchmark_overlaps
+from .mixing import score_texts
+from .near_duplicates import near_duplicates
 from .packing import pack_documents
+from .pages import extract_pages
+from .quality import quality_filter
 from .rans import read_ids, write_ids
+from .secrets import find_secrets, joined
 from .sharding import shard_by_bytes
+from .toxicity import score_toxicity
 
 
 def tokenizer_path() -> str:
@@ -19,6 +26,45 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remainder(divisor: int) -> F.Column:
+    """crc32(doc_id as text) mod divisor."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        n("assign").alias("n_assign"),
+        n("access").alias("n_access"),
+        n("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        n("novel").alias("n_novel"),
+    )
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps found: a row for each document and item; documents without any have no row."""
+    found = benchmark_overlaps(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_filter(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -28,14 +74,27 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
     write_ids(documents(spark, sf_dir), path, tokenizer_path())
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), remainder(7) != 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pack, op6_shard, op9_ids)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_duplicates, op4_quality, op5_pack, op6_shard, op7_toxicity, op8_pages, op9_ids, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
