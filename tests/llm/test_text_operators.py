@@ -377,8 +377,29 @@ def test_mixing(spark, data, small):
         want = sum(math.log10((seen[w] + 1) / (total + distinct + 1)) for w in t)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (fold(doc, 7) == 2, len(t), sum(seen[w] > 0 for w in t), total)
         assert math.isclose(r["base_score"], want, rel_tol=1e-9) and r["score"] < 0
+    size = {doc: len((text or "").encode()) + 1 for doc, text, *_ in small("documents")}
     held = [r for r in found.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 1.35
+    assert -sum(r["score"] for r in held) / math.log10(2) < 3 * sum(size[r["doc_id"]] for r in held)
+
+
+def test_mixing_is_a_probability():
+    """The bits of all symbols at a place share out all of the probability, and company in a batch changes nothing."""
+    from chainsift.llm.mixing import BYTE_TABLES, END, ESCAPE, TOKEN_TABLES, Codes, Model, Settings
+
+    rng = np.random.default_rng(1)
+    s = Settings(bits=8, spell_bits=8, block=3)
+    words = [b"a", b"bb", b"ccc", b"d"]
+    codes = Codes([END, ESCAPE, *words], [5, 2, 9, 4, 3, 1])
+    model = Model(codes, rng.integers(0, 60, (TOKEN_TABLES, 256, 2)).astype(np.float32), rng.integers(0, 60, (BYTE_TABLES, 256, 2)).astype(np.float32), s)
+    start = [words[k] for k in rng.integers(0, 4, 11)]
+    whole = model.score([start + [w] for w in [END, *words]] + [start])
+    escape = 1 - sum(math.exp(x - whole[-1]) for x in whole[:-1])
+    assert 0 < escape < 1
+    # one more byte or the end of an unknown word: the parts make up the whole
+    spell = model.spell([b"z" + bytes([b]) for b in range(256) if b != 10] + [b"z"])
+    assert math.isclose(model.score([start + [b"zz"]])[0], whole[-1] + math.log(escape) + spell[b"zz"], rel_tol=1e-3)
+    alone = [model.score([t])[0] for t in ([END], start, [b"x", b"bb", END])]
+    assert np.allclose(model.score([[END], start, [b"x", b"bb", END]]), alone, rtol=1e-5) and np.allclose(model.score([[END], start, [b"x", b"bb", END]], most=1), alone, rtol=1e-5)
 
 
 def test_mixing_odd(spark, odd, nothing):
