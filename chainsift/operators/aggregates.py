@@ -65,7 +65,7 @@ def scenario_profile(entries: DataFrame, telemetry: DataFrame, tx: DataFrame) ->
         F.sum("fee").alias("fee_sat"),
         F.count_distinct("relay_ip").alias("ips"),
         F.count_distinct("asn").alias("asns"),
-        F.round(F.avg(seconds_between(F.col("ts"), F.col("relay_ts"))), 6).alias("delay_s"),
+        F.round(F.avg(seconds_between(F.col("ts"), F.col("relay_ts"))), 9).alias("delay_s"),
         F.round(100 * F.avg(suspicious(F.col("node_type")).cast("double")), 6).alias("infra_risk_pct"),
     )
     return money.join(infra, "scenario", "left")

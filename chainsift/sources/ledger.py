@@ -99,7 +99,7 @@ def explode_ledger(ledger: DataFrame) -> DataFrame:
 
 
 #: The same tables as DuckDB CTEs, for oracles.
-DUCK = """WITH entry0 AS (
+DUCK = """WITH RECURSIVE entry0 AS (
   SELECT o_orderkey AS txid, o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS ts, o_custkey AS scenario,
     CASE WHEN l_linenumber <= 3 THEN 'in' ELSE 'out' END AS side,
     CASE WHEN l_linenumber <= 3 THEN 'c' || o_custkey || '_' || l_linenumber
@@ -119,5 +119,11 @@ labels0 AS (SELECT c_custkey AS scenario, CASE c_mktsegment WHEN 'AUTOMOBILE' TH
     CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM customer),
 label AS (SELECT *, CAST(pattern_type <> 'normal' AS INT) AS is_illicit FROM labels0),
 sums AS (SELECT txid, any_value(ts) AS ts, any_value(scenario) AS scenario, CAST(sum(sat) FILTER (side = 'in') AS BIGINT) AS in_sat, CAST(sum(sat) FILTER (side = 'out') AS BIGINT) AS out_sat,
-    count(*) FILTER (side = 'in') AS n_in, count(*) FILTER (side = 'out') AS n_out FROM entry GROUP BY txid)
+    count(*) FILTER (side = 'in') AS n_in, count(*) FILTER (side = 'out') AS n_out FROM entry GROUP BY txid),
+first AS (SELECT *, row_number() OVER (PARTITION BY txid, side, address ORDER BY idx) AS rn FROM entry),
+transfer AS (SELECT s.address AS src, d.address AS dst, s.txid AS txid, d.sat AS amount, d.ts AS ts FROM first s JOIN first d ON s.txid = d.txid
+  WHERE s.rn = 1 AND d.rn = 1 AND s.side = 'in' AND d.side = 'out' AND s.address <> d.address),
+spent AS (SELECT DISTINCT a.address AS a, b.address AS b FROM entry a JOIN entry b ON a.txid = b.txid AND a.side = 'in' AND b.side = 'in'),
+reached AS (SELECT DISTINCT address AS node, address AS root FROM entry UNION SELECT b, root FROM reached JOIN spent ON a = node),
+cluster AS (SELECT node AS address, min(root) AS cluster FROM reached GROUP BY node)
 """
