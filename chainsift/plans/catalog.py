@@ -1,6 +1,6 @@
 """All queries of the ledger engine."""
 
-from . import ledger_queries  # noqa: F401
+from . import detector_queries, ledger_queries, model_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
