@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_table, mix, window_hashes, word_hashes, write_table
@@ -90,7 +90,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _ties(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a table key and enough half-keys, as far as tables tie their members to their ends."""
+    """(a, b): edges that connect what tables tie together: each member with the smallest and the largest node of
+    the table, where these have enough half-keys in common."""
     halves = nodes.select("node", F.posexplode("keys").alias("i", "key"))
     shared = halves.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     live = halves.join(shared, ["i", "key"]).groupBy("node").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * HALVES at most
@@ -99,12 +100,14 @@ def _ties(nodes: DataFrame) -> DataFrame:
     live = write_table(live.select("node", first.alias("first"), second.alias("second")).where((F.size("first") > 0) & (F.size("second") > 0)), "near-live")
     tables = live.select("node", F.explode("first").alias("x"), "second").select("node", "x", F.explode("second").alias("y")).select("node", F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("key"))
     ends = tables.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    tied = tables.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end")
-    tied = tied.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    tied = tables.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end").distinct()
     keys = nodes.select("node", "keys")
-    tied = tied.join(keys.toDF("a", "keys_a"), "a").join(keys.toDF("b", "keys_b"), "b")
-    equal = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda same: same))
-    out = write_table(tied.where(equal >= LEAST_EQUAL).select("a", "b"), "near-ties")
+    tied = tied.join(keys, "node").join(keys.toDF("end", "end_keys"), "end")
+    equal = F.size(F.filter(F.zip_with("keys", "end_keys", lambda x, y: x == y), lambda same: same))
+    # a node's ties (two for each table at most) are drawn together at its smallest end: few edges connect the same
+    tied = tied.where(equal >= LEAST_EQUAL).select("node", "end", F.min("end").over(Window.partitionBy("node")).alias("to"))
+    drawn = tied.select(F.col("node").alias("a"), F.col("to").alias("b")).unionByName(tied.select(F.col("end").alias("a"), F.col("to").alias("b")))
+    out = write_table(drawn.where("a <> b").distinct(), "near-ties")
     drop_table(live)
     return out
 
