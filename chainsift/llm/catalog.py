@@ -51,7 +51,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overlaps found: a row for each document and item; documents without any have no row."""
+    """The overlaps found, a row each; documents without any have no row."""
     found = benchmark_overlaps(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
 

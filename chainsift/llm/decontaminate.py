@@ -1,9 +1,10 @@
 """Benchmark passages in documents, by spaced-seed hashing.
 
 A seed is a fixed mask over a window of words: it hashes the positions it selects and ignores the others,
-so that a replaced word in an ignored place does no harm. Windows of benchmark items and of documents
-that share a seed hash are hits; each hit's diagonal is then walked in both directions, replaced words
-allowed, and the best stretch is kept if it is long and alike enough.
+so that a replaced word in an ignored place does no harm. Masks are chosen by the length of an item, and only
+those that ``escapes`` proves to hit every pattern of equal and replaced words which the rule accepts. Windows
+of benchmark items and of documents that share a seed hash are hits; on each hit's diagonal (the same shift
+between document and item) all stretches that the rule accepts are found exactly.
 
 Benchmark items are searched in blocks of a bounded number of words. A block's hashes go to all tasks
 (the bound is ``block_words``); further blocks are further passes over the documents.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,9 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, window_hashes, word_hashes
 
-SPAN = 12
-#: Selected positions of a window of ``SPAN`` words, weight 7; fixed.
-MASKS = ((0, 1, 2, 4, 7, 8, 11), (0, 1, 3, 6, 7, 9, 11), (0, 2, 3, 5, 8, 10, 11), (0, 4, 5, 6, 9, 10, 11), (0, 1, 2, 3, 4, 5, 6))
+#: Sets of masks, the most selective first; an item is searched by the first set that is proven for its length.
+MASKS = (((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5)), ((0, 2, 3, 4),), ((0, 1, 2, 3),), ((0, 1, 2),), ((0, 1),), ((0,),))
 _SPLIT = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
@@ -34,7 +35,11 @@ class Rule:
     least: int = 13
     cover: float = 0.8
     alike: float = 0.75
-    shortest: int = 5  # items with fewer words are no evidence and are not searched
+    shortest: int = 1  # items with fewer words are not searched
+
+    def need(self, words: int) -> int:
+        """Matching words that an overlap with an item of so many words has at least."""
+        return min(self.least, math.ceil(self.cover * words))
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -42,24 +47,72 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_SPLIT).split()
 
 
-def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int, drop: int = 8) -> tuple[int, int, int]:
-    """(first, end, matches) on a's side of the best stretch around the aligned places a[i], b[j]: +1 for
-    an equal word, -1 for another one, ended where the score falls ``drop`` below its best."""
-
-    def walk(x: np.ndarray, y: np.ndarray) -> int:
-        n = min(len(x), len(y))
-        if not n:
-            return 0
-        score = np.cumsum(np.where(x[:n] == y[:n], 1, -1))
-        best = np.maximum.accumulate(score)
-        stop = np.flatnonzero(best - score >= drop)
-        score = score[: int(stop[0])] if len(stop) else score
-        k = int(np.argmax(score)) if len(score) else 0
-        return k + 1 if len(score) and score[k] > 0 else 0
-
-    right, left = walk(a[i:], b[j:]), walk(a[:i][::-1], b[:j][::-1])
-    same = int((a[i - left : i + right] == b[j - left : j + right]).sum())
-    return i - left, i + right, same
+def escapes(masks: tuple[tuple[int, ...], ...], need: int, alike: float, words: int | None = None) -> bool:
+    """Whether some pattern of equal and other words (at most ``words`` long, if given) has ``need`` equal ones, of
+    a share of ``alike``, and yet holds no mask.
+
+    Patterns of up to 2 * need - 1 equal words are enough: a longer one can be cut in two with at least
+    ``need`` equal words each, one of which has the share as well."""
+    most = 2 * need - 1
+    spare = math.floor(most / alike - most + 1e-9)
+    held = [sum(1 << (mask[-1] - o) for o in mask) for mask in masks]
+    last = (1 << max(mask[-1] for mask in masks) + 1) - 1
+    at = {(0, 0): 0}  # (last words, equal ones): the fewest others
+    while at:
+        then: dict[tuple[int, int], int] = {}
+        for (tail, equal), other in at.items():
+            for bit in (0, 1):
+                t, e, o = (tail << 1 | bit) & last, equal + bit, other + 1 - bit
+                if e > most or o > spare or (words is not None and e + o > words) or any(t & h == h for h in held):
+                    continue
+                if e >= need and e >= alike * (e + o) - 1e-9:
+                    return True
+                if o < then.get((t, e), o + 1):
+                    then[t, e] = o
+        at = then
+    return False
+
+
+@cache
+def masks_for(words: int, rule: Rule) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of so many words; single words (the last set) hit whatever the rule accepts."""
+    need = max(1, rule.need(words))
+    if need == rule.least and words > 4 * need:
+        return masks_for(4 * need, rule)
+    limit = None if words >= 4 * need else words
+    return next(m for m in MASKS if m == MASKS[-1] or not escapes(m, need, rule.alike, limit))
+
+
+def stretches(places: np.ndarray, need: int, alike: float) -> list[tuple[int, int, int]]:
+    """(first, end, matches) of the stretches between equal words at ``places`` (ascending) that have ``need`` of
+    them, of a share of ``alike``: the one with the most matches (then the shortest, then the first), and so on
+    before and after it."""
+    out, todo = [], [(0, len(places))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < max(1, need):
+            continue
+        x = places[lo:hi]
+        k = np.arange(hi - lo)
+        # from a to b is alike enough if open[a] <= close[b]
+        close, open_ = k + 1 - alike * (x + 1) + 1e-9, k - alike * x
+        lowest = np.minimum.accumulate(open_)
+        a = np.searchsorted(-lowest, -close, "left")  # the first a with lowest[a] <= close[b]
+        n = np.where(a <= k, k - a + 1, 0)
+        most = int(n.max())
+        if most < max(1, need):
+            continue
+        # other starts of as many matches may be shorter
+        ends = np.flatnonzero(n == most)
+        b = int(ends[np.argmin(x[ends] - x[ends - most + 1])])
+        out.append((int(x[b - most + 1]), int(x[b]) + 1, most))
+        todo += [(lo, lo + b - most + 1), (lo + b + 1, hi)]
+    return out
+
+
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... (n[k] of them) for each k, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Index:
@@ -67,73 +120,80 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[bytes]]], rule: Rule):
         self.ids = [i for i, _ in items]
-        self.words = [word_hashes(w) for _, w in items]
-        #: (offsets, span) of each seed; items shorter than a window are hashed whole, by their length
-        self.seeds = [(m, SPAN) for m in MASKS]
-        short = sorted({len(w) for w in self.words if rule.shortest <= len(w) < SPAN})
-        self.seeds += [(tuple(range(n)), n) for n in short] + [(tuple(p for p in range(n) if p != gone), n) for n in short for gone in ([n // 3, 2 * n // 3] if n >= 8 else [])]
+        words = [word_hashes(w) for _, w in items]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
+        self.need = np.array([max(1, rule.need(len(w))) for w in words], np.int64)
+        seeds: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(words):
+            if len(w) >= max(1, rule.shortest):
+                for mask in masks_for(len(w), rule):
+                    seeds.setdefault(mask, []).append(k)
         self.tables = []
-        for offsets, span in self.seeds:
-            h, item, at = [], [], []
-            for k, w in enumerate(self.words):
-                if len(w) >= SPAN if span == SPAN else len(w) == span:
-                    found = window_hashes(w, offsets, span)
-                    h.append(found)
-                    item.append(np.full(len(found), k))
-                    at.append(np.arange(len(found)))
-            if not h:
-                self.tables.append(None)
-                continue
-            h, item, at = map(np.concatenate, (h, item, at))
+        for mask, own in sorted(seeds.items()):
+            found = [window_hashes(words[k], mask, mask[-1] + 1) for k in own]
+            h = np.concatenate(found)
+            item = np.repeat(np.array(own, np.int64), [len(f) for f in found])
+            at = np.concatenate([np.arange(len(f)) for f in found])
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((h[order], item[order], at[order], bits))
+            self.tables.append((mask, h[order], item[order], at[order], bits))
 
-    def overlaps(self, docs: list[list[bytes]], rule: Rule) -> list[list[dict]]:
-        """Of each document, the best overlap with each item that has one."""
+    def _diagonals(self, h: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Rows (document, item, shift) of the diagonals with a hit, each once; about ``most`` hits are in hand at once."""
+        found = [np.zeros((0, 3), np.int64)]
+        for mask, keys, item, at, bits in self.tables:
+            w = window_hashes(h, mask, mask[-1] + 1)
+            near = np.flatnonzero(bits[(w >> np.uint64(44)).astype(np.int64)])
+            first, last = np.searchsorted(keys, w[near], "left"), np.searchsorted(keys, w[near], "right")
+            doc = np.searchsorted(ends, near, "right")
+            hit = np.flatnonzero((last > first) & (near + mask[-1] < ends[np.minimum(doc, len(ends) - 1)]))
+            near, first, n, doc = near[hit], first[hit], (last - first)[hit], doc[hit]
+            total = np.cumsum(n)
+            lo = 0
+            while lo < len(near):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+                e = runs(first[lo:hi], n[lo:hi])
+                found.append(np.unique(np.stack([np.repeat(doc[lo:hi], n[lo:hi]), item[e], np.repeat(near[lo:hi], n[lo:hi]) - at[e]], axis=1), axis=0))
+                lo = hi
+        return np.unique(np.concatenate(found), axis=0)
+
+    def overlaps(self, docs: list[list[bytes]], rule: Rule, most: int = 1 << 20) -> list[list[dict]]:
+        """Of each document, all overlaps by start in the document, start in the item and item."""
         out: list[list[dict]] = [[] for _ in docs]
         lengths = np.array([len(d) for d in docs], np.int64)
         ends = np.cumsum(lengths)
         h = word_hashes([w for d in docs for w in d])
-        found: set[tuple[int, int, int]] = set()
-        for (offsets, span), table in zip(self.seeds, self.tables):
-            if table is None:
-                continue
-            w = window_hashes(h, offsets, span)
-            keys, item, at, bits = table
-            near = np.flatnonzero(bits[(w >> np.uint64(44)).astype(np.int64)])
-            first, last = np.searchsorted(keys, w[near], "left"), np.searchsorted(keys, w[near], "right")
-            hit = np.flatnonzero(last > first)
-            for p, lo, hi in zip(near[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-                doc = int(np.searchsorted(ends, p, "right"))
-                if p + span <= ends[doc]:
-                    found.update((doc, int(item[e]), p - int(at[e])) for e in range(lo, hi))
-        best: dict[tuple[int, int], dict] = {}
-        for doc, item, diagonal in found:
-            start = int(ends[doc] - lengths[doc])
-            a, b = h[start : int(ends[doc])], self.words[item]
-            d = diagonal - start
-            # the densest place of the diagonal is where the walk starts
-            lo, hi = max(0, d), min(len(a), d + len(b))
-            same = np.flatnonzero(a[lo:hi] == b[lo - d : hi - d])
-            if not len(same):
-                continue
-            for i in {int(same[len(same) // 2]), int(same[0]), int(same[-1])}:
-                first, end, matches = stretch(a, b, lo + i, lo + i - d)
-                enough = matches >= min(rule.least, math.ceil(rule.cover * len(b))) and matches >= rule.alike * (end - first)
-                if enough and matches > best.get((doc, item), {"matches": 0})["matches"]:
-                    best[doc, item] = {"item_id": self.ids[item], "doc_start": first, "item_start": first - d, "n_words": end - first, "matches": matches}
-        for (doc, _), overlap in sorted(best.items(), key=lambda x: (x[0][0], x[1]["doc_start"], x[1]["item_start"])):
-            out[doc].append(overlap)
+        if not len(h) or not self.tables:
+            return out
+        doc, item, shift = self._diagonals(h, ends).T
+        # the words of a diagonal that lie in both
+        lo, hi = np.maximum(ends[doc] - lengths[doc], shift), np.minimum(ends[doc], shift + self.lengths[item])
+        total = np.cumsum(hi - lo)
+        at = 0
+        while at < len(doc):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            own, n = slice(at, to), (hi - lo)[at:to]
+            same = h[runs(lo[own], n)] == self.words[runs(self.starts[item[own]] + lo[own] - shift[own], n)]
+            start = np.cumsum(n) - n
+            for k in np.flatnonzero(np.add.reduceat(same.astype(np.int64), start) >= self.need[item[own]]).tolist():
+                d, i = int(doc[at + k]), int(item[at + k])
+                first = int(lo[at + k])
+                for a, b, matches in stretches(np.flatnonzero(same[start[k] : start[k] + n[k]]), int(self.need[i]), rule.alike):
+                    out[d].append({"item_id": self.ids[i], "doc_start": first + a - int(ends[d] - lengths[d]), "item_start": first + a - int(shift[at + k]), "n_words": b - a, "matches": matches, "_": i})
+            at = to
+        for found in out:
+            found.sort(key=lambda o: (o["doc_start"], o["item_start"], o.pop("_")))
         return out
 
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), block_words: int = 500_000, into: str = "overlaps") -> DataFrame:
     """Adds ``overlaps array<struct<item_id, doc_start, item_start, n_words, matches>>`` (places in words) to ``docs``.
 
-    Null texts have no words, so neither such documents nor such items overlap with anything; items of
-    fewer than ``rule.shortest`` words are not searched. Whole texts are read. All rows and columns stay
+    All overlaps are listed; those of a pair on one diagonal share no words. Null texts have no words, so neither
+    such documents nor such items overlap with anything; items of fewer than ``rule.shortest`` words are not searched. Whole texts are read. All rows and columns stay
     (one that has the name ``into`` is replaced); equal texts get equal overlaps; items of equal text are
     each named; a null item_id is kept as null. An empty benchmark gives empty lists, an empty table an
     empty table."""

@@ -5,11 +5,12 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 from chainsift.llm import catalog
-from chainsift.llm.decontaminate import benchmark_overlaps, decontaminate, plain_words
+from chainsift.llm.decontaminate import Index, Rule, benchmark_overlaps, decontaminate, plain_words
 from chainsift.llm.mixing import score_texts
 from chainsift.llm.near_duplicates import near_duplicates, one_of_each
 from chainsift.llm.packing import pack_documents
@@ -112,6 +113,58 @@ def test_decontamination_finds_whole_items(spark, data, small):
                 assert (doc, item) in found
 
 
+def plain_overlap(doc, item):
+    """Whether any stretch of any diagonal has enough matches, dense enough."""
+    need = min(13, math.ceil(0.8 * len(item)))
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [doc[k] == item[k - shift] for k in range(max(0, shift), min(len(doc), shift + len(item)))]
+        for a in range(len(same)):
+            n = 0
+            for b in range(a, len(same)):
+                n += same[b]
+                if n >= need and n >= 0.75 * (b - a + 1):
+                    return True
+    return False
+
+
+def test_decontamination_finds_replaced_words_at_all_places():
+    """Whatever the rule accepts is found, wherever the replaced words are; nothing else is."""
+    for n in (*range(1, 19), 20):
+        item = [b"w%d" % k for k in range(n)]
+        index = Index([(n, item)], Rule())
+        docs = []
+        for m in range(n + 1 if n < 12 else min(n, 5) + 1):
+            for gone in combinations(range(n), m):
+                docs.append([b"x", b"y", *(b"other" if k in gone else w for k, w in enumerate(item)), b"z"])
+        docs = docs if len(docs) < 5000 else docs[:: 3] + docs[-500:]
+        for at in range(0, len(docs), 256):
+            for doc, found in zip(docs[at : at + 256], index.overlaps(docs[at : at + 256], Rule())):
+                kept = [w != b"other" for w in doc[2:-1]]
+                want = any(sum(kept[a:b]) >= max(min(13, math.ceil(0.8 * n)), 0.75 * (b - a)) for a in range(n) for b in range(a + 1, n + 1))
+                assert bool(found) == want, (n, kept)
+    for n in (38, 59, 200):  # every fourth word is another one
+        item = [b"w%d" % k for k in range(n)]
+        for shift in range(4):
+            doc = [b"other" if k % 4 == shift else w for k, w in enumerate(item)]
+            assert Index([(1, item)], Rule()).overlaps([doc], Rule())[0]
+
+
+def test_decontamination_is_exact():
+    rng = np.random.default_rng(5)
+    items = [[b"%d" % x for x in rng.integers(0, 6, rng.integers(1, 40))] for _ in range(25)]
+    docs = [[b"%d" % x for x in rng.integers(0, 6, rng.integers(0, 60))] for _ in range(20)]
+    docs += [[w if rng.random() < 0.8 else b"-" for w in items[k]] for k in range(25)]
+    found = Index(list(enumerate(items)), Rule()).overlaps(docs, Rule(), most=50)
+    for doc, own in zip(docs, found):
+        assert {o["item_id"] for o in own} == {k for k, item in enumerate(items) if plain_overlap(doc, item)}
+        for o in own:
+            a, b = doc[o["doc_start"] :][: o["n_words"]], items[o["item_id"]][o["item_start"] :][: o["n_words"]]
+            assert len(a) == len(b) and sum(x == y for x, y in zip(a, b)) == o["matches"] >= 0.75 * len(a)
+    # an item that comes twice is listed twice
+    item = [b"w%d" % k for k in range(20)]
+    assert [o["doc_start"] for o in Index([(1, item)], Rule()).overlaps([[*item, b"x", *item]], Rule())[0]] == [0, 21]
+
+
 def test_decontamination_odd(spark, odd, nothing, data):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     assert decontaminate(odd, bench).count() == odd.count() and decontaminate(nothing, bench).count() == 0
