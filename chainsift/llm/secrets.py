@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that a primed compressor finds new.
 
-The base kinds are patterns. The method adds ``novel`` spans: a string of mixed characters shortly after
-a word that speaks of credentials is compressed behind its surrounding text, by zstandard primed with a
+The base kinds are patterns. The method adds ``novel`` spans: a string of visible ASCII characters that starts
+shortly after a word that speaks of credentials is compressed behind its surrounding text, by zstandard primed with a
 dictionary of code and identifiers. What it adds to the compressed size is its marginal cost; prose,
 identifiers, paths and repeated strings cost a fraction of their length, secrets nearly all of it.
 """
@@ -25,7 +25,10 @@ _ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make what follows sensitive.
 SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "private_key", "credential", "auth", "bearer", "signature", "client_id", "session", "cookie")
 _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}", re.A)
+#: Runs of visible ASCII characters, of those that seldom set a value apart, and of those of keys.
+_RUNS = (re.compile(r"[!-~]+"), re.compile(r"""[^\x00-\x20\x7f-\U0010ffff"'`<>()\[\]{},;|\\]+"""), re.compile(r"[A-Za-z0-9+/_=~.-]+", re.A))
+#: Marks around a value.
+_BEFORE, _AFTER = "\"'`<([{:=,;|\\", "\"'`>)]},;|\\.:?"
 
 #: Primes the compressor: common code, configuration and identifier text.
 DICTIONARY = """
@@ -68,27 +71,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, reach: int = 48, surroundings: int = 400, share: float = 0.7) -> list[tuple[int, int, str]]:
-    """Strings within ``reach`` code points after a sensitive word that no base span touches, hold both
-    letters and digits, and add at least ``share`` of their length to the compressed surroundings."""
+def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, reach: int = 48, surroundings: int = 400, share: float = 0.7, least: int = 8) -> list[tuple[int, int, str]]:
+    """Runs of ``least`` characters that start within ``reach`` code points after a sensitive word, that no base span
+    touches, and that add at least ``share`` of their length to the compressed surroundings."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
     out, last = [], -1
+
+    def novel(a: int, b: int) -> bool:
+        if a <= last or b - a < least or any(s < b and a < e for s, e, _ in base):
+            return False
+        context = text[max(0, a - surroundings) : a] + " " + text[b : b + surroundings] + " "
+        return novelty.marginal(context, text[a:b]) >= share * (b - a)
+
     for word in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach)):
-            # the whole run, also where it leaves the reach
-            m = _CANDIDATE.match(text, m.start())
-            a, b = m.span()
-            run = m[0]
-            if a <= last or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-                continue
-            if any(s < b and a < e for s, e, _ in base):
-                continue
-            context = text[max(0, a - surroundings) : a] + " " + text[b : b + surroundings] + " "
-            if novelty.marginal(context, run) >= share * len(run):
-                out.append((a, b, "novel"))
-                last = a
+        far, at = word.end() + reach, word.end()
+        # whole runs first, also where they leave the reach; then their parts
+        while (m := _RUNS[0].search(text, at)) and m.start() <= far:
+            at, tried = m.end(), set()
+            for kind in _RUNS:
+                for part in kind.finditer(text, *m.span()):
+                    b = part.start() + len(part[0].rstrip(_AFTER))
+                    a = min(b, part.end() - len(part[0].lstrip(_BEFORE)))
+                    if a <= far and (a, b) not in tried and novel(a, b):
+                        out.append((a, b, "novel"))
+                        last = b - 1
+                    tried.add((a, b))
     return out
 
 

@@ -17,7 +17,7 @@ from chainsift.llm.packing import pack_documents
 from chainsift.llm.pages import extract_pages, main_text
 from chainsift.llm.quality import at_most, certified, quality_filter
 from chainsift.llm.rans import read_ids, write_ids
-from chainsift.llm.secrets import find_secrets, redact_secrets
+from chainsift.llm.secrets import Novelty, base_spans, find_secrets, novel_spans, redact_secrets
 from chainsift.llm.sharding import shard_by_bytes
 from chainsift.llm.toxicity import score_toxicity
 from chainsift.llm.common import new_path
@@ -74,6 +74,30 @@ def test_secrets_novel(spark):
     assert [k for k, *_ in out[4]] == ["access", "assign", "hex"]
 
 
+@pytest.mark.parametrize(
+    "key",
+    ["kX8vQz2w", "Wq7!zR2@kP9#", "bT4$Lx8Vm!Qz6(Kd", "QxKzVbWpJhGmRtYc", "zqxjvkwpbgfh", "J7{kP2|qW9", "q8Zr41LmX07vTbK2pWc95sYd"],
+)
+@pytest.mark.parametrize("word", ["pwd", "passphrase", "credential", "auth", "bearer"])
+def test_secrets_of_any_kind_are_measured(key, word):
+    class Heard:
+        def __init__(self):
+            self.candidates = []
+
+        def marginal(self, context, candidate):
+            self.candidates.append(candidate)
+            return 0
+
+    for between in (" ", ": '", " for the new server is ", " " * 20 + "-" * 7 + " " * 20):  # up to 48 code points
+        text, heard = f"please note the {word}{between}{key}' and keep it well", Heard()
+        novel_spans(text, base_spans(text), heard)
+        assert key in heard.candidates
+    text, heard = f"please note the {word}{' ' * 60}{key} and keep it well", Heard()
+    assert novel_spans(text, base_spans(text), heard) == [] == heard.candidates
+    text = f"please note the pwd is {key} for the new server"
+    assert (23, 23 + len(key), "novel") in novel_spans(text, base_spans(text), Novelty())
+
+
 def test_secrets_odd(odd, nothing):
     found = find_secrets(odd)
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "spans"] and found.count() == odd.count()
