@@ -4,8 +4,10 @@ Markup is stripped: elements that are never article text (menus, forms, scripts,
 their tag, role or class) leave a gap of empty lines, every other block of text becomes a line. Text
 lengths are summed over sliding windows of lines. The window with the most text marks the main part;
 from there the text reaches back to the surge point (before it, windows are empty or the article begins)
-and on to the dive point (after it, windows are empty or the article ends). In an article element, gaps
-inside do not end the text: it is kept from the first surge to the last dive of that element.
+and on to the dive point (after it, windows are empty or the article ends). A gap whose element was removed
+from inside the container of the text does not end it: what stands on both sides is kept. In an article
+element, gaps inside do not end the text either: it is kept from the first surge to the last dive of that element
+and of the articles beside it.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that hold blocks side by side.
+_BOXES = frozenset("html body div section center article main td th".split())
 #: A start tag of the key ends an open element of these, as browsers do.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -60,12 +64,18 @@ def _skipped(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, article) of each line; article: 0, or the number of the outermost article (or main) element. Gaps are empty lines."""
-    out: list[tuple[str, int]] = []
+def lines(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, int], set[int]]:
+    """(text, article, containers) of each line, the parent of each article, and the elements that are the page itself.
+
+    article: 0, or the number of the outermost article (or main) element. Containers: the open ``_BOXES``, without the
+    one whose only text the line is. Gaps are empty lines with the containers of the element removed."""
+    out: list[tuple[str, int, tuple[int, ...]]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, skipped, article
-    made = 0
+    path: list[int] = []  # numbers of the open boxes, 0 for other elements and outside of all
+    parents: dict[int, int] = {}
+    top, parted = {0}, {0}  # the page itself; elements with blocks inside
+    made = number = 0
 
     def skipping() -> bool:
         return bool(stack) and stack[-1][1]
@@ -77,10 +87,10 @@ def lines(page: str) -> list[tuple[str, int]]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, inside()))
+            out.append((text, inside(), (0, *filter(None, path))))
 
     def gap() -> None:
-        out.extend([("", inside())] * WINDOW)
+        out.extend([("", inside(), (0, *filter(None, path)))] * WINDOW)
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -97,10 +107,10 @@ def lines(page: str) -> list[tuple[str, int]]:
                 flush()
             if k is not None:
                 if any(s[1] for s in stack[k:]) and not (k and stack[k - 1][1]):
-                    del stack[k:]
+                    del stack[k:], path[k:]
                     gap()
                 else:
-                    del stack[k:]
+                    del stack[k:], path[k:]
             continue
         if tag in _VOID:
             if tag == "br" and not skipping():
@@ -113,43 +123,65 @@ def lines(page: str) -> list[tuple[str, int]]:
         if tag in _ENDS:
             for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[k][0] in _ENDS[tag]:
-                    del stack[k:]
+                    del stack[k:], path[k:]
                     break
                 if stack[k][0] in ("ul", "ol", "table", "dl"):
                     break
         elif tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
+            path.pop()
         skip = skipping() or _skipped(tag, m["attrs"])
         article = inside()
         if not skip and tag in ("article", "main") and (not article or tag == "article" and article < 0):
             made += 1
             article = made if tag == "article" else -made  # a main element counts until an article in it begins
+            parents[made] = max(path, default=0)
+        number += 1
+        if tag in ("html", "body"):
+            top.add(number)
+        if tag in _BLOCKS or skip:
+            parted.update(path)
         stack.append((tag, skip, article))
+        path.append(number if tag in _BOXES else 0)
     if at < len(page) and not skipping():
         held.append(html.unescape(page[at:]))
     flush()
-    return out
+    leaf = lambda text, at: at[:-1] if text and at[-1] not in parted else at
+    return [(text, article, leaf(text, at)) for text, article, at in out], parents, top
+
+
+def _bridged(found: list[tuple[str, int, tuple[int, ...]]], top: set[int], a: int, b: int) -> bool:
+    """Whether the gaps between lines a and b (of text) all come from elements removed inside one container of both: the
+    page itself only where both stand in it directly."""
+    for _, _, at in found[min(a, b) + 1 : max(a, b)]:
+        if at[-1] in top:
+            if found[a][2][-1] not in top or found[b][2][-1] not in top:
+                return False
+        elif at[-1] not in found[a][2] or at[-1] not in found[b][2]:
+            return False
+    return True
 
 
 def main_text(page: str | None) -> str:
     """The main text, one line a block; empty where a page has none."""
-    found = lines(page or "")
-    sizes = [len(t) for t, _ in found]
+    found, parents, top = lines(page or "")
+    sizes = [len(t) for t, *_ in found]
     if not any(sizes):
         return ""
     half = WINDOW // 2
     sums = [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(sizes))]
     articles: dict[int, int] = {}
-    for (_, article), n in zip(found, sizes):
+    for (_, article, _), n in zip(found, sizes):
         if article > 0:
             articles[article] = articles.get(article, 0) + n
     peak = max(range(len(sums)), key=lambda i: (sums[i], -i))
     if articles:
         # the article of the peak; where the peak is outside of any, the one with the most text
         own = found[peak][1] if found[peak][1] > 0 else min(articles, key=lambda a: (-articles[a], a))
-        within = [i for i, (_, a) in enumerate(found) if a == own]
-    elif any(a < 0 for _, a in found):
-        within = [i for i, (_, a) in enumerate(found) if a < 0]
+        # and those beside it
+        within = [i for i, (_, a, _) in enumerate(found) if a > 0 and parents[a] == parents[own]]
+    elif any(a < 0 for _, a, _ in found):
+        within = [i for i, (_, a, _) in enumerate(found) if a < 0]
     else:
         surge, dive = peak, peak
         while surge > 0 and sums[surge - 1]:
@@ -163,7 +195,14 @@ def main_text(page: str | None) -> str:
             surge -= 1
         while dive < len(sums) - 1 and sums[dive + 1]:
             dive += 1
-        within = list(range(surge, dive + 1))
+        full = [i for i, n in enumerate(sizes) if n]
+        low = next(k for k, i in enumerate(full) if i >= surge)
+        high = max(k for k, i in enumerate(full) if i <= dive)
+        while low > 0 and _bridged(found, top, full[low - 1], full[low]):
+            low -= 1
+        while high < len(full) - 1 and _bridged(found, top, full[high], full[high + 1]):
+            high += 1
+        within = full[low : high + 1]
     return "\n".join(found[i][0] for i in within if found[i][0])
 
 

@@ -402,6 +402,25 @@ def test_pages():
     assert main_text("<article><p>cut &am") == "cut &am" and main_text("<article><p>cut <b cla") == "cut"
 
 
+@pytest.mark.parametrize("wrap", ["<div id=content>{}</div>", "{}", "<div><div class=row>{}</div></div>"])
+def test_pages_keep_text_beyond_adverts(wrap):
+    long = [f"<p>{k} " + "many words of a long paragraph " * 20 + "</p>" for k in range(10)]
+    advert = '<div class="ad">buy this</div>'
+    inner = "<p>A short lead.</p>" + advert + "".join(long) + advert + "<h2>At last</h2><p>One closing paragraph.</p>" + advert + "<ul><li>one item</li></ul>"
+    page = "<html><body><nav>Home</nav>" + wrap.format(inner) + "<footer>legal</footer></body></html>"
+    text = main_text(page).split("\n")
+    assert text[0] == "A short lead." and text[-3:] == ["At last", "One closing paragraph.", "one item"] and len(text) == 14
+
+
+def test_pages_keep_div_rows_and_sibling_articles():
+    words = "many words of a long paragraph " * 20
+    advert = '<div class="ad">buy this</div>'
+    page = f"<body><div id=content><div>{words}</div><div>{words}</div>{advert}<div class=row><div>The end.</div></div></div>{advert}<div>Elsewhere</div></body>"
+    assert main_text(page).split("\n") == [words.strip(), words.strip(), "The end."]
+    page = f"<body><main><article><p>{words}</p></article>{advert}<article><p>Second, short.</p></article></main><div><article>Elsewhere</article></div></body>"
+    assert main_text(page).split("\n") == [words.strip(), "Second, short."]
+
+
 def test_pages_odd(spark, data, small):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 2), (None, None, None, None), (2, None, "", 0)], "page_id long, url string, html string, text long")
     found = rows(extract_pages(pages))
