@@ -41,16 +41,18 @@ def peel_hops(entries: DataFrame, peels: DataFrame, gap_s: float = 21600, tolera
     return both.where(ok).groupBy("txid").agg(F.min(F.struct("next_ts", "next")).alias("x")).select("txid", F.col("x.next").alias("next"))
 
 
-def chains(peels: DataFrame, hops: DataFrame, longest: int = 64) -> DataFrame:
-    """(head, txid, pos): each maximal chain of the forest, from peels that nobody leads to."""
+def chains(peels: DataFrame, hops: DataFrame) -> DataFrame:
+    """(head, txid, pos): each maximal chain of the forest, whatever its length, from peels that nobody leads to.
+
+    Pointers double: after round k each transaction knows the one 2 ** k hops on, and each chain its first 2 ** k members."""
     at = peels.where("two_rows").join(hops.select(F.col("next").alias("txid")), "txid", "left_anti").join(hops.select("txid"), "txid", "left_semi")
-    front = at.select(F.col("txid").alias("head"), "txid", F.lit(0).alias("pos"))
-    out = front
-    for pos in range(1, longest):
-        front = _cut(front.join(hops, "txid").select("head", F.col("next").alias("txid"), F.lit(pos).alias("pos")), "chain")
-        if not front.limit(1).count():
-            break
-        out = out.unionByName(front)
+    out = _cut(at.select(F.col("txid").alias("head"), "txid", F.lit(0).cast("long").alias("pos")), "chain")
+    jump, ahead = _cut(hops.select("txid", "next"), "jump"), 1
+    while jump.limit(1).count():
+        more = out.join(jump, "txid").select("head", F.col("next").alias("txid"), (F.col("pos") + ahead).alias("pos"))
+        out = _cut(out.unionByName(more), "chain")
+        jump = _cut(jump.join(jump.toDF("next", "far"), "next").select("txid", F.col("far").alias("next")), "jump")
+        ahead *= 2
     return out
 
 

@@ -131,17 +131,39 @@ def graph_features(entries: DataFrame, longest: int = 30) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "scenario", "left"), parts)
 
 
-def chain_length(entries: DataFrame, rounds: int = 30) -> DataFrame:
-    """(scenario, max_chain_length): half the longest path of the scenario's graph, by bounded relaxation; on a cycle it stops at ``rounds``."""
+def chain_length(entries: DataFrame, cap: int = 15) -> DataFrame:
+    """(scenario, max_chain_length): half the longest path of the scenario's graph; where that has a cycle, half the largest
+    distance between two of its nodes, of at most ``cap``."""
     t, w = F.concat(F.lit("tx:"), "txid"), F.concat(F.lit("w:"), "address")
     e = _cut(entries.select("scenario", F.when(F.col("side") == "in", w).otherwise(t).alias("u"), F.when(F.col("side") == "in", t).otherwise(w).alias("v")).distinct(), "chain-edges")
-    front = e.select("scenario", F.col("u").alias("x")).distinct()
-    best = front.groupBy("scenario").agg(F.lit(0).alias("steps"))
-    for k in range(1, rounds + 1):
+    # nodes at the end of a walk of k steps: fewer each round, or as many for ever where there is a cycle
+    front = e.select("scenario", F.col("u").alias("x")).union(e.select("scenario", F.col("v").alias("x"))).distinct()
+    best = front.select("scenario").distinct().withColumn("steps", F.lit(0))
+    size, cyclic, k = front.groupBy("scenario").agg(F.count("*").alias("n")), None, 0
+    while True:
+        k += 1
         front = _cut(front.withColumnRenamed("x", "u").join(e, ["scenario", "u"]).select("scenario", F.col("v").alias("x")).distinct(), "chain-front")
-        if not front.limit(1).count():
+        now = _cut(front.groupBy("scenario").agg(F.count("*").alias("n")), "chain-size")
+        if not now.limit(1).count():
             break
-        best = best.unionByName(front.select("scenario").distinct().withColumn("steps", F.lit(k)))
+        stuck = _cut(now.join(size, ["scenario", "n"], "left_semi").select("scenario"), "chain-cyclic")
+        if stuck.limit(1).count():
+            cyclic = stuck if cyclic is None else cyclic.unionByName(stuck)
+            front, now = front.join(stuck, "scenario", "left_anti"), now.join(stuck, "scenario", "left_anti")
+        best = _cut(best.unionByName(now.select("scenario", F.lit(k).alias("steps"))).groupBy("scenario").agg(F.max("steps").alias("steps")), "chain-best")
+        size = now
+    if cyclic is not None:
+        own = e.join(cyclic, "scenario", "left_semi")
+        front = own.select("scenario", F.col("u").alias("start"), F.col("u").alias("x")).distinct()
+        seen, far = front, cyclic.withColumn("steps", F.lit(0))
+        for k in range(1, cap + 1):
+            new = front.withColumnRenamed("x", "u").join(own, ["scenario", "u"]).select("scenario", "start", F.col("v").alias("x")).distinct()
+            front = _cut(new.join(seen, ["scenario", "start", "x"], "left_anti"), "chain-reach")
+            if not front.limit(1).count():
+                break
+            seen = seen.unionByName(front)
+            far = far.unionByName(front.select("scenario").distinct().withColumn("steps", F.lit(k)))
+        best = best.join(cyclic, "scenario", "left_anti").unionByName(far)
     return best.groupBy("scenario").agg(F.floor(F.max("steps") / 2).alias("max_chain_length"))
 
 

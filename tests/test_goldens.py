@@ -56,6 +56,23 @@ def test_peel_chain(spark):
     assert D.peel_chains(entries(spark, peel_chain(dt.timedelta(hours=24)))).count() == 0
 
 
+def test_long_peel_chain(spark):
+    txs, carry = [], 10**14
+    for k in range(150):
+        nxt = carry * 9 // 10
+        txs.append((1001 + k, T0 + HOUR * k, [(f"W{k}", carry)], [(f"W{k + 1}", nxt), (f"P{k}", carry - nxt)]))
+        carry = nxt
+    got = D.peel_chains(entries(spark, txs)).collect()
+    assert [(r["chain"], r["hops"], r["total_peeled"], r["last_ts"] - r["first_ts"]) for r in got] == [(1001, 150, 10**14 - carry, HOUR * 149)]
+
+
+def test_chain_length(spark):
+    path = lambda s, n, ring=False: [(s, f"{k}", f"W{(k + d) % n if ring else k + d}", side) for k in range(n) for d, side in ((0, "in"), (1, "out"))]
+    rows = path(1, 18) + path(2, 10, True) + path(3, 2, True) + path(4, 1) + path(5, 3) + [(5, "9", "W1", "in"), (5, "9", "X", "out")]
+    got = E.chain_length(spark.createDataFrame(rows, "scenario long, txid string, address string, side string"))
+    assert {r["scenario"]: r["max_chain_length"] for r in got.collect()} == {1: 18, 2: 7, 3: 1, 4: 1, 5: 3}
+
+
 def test_equal_split_is_no_peel(spark):
     e = entries(spark, [(201, T0, [("A", 100)], [("B", 50), ("C", 50)])])
     assert D.peel_transactions(e).count() == 0 and D.peel_transactions(e, 1.0).count() == 1
