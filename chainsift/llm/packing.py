@@ -12,18 +12,20 @@ decreasing.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, write_table
-from .tokens import tokenizer
+from .common import arrow_schema, drop_table, write_table
+from .tokens import slices, tokenizer
 
-#: Groups of rows that are ranked on their own.
-WORKERS = 512
+#: Pieces that a worker ranks on its own, about.
+PER_WORKER = 20_000
 
 
 def classes(largest: int) -> list[int]:
@@ -34,15 +36,15 @@ def classes(largest: int) -> list[int]:
     return out
 
 
-def cuts(total: int, capacity: int, counts: np.ndarray, slack: int, shortest: int) -> Iterator[tuple[int, int, int]]:
+def cuts(total: int, capacity: int, counts: list[int], slack: int, shortest: int) -> Iterator[tuple[int, int, int]]:
     """(start, length, class) of the pieces of a document of ``total`` tokens."""
     start = 0
     while start < total:
         rest = min(capacity, total - start)
-        k = int(counts[np.searchsorted(counts, capacity // rest, side="right") - 1])
+        k = counts[bisect_right(counts, capacity // rest) - 1]
         slot = capacity // k
         if rest > shortest and (slot - rest) * slack > slot and k + 1 <= counts[-1]:
-            k = int(counts[np.searchsorted(counts, k, side="right")])
+            k = counts[bisect_right(counts, k)]
             rest = capacity // k
         yield start, rest, k
         start += rest
@@ -57,27 +59,33 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     no token is dropped. Sequence ids are gapless from 0, offsets gapless in a sequence. An empty table
     gives no rows. Other columns are not read. ``slack``: a gap over 1 / slack of a slot leads to a cut;
     ``shortest``: shorter rests are not cut; ``most``: the largest number of documents in a bin."""
-    spark = docs.sparkSession
-    counts = np.array(classes(min(most, capacity)))
-
-    def rows(col, tok):
-        out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "ids")}
-        for doc, ids in zip(col["doc_id"], tok.encode([t or "" for t in col["text"]])):
-            ids = np.append(ids, end_id).astype("<u4")
-            for start, length, k in cuts(len(ids), capacity, counts, slack, shortest):
-                raw = ids[start : start + length].tobytes()
-                for n, v in zip(out, (doc, start, length, zlib.crc32(raw), len(ids), k, raw if with_ids else None)):
-                    out[n].append(v)
-        return out
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, ids binary"
-    found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, schema, lambda: tokenizer(tokenizer_path))
+    counts = classes(min(most, capacity))
+    kind = arrow_schema("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, ids binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(tokenizer_path)
+        for batch in batches:
+            for at, n in slices(batch.column("text")):
+                part = batch.slice(at, n)
+                ids, places = tok.encode_array(part.column("text"), end_id)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                totals = np.diff(places)
+                pieces = [(d, start, length, k) for d, total in enumerate(totals.tolist()) for start, length, k in cuts(total, capacity, counts, slack, shortest)]
+                doc, start, length, k = np.array(pieces, np.int64).reshape(-1, 4).T
+                lo = 4 * (places[doc] + start)
+                spans = [raw[x:y] for x, y in zip(lo.tolist(), (lo + 4 * length).tolist())]
+                found = (part.column("doc_id").take(pa.array(doc)), start, length, list(map(zlib.crc32, spans)), totals[doc], k, list(map(bytes, spans)) if with_ids else pa.nulls(len(doc)))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if isinstance(v, list) else v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v).cast(f.type) for v, f in zip(found, kind)], schema=kind)
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, ids binary")
     if not with_ids:
         found = found.drop("ids")
-    worker = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(WORKERS)).cast("int")
-    pieces = write_table(found.withColumn("worker", worker), "pack-pieces")
+    # equal rows get numbers of their own, so that they need not share a worker
+    written = pieces = write_table(found.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    workers = max(1, pieces.count() // PER_WORKER)
+    pieces = pieces.withColumn("worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(workers)).cast("int"))
 
-    held = pieces.groupBy("worker", "k").agg(F.count("*").alias("n"))  # at most WORKERS x classes rows
+    held = pieces.groupBy("worker", "k").agg(F.count("*").alias("n"))
     by_class = Window.partitionBy("k")
     held = held.select(
         "worker",
@@ -87,9 +95,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     )
     bins = pieces.groupBy("k").agg(F.floor(F.count("*") / F.col("k")).alias("bins"))
     bins = bins.select("k", F.coalesce(F.sum("bins").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_bin"), F.sum("bins").over(Window.partitionBy(F.lit(0))).alias("all_bins"))
-    inside = Window.partitionBy("worker", "k").orderBy("doc_id", "start", "ids_crc32", "length")
+    inside = Window.partitionBy("worker", "k").orderBy("doc_id", "start", "ids_crc32", "length", "row")
+    # counts and pieces meet where the ranks need the pieces anyway; the bins have a row for each class
     ranked = (
-        pieces.join(F.broadcast(held), ["worker", "k"])
+        pieces.join(held, ["worker", "k"])
         .join(F.broadcast(bins), "k")
         .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
         .withColumn("bin", F.floor(F.col("rank") / F.col("k")))
@@ -98,6 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     )
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     ranked = write_table(ranked.select(*kept, "sequence_id", "rank", "all_bins"), "pack-ranked")
+    drop_table(written)
 
     def first_fit(rest: pd.DataFrame) -> pd.DataFrame:
         rest = rest.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)

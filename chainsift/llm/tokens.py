@@ -1,22 +1,25 @@
 """Texts to token ids with a public tokenizer file, fast enough for whole corpora.
 
 The tokenizer drops white space and never merges across it, so ids are made word by word and kept
-for words that come again (a bounded memory in each Python worker). A text or word with anything that
-could make that differ from encoding the whole text goes to the library as it is.
+for words that come again (a bounded memory in each Python worker). Texts are split at ASCII white space and
+their words found by flat array lookups; a word with anything that could make its pieces differ from those
+of the library (other white space among them) goes to the library as it is.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers before it starts afresh (about 120 MB).
 REMEMBERED = 600_000
 _WIDE = re.compile("[^\x00-\xff]")
-_ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0]|<\\|(?:startoftext|endoftext)\\|>")
 #: The tokenizer's own split, for lower-cased Latin-1; a line feed marks the end of a word.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|\n|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
@@ -50,6 +53,43 @@ class _Lists:
         return self.flat[at], ends
 
 
+class _Words:
+    """Numbers of words of at most 16 bytes, named exactly by their length, first eight and last eight bytes: open addressing in flat arrays."""
+
+    def __init__(self, bits: int = 21):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.a, self.b = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.n, self.row = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.int32)
+
+    def _spots(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = (a ^ (a >> np.uint64(29)) ^ (b * np.uint64(0x7FB5D329728EA185)) ^ n) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The numbers of the words, -1 where there is none."""
+        out, left, spot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._spots(a, b, n)
+        while len(left):
+            held = self.n[spot]
+            same = (held == n) & (self.a[spot] == a) & (self.b[spot] == b)
+            out[left[same]] = self.row[spot[same]]
+            on = np.flatnonzero(~same & (held != 0))
+            left, spot, a, b, n = left[on], (spot[on] + 1) & self.mask, a[on], b[on], n[on]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, row: np.ndarray) -> None:
+        """Different words that are not here yet."""
+        spot = self._spots(a, b, n)
+        while len(a):
+            free = np.flatnonzero(self.n[spot] == 0)
+            self.a[spot[free]], self.b[spot[free]], self.n[spot[free]], self.row[spot[free]] = a[free], b[free], n[free], row[free]
+            on = np.flatnonzero((self.n[spot] != n) | (self.a[spot] != a) | (self.b[spot] != b))
+            a, b, n, row, spot = a[on], b[on], n[on], row[on], (spot[on] + 1) & self.mask
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class WordTokens:
     """Ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -69,23 +109,28 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.short, self.long = _Words(), {}
         self.word_ids = _Lists()
         self.pieces: dict[str, int] = {"\n": 0}
         self.piece_ids = _Lists()
         self.piece_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """The numbers of different new words."""
+        out = np.zeros(len(new), np.int64)
         joined = "\n".join(new)
+        plain = new
         if _WIDE.search(joined) or _ODD.search(joined):
-            for w in (own := [w for w in new if _WIDE.search(w) or _ODD.search(w)]):
-                ids = self.whole.encode(w, add_special_tokens=False).ids
-                self.at[w] = self.word_ids.add(np.array(ids, np.uint32), np.array([len(ids)]))
-            own = set(own)
-            new = [w for w in new if w not in own]
-            joined = "\n".join(new)
-        if not new:
-            return
+            odd = [k for k, w in enumerate(new) if _WIDE.search(w) or _ODD.search(w)]
+            for k in odd:
+                ids = self.whole.encode(new[k], add_special_tokens=False).ids
+                out[k] = self.word_ids.add(np.array(ids, np.uint32), np.array([len(ids)]))
+            left = np.ones(len(new), bool)
+            left[odd] = False
+            plain = [w for w, ok in zip(new, left.tolist()) if ok]
+            joined = "\n".join(plain)
+        if not plain:
+            return out
         found = _PIECE.findall(joined.lower())
         found.append("\n")
         fresh = list(set(found) - self.pieces.keys())
@@ -99,27 +144,74 @@ class WordTokens:
         rows = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
         flat, ends = self.piece_ids.gather(rows)
         first = self.word_ids.add(flat, np.diff(ends[rows == 0], prepend=0))
-        self.at.update(zip(new, range(first, first + len(new))))
+        out[slice(None) if plain is new else left] = np.arange(first, first + len(plain))
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (uint32) of each text."""
-        if len(self.at) > REMEMBERED or len(self.pieces) > REMEMBERED:
+    def _rows(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of texts that begin at ``first`` (the last entry: where they end), and the place of each text's first word."""
+        space = _SPACE[data]
+        before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+        inner = first[(first > 0) & (first < len(data))]
+        before[inner] = True
+        after[inner - 1] = True
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        n = ends - starts
+        padded = np.zeros(len(data) + 16, np.uint8)
+        padded[8:-8] = data
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        a = eight[starts + 8] & _FIRST[np.minimum(n, 8)]
+        b = np.where(n > 8, eight[ends], np.uint64(0))
+        n = np.minimum(n, 17).astype(np.uint8)
+        rows = self.short.find(a, b, n)  # longer words are never there
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            raw = data.tobytes()
+            seen = [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())]
+            own = dict.fromkeys(seen)
+            known = {w: self.long[w] for w in own if w in self.long} if self.long else {}
+            learn = [w for w in own if w not in known]
+            own.update(zip(learn, self._learn([w.decode() for w in learn]).tolist()))
+            own.update(known)
+            self.long.update((w, own[w]) for w in learn if len(w) > 16)
+            rows[new] = np.fromiter(map(own.__getitem__, seen), np.int64, len(new))
+            _, one = np.unique(rows[new], return_index=True)
+            one = new[one][n[new[one]] <= 16]
+            self.short.add(a[one], b[one], n[one], rows[one])
+        return rows, np.searchsorted(starts, first)
+
+    def encode_array(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts, one after another, ``end_id`` after each where given, and the len(texts) + 1 places
+        where a text's ids begin and end. A null text is empty."""
+        if self.word_ids.n > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.forget()
-        split = [[] if _ODD.search(t) else t.split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        rows = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(rows < 0).tolist()
-        if new:
-            self._learn(list(dict.fromkeys(flat[k] for k in new)))
-            rows[new] = np.fromiter((self.at[flat[k]] for k in new), np.int64, len(new))
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        _, offsets, data = texts.buffers()
+        first = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[first[0] : first[-1]]
+        rows, words = self._rows(data, first - first[0]) if len(data) else (np.zeros(0, np.int64), np.zeros(len(first), np.int64))
         ids, ends = self.word_ids.gather(rows)
-        last = np.cumsum([len(ws) for ws in split])
-        cuts = np.where(last > 0, ends[last - 1], 0) if len(ends) else np.zeros(len(texts), np.int64)
-        out = np.split(ids, cuts[:-1]) if len(texts) else []
-        for k, t in enumerate(texts):
-            if not split[k] and t:
-                out[k] = np.asarray(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-        return out
+        cuts = np.append(0, ends)[words]
+        if end_id is None:
+            return ids, cuts
+        out = np.full(len(ids) + len(texts), end_id, np.uint32)
+        places = cuts + np.arange(len(cuts))
+        inner = np.ones(len(out), bool)
+        inner[places[1:] - 1] = False
+        out[inner] = ids
+        return out, places
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text."""
+        ids, cuts = self.encode_array(pa.array(texts, pa.large_string()))
+        return np.split(ids, cuts[1:-1]) if len(texts) else []
+
+
+def slices(texts: pa.Array, most: int = 1 << 22) -> list[tuple[int, int]]:
+    """(first, rows) of parts of about ``most`` bytes, or of one text that is longer."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.concatenate([[0], np.cumsum(size)[:-1]]) // most if len(size) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(first.tolist(), np.diff(np.append(first, len(part))).tolist()))
 
 
 _HELD: dict[str, WordTokens] = {}
