@@ -1,6 +1,7 @@
 """Token ids in files of independent blocks, coded by a static range asymmetric numeral system.
 
-One frequency table, counted over the whole corpus, is shared by all blocks. A block holds whole
+One frequency table, counted over the whole corpus, is shared by all blocks. Documents are dealt into
+ranges of doc_id whose ids are counted first, so that a block knows how many ids lie before it. A block holds whole
 documents in ascending doc_id order; its ids are dealt to ``LANES`` interleaved coders. Every
 ``CHECKPOINT`` rows of lanes the coder states and the place in the word stream are stored, so that the
 parts of a block can be decoded side by side. Blocks carry checksums of the coded bytes and of the ids.
@@ -16,18 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, drop_table, write_table
-from .tokens import tokenizer
+from .common import arrow_schema, drop_table, write_table
+from .tokens import slices, tokenizer
 
 LANES = 1024
 CHECKPOINT = 128
 BLOCK = 1 << 19
 SCALE = 20
 _LOW = np.uint64(1 << 31)
-_BLOCK_SCHEMA = "part int, block int, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, states binary, places array<long>, coded binary, coded_crc32 long, ids_crc32 long"
+_BLOCK_SCHEMA = "part int, block int, start long, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, states binary, places array<long>, coded binary, coded_crc32 long, ids_crc32 long"
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -103,61 +105,88 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
     ``end_id`` alone; a very long text makes a block of its own size; an empty table makes no blocks.
     Other columns are not read."""
     spark = docs.sparkSession
-
-    def tokenise(col, tok):
-        kind = "<u2" if tok.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        ids = [np.append(i, end_id).astype(kind).tobytes() for i in tok.encode([t or "" for t in col["text"]])]
-        return {"doc_id": col["doc_id"], "wide": [kind == "<u4"] * len(ids), "ids": ids}
-
-    staged = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenise, "doc_id long, wide boolean, ids binary", lambda: tokenizer(tokenizer_path))
-    staged = write_table(staged, "rans-ids")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1, np.int64)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # several ranges for each partition they are dealt to, which evens them out
+    ranges = 4 * n
+    bounds, without, total = rows.agg(F.percentile_approx("doc_id", [(k + 1) / ranges for k in range(ranges - 1)], 10 * ranges), F.count("*") - F.count("doc_id"), F.count("*")).first()
+    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    # rows of a null doc_id come first, in as many ranges of a hash of their ids as their share asks for
+    nulls = max(1, -(-ranges * without // max(1, total))) if without else 0
+    staged_schema = "part int, tie long, doc_id long, n_ids long, wide boolean, ids binary, counts binary"
+    staged_kind = arrow_schema(staged_schema)
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(tokenizer_path)
+        wide = max(tok.vocabulary, end_id + 1) > 1 << 16
+        kind, seen = "<u4" if wide else "<u2", np.zeros(0, np.int64)
         for batch in batches:
-            for raw, wide in zip(batch.column("ids"), batch.column("wide").to_pylist()):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2"))
-                seen = np.pad(seen, (0, max(0, len(found) - len(seen))))
-                seen[: len(found)] += found
-        ids = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], names=["id", "n"])
+            for at, size in slices(batch.column("text")):
+                ids, places = tok.encode_array(batch.column("text").slice(at, size), end_id)
+                found = np.bincount(ids, minlength=len(seen))
+                found[: len(seen)] += seen
+                seen = found
+                doc = batch.column("doc_id").slice(at, size)
+                raw = pa.Array.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(places * np.dtype(kind).itemsize), pa.py_buffer(ids.astype(kind))])
+                empty = doc.is_null().to_numpy(zero_copy_only=False)
+                part = nulls + np.searchsorted(bounds, doc.fill_null(0).to_numpy(), "left")
+                tie = np.zeros(size, np.int64)
+                for k in np.flatnonzero(empty).tolist():
+                    tie[k] = xxhash.xxh3_64_intdigest(raw[k].as_buffer()) >> 1
+                    part[k] = (int(tie[k]) * nulls) >> 63
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tie), doc, pa.array(np.diff(places)), pa.array(np.full(size, wide)), raw.cast(pa.binary()), pa.nulls(size, pa.binary())], schema=staged_kind)
+        # the task's counts, an id's at its place
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((-1, None, None, None, None, None, seen.astype("<u8").tobytes()), staged_kind)], schema=staged_kind)
+
+    staged = write_table(rows.mapInArrow(tokenise, staged_schema), "rans-ids")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("counts"):
+                seen = np.frombuffer(raw.as_buffer(), "<u8").astype(np.int64)
+                ids = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[ids])], names=["id", "n"])
 
     # one row for an id at most: bounded by the tokenizer's vocabulary
-    seen = staged.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    seen = staged.where("counts is not null").select("counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(seen["id"].max()) + 1 if len(seen) else 1, np.int64)
     counts[seen["id"]] = seen["n"]
     share = frequencies(counts)
     spark.createDataFrame([(int(i), int(share[i])) for i in np.flatnonzero(share)], "id long, share long").coalesce(1).write.parquet(f"{path}/frequencies")
-    shared = spark.sparkContext.broadcast(share)
+    # ids of all ranges before each: one number a range
+    held = {r["part"]: r["n"] for r in staged.where("part >= 0").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    before = dict(zip(sorted(held), np.cumsum([0, *(held[p] for p in sorted(held))]).tolist()))
+    shared = spark.sparkContext.broadcast((share, before))
     kind = arrow_schema(_BLOCK_SCHEMA)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
-        part = block = 0
+        coder, before = Coder(shared.value[0]), shared.value[1]
+        part, block, start = None, 0, 0
         docs_, ids_, held = [], [], 0
 
         def made() -> pa.RecordBatch:
             ids = np.concatenate(ids_).astype("<u4")
             states, places, words_ = coder.encode(ids, end_id)
             coded = words_.tobytes()
-            row = (part, block, len(docs_), len(ids), docs_, [len(i) for i in ids_], states.astype("<u8").tobytes(), places, coded, zlib.crc32(coded), zlib.crc32(ids.tobytes()))
+            row = (part, block, start, len(docs_), len(ids), docs_, [len(i) for i in ids_], states.astype("<u8").tobytes(), places, coded, zlib.crc32(coded), zlib.crc32(ids.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, kind)], schema=kind)
 
         for batch in batches:
-            for doc, raw, wide, part in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist(), batch.column("part").to_pylist()):
+            for now, doc, raw, wide in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist()):
                 ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
-                if held and held + len(ids) > BLOCK:
+                if held and (now != part or held + len(ids) > BLOCK):
                     yield made()
-                    block, docs_, ids_, held = block + 1, [], [], 0
+                    block, start, docs_, ids_, held = block + 1, start + held, [], [], 0
+                if now != part:
+                    part, block, start = now, 0, before[now]
                 docs_.append(doc)
                 ids_.append(ids)
                 held += len(ids)
         if docs_:
             yield made()
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = staged.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(encode, _BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = staged.where("part >= 0").repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "ids")
+    ordered.select("part", "doc_id", "wide", "ids").mapInArrow(encode, _BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_table(staged)
 
 
@@ -169,17 +198,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     table = np.zeros(int(share["id"].max()) + 1 if len(share) else 1, np.int64)
     table[share["id"]] = share["share"]
     shared = spark.sparkContext.broadcast(table)
-    sizes = blocks.select("part", "block", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each range
-    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    starts = sizes.join(F.broadcast(parts), "part").select("part", "block", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("first"))
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+                row = {n: batch.column(n)[k].as_buffer() if n in ("states", "coded") else batch.column(n)[k].as_py() for n in batch.schema.names}
                 if zlib.crc32(row["coded"]) != row["coded_crc32"]:
                     raise ValueError(f"block {row['part']}:{row['block']} is damaged")
                 states = np.frombuffer(row["states"], "<u8").reshape(-1, LANES)
@@ -190,12 +213,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["first"] + ends - row["doc_tokens"], pa.int64()),
+                        pa.array(row["start"] + ends - row["doc_tokens"], pa.int64()),
                         pa.array(row["doc_tokens"], pa.int64()),
                         pa.array([i.tobytes() for i in np.split(ids, ends[:-1])], pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    # the starts, one number a block, travel with the blocks
-    return blocks.join(starts, ["part", "block"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
