@@ -59,6 +59,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     no token is dropped. Sequence ids are gapless from 0, offsets gapless in a sequence. An empty table
     gives no rows. Other columns are not read. ``slack``: a gap over 1 / slack of a slot leads to a cut;
     ``shortest``: shorter rests are not cut; ``most``: the largest number of documents in a bin."""
+    spark = docs.sparkSession
     counts = classes(min(most, capacity))
     kind = arrow_schema("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, ids binary")
 
@@ -82,7 +83,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
         found = found.drop("ids")
     # equal rows get numbers of their own, so that they need not share a worker
     written = pieces = write_table(found.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
-    workers = max(1, pieces.count() // PER_WORKER)
+    workers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.count() // PER_WORKER)
     pieces = pieces.withColumn("worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(workers)).cast("int"))
 
     held = pieces.groupBy("worker", "k").agg(F.count("*").alias("n"))

@@ -206,7 +206,7 @@ class WordTokens:
         return np.split(ids, cuts[1:-1]) if len(texts) else []
 
 
-def slices(texts: pa.Array, most: int = 1 << 22) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 21) -> list[tuple[int, int]]:
     """(first, rows) of parts of about ``most`` bytes, or of one text that is longer."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     part = np.concatenate([[0], np.cumsum(size)[:-1]]) // most if len(size) else np.zeros(0, np.int64)
