@@ -1,13 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped: elements that are never article text (menus, forms, scripts, adverts, comments, by
-their tag, role or class) leave a gap of empty lines, every other block of text becomes a line. Text
-lengths are summed over sliding windows of lines. The window with the most text marks the main part;
-from there the text reaches back to the surge point (before it, windows are empty or the article begins)
-and on to the dive point (after it, windows are empty or the article ends). A gap whose element was removed
-from inside the container of the text does not end it: what stands on both sides is kept. In an article
-element, gaps inside do not end the text either: it is kept from the first surge to the last dive of that element
-and of the articles beside it.
+Markup is stripped: elements whose tag says that they are never article text (menus, forms, scripts, headers)
+leave a gap of empty lines, every other block of text becomes a line. Text lengths are summed over sliding
+windows of lines, and the densest window marks the main part. Names are weights only: lines in an element with a
+boilerplate class, id or role count a little, lines outside of a page's article elements a part of their length.
+Named elements that do not hold the densest window are then gaps as well.
+
+From the densest window the text reaches back to the surge point (before it, windows are empty) and on to the
+dive point (after it, windows are empty), and over other windows that are nearly as dense. A gap whose element
+was removed from inside the container of the text does not end it: what stands on both sides is kept. The end of
+an article element is such a gap, so articles beside the densest one in its container are kept.
 """
 
 from __future__ import annotations
@@ -32,13 +34,20 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]
 _WORD = re.compile(r"[a-z0-9]+")
 #: Elements that are never article text.
 SKIPPED = frozenset("nav header footer aside form button menu dialog fieldset label input".split())
-#: Words of a class, id or role that say the same.
+#: Words of a class, id or role that make boilerplate likely.
 SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup sidebar widget nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar "
     "comment comments commentary disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager "
     "login search complementary contentinfo".split()
 )
+#: Words beside them that say nothing of the content; a name with any other word is no boilerplate name.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons card cards col column container content count feed field fixed group head heading inner item items js layer left link links "
+    "list main meta module more nav outer page panel placeholder post posts right row section site slot small sticky thread title tools top unit view w wrap wrapper zone".split()
+)
+#: Weights of lines in elements of boilerplate names, and of lines outside of a page's article elements.
+NAMED, OUTSIDE = 0.1, 0.25
 _NEVER_SKIPPED = frozenset("html body main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -50,47 +59,53 @@ _BOXES = frozenset("html body div section center article main td th".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _skipped(tag: str, attrs: str) -> bool:
+def _hidden(tag: str, attrs: str) -> bool:
+    """Whether an element is never article text, by its tag or because it is not shown."""
     if tag in SKIPPED:
         return True
+    return tag not in _NEVER_SKIPPED and any(n.lower() == "hidden" or n.lower() == "aria-hidden" and "true" in v.lower() for n, v in _ATTRIBUTE.findall(attrs))
+
+
+def _named(tag: str, attrs: str) -> bool:
+    """Whether a class, id or role has a name made of boilerplate words (and neutral ones) alone."""
     if not attrs or tag in _NEVER_SKIPPED:
         return False
     for name, value in _ATTRIBUTE.findall(attrs):
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and "true" in value.lower():
-            return True
-        if name in ("class", "id", "role") and not SKIPPED_WORDS.isdisjoint(_WORD.findall(value.lower())):
-            return True
+        if name.lower() in ("class", "id", "role"):
+            for one in value.strip("\"'").lower().split():
+                words = [w for w in _WORD.findall(one) if not w.isdigit()]
+                if not SKIPPED_WORDS.isdisjoint(words) and all(w in SKIPPED_WORDS or w in NEUTRAL_WORDS for w in words):
+                    return True
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, int], set[int]]:
-    """(text, article, containers) of each line, the parent of each article, and the elements that are the page itself.
+def lines(page: str, kept: frozenset[int] | None = None, window: int = WINDOW) -> tuple[list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]], set[int]]:
+    """(text, whether in an article or main element, named elements around it, containers) of each line, and the elements
+    that are the page itself.
 
-    article: 0, or the number of the outermost article (or main) element. Containers: the open ``_BOXES``, without the
-    one whose only text the line is. Gaps are empty lines with the containers of the element removed."""
-    out: list[tuple[str, int, tuple[int, ...]]] = []
+    Containers: the open ``_BOXES``, without the one whose only text the line is. Gaps are empty lines with the
+    containers of the element removed. Elements of boilerplate names are removed, but for those in ``kept`` (None: for all)."""
+    out: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, skipped, article
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, skipped, in an article, named elements
     path: list[int] = []  # numbers of the open boxes, 0 for other elements and outside of all
-    parents: dict[int, int] = {}
     top, parted = {0}, {0}  # the page itself; elements with blocks inside
-    made = number = 0
+    number = 0
 
     def skipping() -> bool:
         return bool(stack) and stack[-1][1]
 
-    def inside() -> int:
-        return stack[-1][2] if stack else 0
+    def inside() -> tuple[bool, tuple[int, ...]]:
+        return stack[-1][2:] if stack else (False, ())
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, inside(), (0, *filter(None, path))))
+            out.append((text, *inside(), (0, *filter(None, path))))
 
     def gap() -> None:
-        out.extend([("", inside(), (0, *filter(None, path)))] * WINDOW)
+        out.extend([("", *inside(), (0, *filter(None, path)))] * window)
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -106,11 +121,10 @@ def lines(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int,
             if tag in _BLOCKS and not skipping():
                 flush()
             if k is not None:
-                if any(s[1] for s in stack[k:]) and not (k and stack[k - 1][1]):
-                    del stack[k:], path[k:]
+                parts = any(s[1] or s[0] in ("article", "main") for s in stack[k:]) and not (k and stack[k - 1][1])
+                del stack[k:], path[k:]
+                if parts:
                     gap()
-                else:
-                    del stack[k:], path[k:]
             continue
         if tag in _VOID:
             if tag == "br" and not skipping():
@@ -130,80 +144,80 @@ def lines(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int,
         elif tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             path.pop()
-        skip = skipping() or _skipped(tag, m["attrs"])
-        article = inside()
-        if not skip and tag in ("article", "main") and (not article or tag == "article" and article < 0):
-            made += 1
-            article = made if tag == "article" else -made  # a main element counts until an article in it begins
-            parents[made] = max(path, default=0)
         number += 1
+        article, named = inside()
+        if not skipping() and _named(tag, m["attrs"]):
+            named = (*named, number)
+        skip = skipping() or _hidden(tag, m["attrs"]) or kept is not None and bool(named) and named[-1] == number and number not in kept
+        if not skip and tag in ("article", "main"):
+            if out and out[-1][0]:
+                gap()
+            article = True
         if tag in ("html", "body"):
             top.add(number)
         if tag in _BLOCKS or skip:
             parted.update(path)
-        stack.append((tag, skip, article))
+        stack.append((tag, skip, article, named))
         path.append(number if tag in _BOXES else 0)
     if at < len(page) and not skipping():
         held.append(html.unescape(page[at:]))
     flush()
     leaf = lambda text, at: at[:-1] if text and at[-1] not in parted else at
-    return [(text, article, leaf(text, at)) for text, article, at in out], parents, top
+    return [(text, article, named, leaf(text, at)) for text, article, named, at in out], top
 
 
-def _bridged(found: list[tuple[str, int, tuple[int, ...]]], top: set[int], a: int, b: int) -> bool:
+def _sums(found: list[tuple], sizes: list[float], window: int) -> list[float]:
+    half = window // 2
+    return [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(found))]
+
+
+def _bridged(found: list[tuple], top: set[int], a: int, b: int) -> bool:
     """Whether the gaps between lines a and b (of text) all come from elements removed inside one container of both: the
     page itself only where both stand in it directly."""
-    for _, _, at in found[min(a, b) + 1 : max(a, b)]:
+    for *_, at in found[min(a, b) + 1 : max(a, b)]:
         if at[-1] in top:
-            if found[a][2][-1] not in top or found[b][2][-1] not in top:
+            if found[a][3][-1] not in top or found[b][3][-1] not in top:
                 return False
-        elif at[-1] not in found[a][2] or at[-1] not in found[b][2]:
+        elif at[-1] not in found[a][3] or at[-1] not in found[b][3]:
             return False
     return True
 
 
-def main_text(page: str | None) -> str:
-    """The main text, one line a block; empty where a page has none."""
-    found, parents, top = lines(page or "")
-    sizes = [len(t) for t, *_ in found]
-    if not any(sizes):
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    """The main text, one line a block; empty where a page has none. ``window``: lines whose lengths are summed."""
+    page = page or ""
+    found, _ = lines(page, None, window)
+    if not any(line[0] for line in found):
         return ""
-    half = WINDOW // 2
-    sums = [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(sizes))]
-    articles: dict[int, int] = {}
-    for (_, article, _), n in zip(found, sizes):
-        if article > 0:
-            articles[article] = articles.get(article, 0) + n
+
+    def weighed(found: list[tuple]) -> list[float]:
+        some = any(article for _, article, *_ in found)
+        return _sums(found, [len(text) * (NAMED if named else 1) * (OUTSIDE if some and not article else 1) for text, article, named, _ in found], window)
+
+    sums = weighed(found)
+    peak = max(range(len(sums)), key=lambda i: (sums[i], -i))
+    # of the elements with boilerplate names, those that hold the densest text stay
+    near = [i for i in range(max(0, peak - window // 2), min(len(found), peak + window // 2 + 1)) if found[i][0]]
+    heart = max(near, key=lambda i: (len(found[i][0]) * (NAMED if found[i][2] else 1), -i))
+    found, top = lines(page, frozenset(found[heart][2]), window)
+    found = [(text, article, (), at) for text, article, _, at in found]
+    sums = weighed(found)
     peak = max(range(len(sums)), key=lambda i: (sums[i], -i))
-    if articles:
-        # the article of the peak; where the peak is outside of any, the one with the most text
-        own = found[peak][1] if found[peak][1] > 0 else min(articles, key=lambda a: (-articles[a], a))
-        # and those beside it
-        within = [i for i, (_, a, _) in enumerate(found) if a > 0 and parents[a] == parents[own]]
-    elif any(a < 0 for _, a, _ in found):
-        within = [i for i, (_, a, _) in enumerate(found) if a < 0]
-    else:
-        surge, dive = peak, peak
-        while surge > 0 and sums[surge - 1]:
-            surge -= 1
-        while dive < len(sums) - 1 and sums[dive + 1]:
-            dive += 1
-        # other parts that are nearly as dense belong to the text as well
-        dense = [i for i, s in enumerate(sums) if s >= sums[peak] / 4]
-        surge, dive = min(surge, dense[0]), max(dive, dense[-1])
-        while surge > 0 and sums[surge - 1]:
-            surge -= 1
-        while dive < len(sums) - 1 and sums[dive + 1]:
-            dive += 1
-        full = [i for i, n in enumerate(sizes) if n]
-        low = next(k for k, i in enumerate(full) if i >= surge)
-        high = max(k for k, i in enumerate(full) if i <= dive)
-        while low > 0 and _bridged(found, top, full[low - 1], full[low]):
-            low -= 1
-        while high < len(full) - 1 and _bridged(found, top, full[high], full[high + 1]):
-            high += 1
-        within = full[low : high + 1]
-    return "\n".join(found[i][0] for i in within if found[i][0])
+    # other parts that are nearly as dense belong to the text as well
+    dense = [i for i, s in enumerate(sums) if s >= sums[peak] / 4]
+    surge, dive = dense[0], dense[-1]
+    while surge > 0 and sums[surge - 1]:
+        surge -= 1
+    while dive < len(sums) - 1 and sums[dive + 1]:
+        dive += 1
+    full = [i for i, line in enumerate(found) if line[0]]
+    low = next(k for k, i in enumerate(full) if i >= surge)
+    high = max(k for k, i in enumerate(full) if i <= dive)
+    while low > 0 and _bridged(found, top, full[low - 1], full[low]):
+        low -= 1
+    while high < len(full) - 1 and _bridged(found, top, full[high], full[high + 1]):
+        high += 1
+    return "\n".join(found[i][0] for i in full[low : high + 1])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
