@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_table, window_hashes, word_hashes, write_table
+from .common import arrow_map, window_hashes, word_hashes, write_table
 
 _SPACE = np.array([9, 10, 11, 12, 13, 32])
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -77,16 +77,16 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang`` and the counts ``n_words`` and ``MEASURES`` (long) of each whole text; a null text counts as empty."""
+    """``doc_id, lang, text_key`` (a hash of the text) and the counts ``n_words`` and ``MEASURES`` (long) of each whole text; a null text counts as empty."""
     names = ("n_words", *MEASURES)
 
     def rows(col, _):
         found = list(zip(*[measure(t) for t in col["text"]]))
-        return {"doc_id": col["doc_id"], "lang": col["lang"]} | dict(zip(names, found))
+        return {n: col[n] for n in ("doc_id", "lang", "text_key")} | dict(zip(names, found))
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, text), rows, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, F.xxhash64(text).alias("text_key"), text.alias("text")), rows, "doc_id long, lang string, text_key long, " + ", ".join(f"{n} long" for n in names))
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -109,9 +109,10 @@ def certified(good: list[int], n: int, rate: float, error: float) -> int:
 
 
 def thresholds(found: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, dict[str, float]]:
-    """stratum -> rule -> cutoff, learned from all labelled rows of ``measured``; '' is the stratum of all other languages.
+    """stratum -> rule -> cutoff, learned from all labelled texts of ``measured``; '' is the stratum of all other languages.
 
-    Only counts for each (stratum, rule, cutoff) come to the driver."""
+    The bounds ask for independent documents, so a text counts once in a stratum however many labelled copies it has
+    (as good, if any is). Only counts for each (stratum, rule, cutoff) come to the driver."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     rows = found.join(known, "doc_id")
     top = [r["lang"] for r in rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(risk.strata).collect()]
@@ -121,7 +122,9 @@ def thresholds(found: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict
         # how many steps of the ladder reject the row; cumulated below
         steps = sum((F.expr(value) > c).cast("int") for c in ladder)
         rows = rows.withColumn(f"steps_{name}", steps)
-    rows = rows.select(stratum.alias("stratum"), "quality", *[f"steps_{n}" for n in RULES])
+    rows = rows.select(stratum.alias("stratum"), "text_key", "quality", *[f"steps_{n}" for n in RULES])
+    # copies share all measures
+    rows = rows.groupBy("stratum", "text_key").agg(F.max("quality").alias("quality"), *[F.first(f"steps_{n}").alias(f"steps_{n}") for n in RULES])
     long = rows.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"steps_{n}").alias("steps")) for n in RULES])).alias("s"))
     seen = long.groupBy("stratum", "quality", "s.rule", "s.steps").agg(*counts).collect()  # strata x rules x cutoffs at most
     tests = max(1, len({r["stratum"] for r in seen})) * len(RULES)
@@ -150,8 +153,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> D
 
     Base: fewer than 10 words, or more than a fifth of the words in repeated 5-word windows. Rows with a
     null lang, or one without enough labels, belong to the common stratum. Repeated rows are judged each;
-    repeated labels of a doc_id count once (good, if any says so); rows of a repeated doc_id all count
-    as labelled. Without labels no rule rejects. An empty table gives no rows."""
+    repeated labels of a doc_id, and labelled copies of a text, count once (good, if any says so); rows of a
+    repeated doc_id all count as labelled. Without labels no rule rejects. An empty table gives no rows."""
     found = write_table(measured(docs), "quality-measures")
     cutoffs = thresholds(found, labels, risk)
     stratum = F.coalesce(F.when(F.col("lang").isin(*[s for s in cutoffs if s]), F.col("lang")), F.lit(""))
@@ -164,4 +167,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> D
         here = F.col("lang") == at if at else (~F.col("lang").isin(*known) | F.col("lang").isNull() if known else F.lit(True))
         fails = fails | (F.coalesce(here, F.lit(False)) & hit)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return found.withColumn("base_failed", base).withColumn("kept", ~base & ~fails)
+    return found.drop("text_key").withColumn("base_failed", base).withColumn("kept", ~base & ~fails)
