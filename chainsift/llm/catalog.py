@@ -76,7 +76,8 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    # a null doc_id has no remainder: it is not held out, and never learned from
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,10 +44,9 @@ FEATURES = (
 @dataclass(frozen=True)
 class Sample:
     """What the model is fitted on. ``rows``: at most so many labelled documents, by a hash of doc_id;
-    ``stems``: at most so many learned stems, each in at least ``support`` toxic documents of the sample."""
+    ``support``: toxic documents of the sample that a learned stem is in at least."""
 
     rows: int = 20_000
-    stems: int = 4_000
     support: int = 4
     trees: int = 24
     depth: int = 3
@@ -97,8 +96,10 @@ def features(text: str | None, learned: dict[str, float]) -> tuple[float, ...]:
     )
 
 
-def _learn_stems(sample: DataFrame, toxic: int, other: int, bound: Sample) -> dict[str, float]:
-    """Log-odds of stems (the first letters of a word) that toxic documents of the sample hold far more often."""
+def _learn_stems(sample: DataFrame, bound: Sample) -> dict[str, float]:
+    """Log-odds of stems (the first letters of a word) that toxic documents of the sample hold far more often.
+    The sample is bounded, and so are its stems."""
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
 
     def rows(col, _):
         out = {"stem": [], "toxic": []}
@@ -109,8 +110,8 @@ def _learn_stems(sample: DataFrame, toxic: int, other: int, bound: Sample) -> di
         return out
 
     counts = arrow_map(sample.select("text", "toxic"), rows, "stem string, toxic int").groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(other + 1.0))
-    best = counts.where(F.col("bad") >= bound.support).withColumn("odds", odds).where("odds > 2.5 and good * 20 <= bad").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "stem").limit(bound.stems)
+    odds = F.log((F.col("bad") + 0.5) / F.lit(sizes.get(1, 0) + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(sizes.get(0, 0) + 1.0))
+    best = counts.where(F.col("bad") >= bound.support).withColumn("odds", odds).where("odds > 2.5 and good * 20 <= bad")
     return {r["stem"]: float(r["odds"]) for r in best.collect()}
 
 
@@ -126,12 +127,13 @@ def _featured(rows: DataFrame, learned: dict[str, float], kept: list[str], text:
 
 
 def _training(docs: DataFrame, labels: DataFrame, bound: Sample) -> DataFrame:
-    """(doc_id, text, toxic, part) of the sample: one row for each different text; part is 'fit' or 'curve'."""
+    """(doc_id, text, toxic, part) of the sample: one row for each different text; part is 'a' or 'b' (for the trees) or 'curve'."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound.rows)  # a bounded table
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    return rows.dropDuplicates(["text"]).withColumn("part", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, "curve").otherwise("fit"))
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    return rows.dropDuplicates(["text"]).withColumn("part", F.when(deal < 2, "curve").when(deal < 6, "a").otherwise("b"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: Sample = Sample()) -> DataFrame:
@@ -155,17 +157,21 @@ def score_toxicity_with(docs: DataFrame, labels: DataFrame, bound: Sample = Samp
         drop_table(sample)
         share = 1.0 if toxic else 0.0
         return docs.select(*kept, F.lit(share).alias(into[0]), F.lit(int(share)).alias(into[1]))
-    learned = _learn_stems(sample.where("part = 'fit'"), toxic, other, bound)
-    table = write_table(_featured(sample, learned, ["doc_id", "toxic", "part"]), "toxicity-features")
+    fold = {x: sample.where(F.col("part") == x) for x in ("a", "b")}
+    learned = _learn_stems(sample.where("part <> 'curve'"), bound)
+    # a training row's features come from stems that its own label had no say in
+    kept_in = ["doc_id", "toxic", "part"]
+    parts = [_featured(fold["a"], _learn_stems(fold["b"], bound), kept_in), _featured(fold["b"], _learn_stems(fold["a"], bound), kept_in), _featured(sample.where("part = 'curve'"), learned, kept_in)]
+    table = write_table(parts[0].unionByName(parts[1]).unionByName(parts[2]), "toxicity-features")
     drop_table(sample)
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     weight = F.when(F.col("toxic") == 1, F.lit(min(20.0, max(1.0, other / toxic / 2)))).otherwise(1.0)
     table = gather.transform(table).withColumn("label", F.col("toxic").cast("double")).withColumn("weight", weight)
     # the sample is bounded: a few partitions spare the boosting rounds many empty tasks
-    fit = table.where("part = 'fit'").coalesce(4)
+    fit = table.where("part <> 'curve'").coalesce(4)
     model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=bound.trees, maxDepth=bound.depth, stepSize=0.2, seed=bound.seed, minInstancesPerNode=2).fit(fit)
     raw = vector_to_array("probability")[1]
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(model.transform(table).select(raw.alias("raw"), "label"))
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(model.transform(table.where("part = 'curve'")).select(raw.alias("raw"), "label"))
     names = [f"c{n}" for n in range(len(kept))]  # columns of clashing names do no harm
     target = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
     scored = gather.transform(_featured(target, learned, names, names[[c.lower() for c in kept].index("text")]))
