@@ -303,6 +303,19 @@ def test_quality_rejects_within_its_risk(spark):
     assert sum(not r["kept"] for r in good) <= 0.02 * len(good) and sum(r["kept"] for r in got if r["doc_id"] % 4 == 0) == 0
 
 
+def test_quality_counts_a_text_once(spark):
+    """Copies of one good text are no evidence of their own: with them counted, a bound would hold that does not."""
+    text = lambda k: " ".join(f"word{(k * 31 + j * 7) % 997}x{k}" for j in range(40))
+    docs = [(k, text(k) + (" ".join(f" ####{j}$$$$" for j in range(40)) if k % 4 == 0 else ""), "en") for k in range(200)]
+    labels = [(k, int(k % 4 != 0)) for k in range(200)]
+    copies = [(k, text(1), "en") for k in range(1000, 4000)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    alone = quality_filter(frame(docs, "doc_id long, text string, lang string"), frame(labels, "doc_id long, quality int"))
+    many = quality_filter(frame(docs + copies, "doc_id long, text string, lang string"), frame(labels + [(k, 1) for k, *_ in copies], "doc_id long, quality int"))
+    assert alone.where("kept").count() == 200  # too few good documents for a certificate
+    assert many.where("kept").count() == 3200
+
+
 def test_quality_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
     assert quality_filter(odd, labels).count() == odd.count() and quality_filter(nothing, labels).count() == 0
@@ -344,28 +357,49 @@ def test_packing_odd(odd, nothing, ids):
 # sharding
 
 
-def plain_shards(docs, shards=40):
-    sizes = sorted((d is not None, d or 0, len((t or "").encode()) + 16) for d, t in docs)
-    total, at, out = sum(s for *_, s in sizes), 0, []
-    for _, _, s in sizes:
-        out.append(min(shards - 1, (2 * at + s) * shards // (2 * total)))
-        at += s
+def plain_shards(found, shards=40):
+    """shard of each text, from the order of the groups in the result and all sizes."""
+    total, at, out = sum(r["size"] for r in found), 0, {}
+    for text in dict.fromkeys(r["text"] for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))):
+        own = sum(r["size"] for r in found if r["text"] == text)
+        out[text] = min(shards - 1, (2 * at + own) * shards // (2 * total))
+        at += own
     return out
 
 
 def test_sharding(spark, data, small, odd, nothing):
     for df, docs in ((catalog.op6_shard(spark, data), [(d, t) for d, t, *_ in small("documents")]), (shard_by_bytes(odd), [(r["doc_id"], r["text"]) for r in odd.collect()])):
-        found = sorted(rows(df), key=lambda r: (r["shard"], r["slot"]))
-        assert [r["shard"] for r in found] == plain_shards(docs)
-        order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in found]
-        assert order == sorted(order)
+        found = rows(df)
+        made = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in docs)
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == made
+        by = {(d, zlib.crc32((t or "").encode())): t or "" for d, t in docs}
+        for r in found:
+            r["text"] = by[r["doc_id"], r["text_crc32"]]
+        # equal texts together, cut at equal targets, contiguous in the order of the groups
+        where = plain_shards(found)
+        assert all(r["shard"] == where[r["text"]] for r in found)
         for s in {r["shard"] for r in found}:
-            assert [r["slot"] for r in found if r["shard"] == s] == list(range(sum(r["shard"] == s for r in found)))
-    by = {d: t for d, t, *_ in small("documents")}
-    assert all(r["text_crc32"] == zlib.crc32(by[r["doc_id"]].encode()) for r in rows(catalog.op6_shard(spark, data)))
+            own = sorted((r for r in found if r["shard"] == s), key=lambda r: r["slot"])
+            assert [r["slot"] for r in own] == list(range(len(own)))
+            texts = [r["text"] for r in own]
+            assert len(list(dict.fromkeys(texts))) == sum(1 for k, t in enumerate(texts) if not k or texts[k - 1] != t)
+        sizes = Counter()
+        for r in found:
+            sizes[r["shard"]] += r["size"]
+        target, largest = sum(sizes.values()) / 40, max(sum(r["size"] for r in found if r["text"] == t) for t in where)
+        assert all(abs(n - target) <= largest for n in sizes.values())
     assert shard_by_bytes(nothing).count() == 0
 
 
+def test_sharding_large_group(spark):
+    """A third of all rows in one group: salted ranks are gapless all the same."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'one text for many', concat('text ', id)) as text")
+    found = rows(shard_by_bytes(docs.unionByName(docs.where("doc_id = 0")), 4))
+    assert len({r["shard"] for r in found if r["doc_id"] % 3 == 0}) == 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+
+
 # toxicity
 
 
@@ -382,6 +416,16 @@ def test_toxicity_held_out(spark):
     assert auc > 0.8 and sum(y == p for _, y, p in held) / len(held) > 0.93
 
 
+def test_toxicity_calibration_rows_train_no_tree(spark, data):
+    """The curve's rows are apart from the trees', no text is in two parts, and held-out rows are in none."""
+    from chainsift.llm.toxicity import Sample, _training
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    sample = rows(_training(docs, labels, Sample()))
+    assert {r["part"] for r in sample} == {"a", "b", "curve"} and len({r["text"] for r in sample}) == len(sample)
+    assert all(fold(r["doc_id"], 5) for r in sample) and 0.1 < sum(r["part"] == "curve" for r in sample) / len(sample) < 0.3
+
+
 def test_toxicity_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(k, int(k in (1, 10))) for k in range(13)] + [(None, 1), (7, None)], "doc_id long, toxic int")
     found = rows(score_toxicity(odd, labels))
@@ -421,6 +465,32 @@ def test_pages_keep_div_rows_and_sibling_articles():
     assert main_text(page).split("\n") == [words.strip(), "Second, short."]
 
 
+def test_pages_windows_decide():
+    long, short = "many words of a long paragraph " * 13, "a line of about sixty characters in all, no more than that."
+    page = f"<body><div><p>{long}</p></div><nav>menu</nav><div>" + f"<p>{short}</p>" * 3 + "</div></body>"
+    assert main_text(page).split("\n") == [long.strip(), short, short, short]
+    assert main_text(page, window=1) == long.strip()
+    # an article element with little text does not win by its tag
+    page = f"<body><article><p>{short}</p></article><nav>menu</nav><div><p>" + "</p><p>".join([long] * 8) + "</p></div></body>"
+    assert main_text(page).split("\n") == [long.strip()] * 8
+
+
+def test_pages_names_are_weights():
+    long = "many words of a long paragraph " * 20
+    text = f'<p>{long}</p><p class="notice-of-intent">An intent.</p><p>{long}</p>'
+    for name in ("social-science post", "banner", "content widget"):
+        page = f'<body><div class="{name}">{text}</div><div class="comments"><p>{long}{long}</p><p>{long}</p></div></body>'
+        want = [long.strip(), "An intent.", long.strip()]
+        assert main_text(page).split("\n") == (want if name == "social-science post" else main_text(page).split("\n"))
+    page = f'<body><div class="banner">{text}</div><div class="sidebar-left">links</div></body>'
+    assert main_text(page).split("\n") == want
+    # two articles of equal density, and a very long page
+    page = f"<body><div><article><p>{long}</p></article><article><p>{long}</p></article></div></body>"
+    assert main_text(page).split("\n") == [long.strip()] * 2
+    page = "<body><nav>menu</nav><div>" + f"<p>{long}</p>" * 5000 + "</div><footer>end</footer></body>"
+    assert main_text(page) == "\n".join([long.strip()] * 5000)
+
+
 def test_pages_odd(spark, data, small):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 2), (None, None, None, None), (2, None, "", 0)], "page_id long, url string, html string, text long")
     found = rows(extract_pages(pages))
