@@ -48,7 +48,8 @@ def stable_id(text: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """Epoch seconds, or ISO text (naive: UTC); NULL for anything else."""
-    return F.coalesce(F.timestamp_micros((text.try_cast("double") * 1000000).cast("long")), F.try_to_timestamp(text))
+    number = text.try_cast("double")
+    return F.coalesce(F.when(F.abs(number) < 1e11, F.timestamp_micros((number * 1000000).cast("long"))), F.try_to_timestamp(text))
 
 
 def parse_list(text: Column) -> Column:
@@ -58,6 +59,33 @@ def parse_list(text: Column) -> Column:
     return F.filter(F.transform(F.coalesce(found, plain), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def parse_list_strict(text: Column) -> Column:
+    """JSON array; anything else is an error."""
+    return F.from_json(text, "array<string>", {"mode": "FAILFAST"})
+
+
+def digest(rows: Column) -> Column:
+    """A content digest of a group's rows (texts), whatever their order: an aggregate."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(rows)), "\n"), 256)
+
+
+#: What a feature says about a scenario, in words.
+PHRASES = {
+    "tx_count": "number of transactions", "in_sat": "amount sent", "out_sat": "amount received", "wallets": "number of wallets", "ips": "number of relay addresses", "asns": "spread over networks",
+    "max_chain_length": "chain of hops", "amount_decay_slope": "slope of amounts along the chain", "address_reuse_ratio": "reuse of addresses", "change_output_ratio": "share of change outputs",
+    "io_count_ratio": "inputs for each output", "mean_num_outputs": "outputs of a transaction", "graph_density": "density of the graph", "max_in_degree": "fan-in", "max_out_degree": "fan-out",
+    "avg_clustering": "co-spending of the same wallets", "unique_output_addrs": "number of receiving wallets", "degree_assortativity": "ties between hubs", "output_amount_gini": "inequality of outputs",
+    "denomination_entropy": "variety of denominations", "unique_input_addrs": "number of spending wallets", "round_number_ratio": "share of round amounts", "suspicious_infra_ratio": "share of suspicious relays",
+    "num_txns": "number of transactions", "burstiness_B": "burstiness", "inter_tx_delta_min": "shortest pause", "unique_asn_count": "number of networks", "prop_delta_mean": "delay of relays", "unique_ip_count": "number of relay addresses",
+}
+
+
+def explanation(feature: Column, effect: Column) -> Column:
+    """One attribution in words: higher or lower, and the feature's phrase (its name where there is none)."""
+    words = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
+    return F.concat(F.when(effect > 0, "elevated ").otherwise("reduced "), F.coalesce(words[feature], feature))
+
+
 def from_satoshi(amounts: Column) -> Column:
     """Amounts over any possible number of coins are satoshi: the whole list is scaled."""
     return F.when(F.exists(amounts, lambda x: x > 21e6), F.transform(amounts, lambda x: F.round(x / 1e8, 8))).otherwise(amounts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +86,12 @@ def delay_entropy(delays: DataFrame, by: list[str], bin_seconds: float = 1.0) ->
 
 
 def tor_summary(telemetry: DataFrame, tx: DataFrame, bin_seconds: float = 0.05) -> DataFrame:
-    """One row for Tor, one for the rest: transactions, IPs, mean delay and its entropy."""
-    both = telemetry.join(tx.select("txid", "ts"), "txid").select(tor(F.col("node_type")).alias("is_tor"), "relay_ip", seconds_between(F.col("ts"), F.col("relay_ts")).alias("delay_s"))
+    """One row for Tor, one for the rest: transactions, IPs, mean delay and its entropy, and the five most frequent countries (country:n)."""
+    both = telemetry.join(tx.select("txid", "ts"), "txid").select(tor(F.col("node_type")).alias("is_tor"), "relay_ip", "country", seconds_between(F.col("ts"), F.col("relay_ts")).alias("delay_s"))
     out = both.groupBy("is_tor").agg(F.count("*").alias("tx_count"), F.count_distinct("relay_ip").alias("ips"), F.round(F.avg("delay_s"), 6).alias("delay_s"))
-    return out.join(delay_entropy(both, ["is_tor"], bin_seconds), "is_tor")
+    places = ranked(both.groupBy("is_tor", "country").agg(F.count("*").alias("n")), "n", "country", 5, ["is_tor"])
+    places = places.groupBy("is_tor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "country", "n").alias("c")))), lambda x: x["c"]), ",").alias("top_countries"))
+    return out.join(delay_entropy(both, ["is_tor"], bin_seconds), "is_tor").join(places, "is_tor")
 
 
 def tor_profile(telemetry: DataFrame, entries: DataFrame, tx: DataFrame, clusters: DataFrame, bin_seconds: float = 0.05) -> DataFrame:
@@ -103,20 +107,33 @@ def tor_profile(telemetry: DataFrame, entries: DataFrame, tx: DataFrame, cluster
 
 
 def dataset_snapshot(tx: DataFrame, telemetry: DataFrame, labels: DataFrame) -> DataFrame:
-    """(dimension, key, n): totals and counts by split, class, infrastructure, country and script, in one pass of grouping sets."""
+    """(dimension, key, n): totals and counts by split, class, infrastructure, country and script, in one pass of grouping sets.
+
+    Fails where the sources do not fit: transactions repeated, relays repeated or without a transaction, scenarios of several labels."""
+    total = lambda df, c: df.agg(c.alias("bad"))
+    faults = {
+        "repeated transactions": total(tx, F.count("*") - F.count_distinct("txid")),
+        "repeated relays": total(telemetry, F.count("*") - F.count_distinct("txid")),
+        "relays without a transaction": total(telemetry.join(tx, "txid", "left_anti"), F.count("*")),
+        "scenarios of several labels": total(labels.groupBy("scenario").agg(F.count_distinct("pattern_type", "split").alias("k")), F.count_if(F.col("k") > 1)),
+    }
+    found = reduce(DataFrame.unionByName, [df.select("bad", F.lit(name).alias("fault")) for name, df in faults.items()])
+    found = found.where("bad > 0").agg(F.array_join(F.array_sort(F.collect_list("fault")), ", ").alias("faults"))
     all_ = tx.join(telemetry, "txid").join(labels, "scenario")
     dims = ["split", "pattern_type", "node_type", "country", "script_type"]
     sets = all_.groupingSets([[F.col(d)] for d in dims] + [[]], *dims).agg(F.count("*").alias("n"), *[F.grouping(d).alias(f"g_{d}") for d in dims])
     name = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dims], F.lit("total"))
-    return sets.select(name.alias("dimension"), F.coalesce(*dims, F.lit("all")).alias("key"), "n")
+    # one row of faults goes along, so that the plan itself fails
+    n = F.when(F.col("faults") == "", F.col("n")).otherwise(F.raise_error(F.concat(F.lit("sources do not fit: "), F.col("faults"))).cast("long"))
+    return sets.crossJoin(F.broadcast(found)).select(name.alias("dimension"), F.coalesce(*dims, F.lit("all")).alias("key"), n.alias("n"))
 
 
 def timeline(tx: DataFrame, per_tx: DataFrame, bucket: str, most: int = 20_000) -> DataFrame:
-    """Transactions and input volume for each day, week (from Monday) or month, zero where nothing happened; at most ``most`` buckets."""
+    """Transactions and input volume for each day, week (from Monday) or month, zero where nothing happened; fails where that asks for more than ``most`` buckets."""
     kept = tx.join(per_tx.select("txid", "in_sat"), "txid", "left").groupBy(F.date_trunc(bucket, "ts").cast("date").alias("bucket")).agg(F.count("*").alias("tx_count"), F.coalesce(F.sum("in_sat"), F.lit(0)).alias("in_sat"))
     step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[bucket]
     ends = kept.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    spine = ends.where("a is not null").select(F.explode(F.slice(F.sequence("a", "b", F.expr(step)), 1, most)).alias("bucket"))
+    spine = ends.where("a is not null").select(F.sequence("a", "b", F.expr(step)).alias("all")).select(F.explode(F.when(F.size("all") <= most, F.col("all")).otherwise(F.raise_error(F.lit(f"over {most} buckets")).cast("array<date>"))).alias("bucket"))
     return spine.join(kept, "bucket", "left").select("bucket", F.coalesce("tx_count", F.lit(0)).alias("tx_count"), F.coalesce("in_sat", F.lit(0)).alias("in_sat"))
 
 

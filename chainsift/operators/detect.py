@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainsift.functions.columns import micros, suspicious
 
-from .graphs import _cut, community_metrics, connected, coparticipation, reach
+from .graphs import _cut, community_metrics
 
 
 def peel_transactions(entries: DataFrame, least_ratio: float = 2.0) -> DataFrame:
@@ -41,29 +41,67 @@ def peel_hops(entries: DataFrame, peels: DataFrame, gap_s: float = 21600, tolera
     return both.where(ok).groupBy("txid").agg(F.min(F.struct("next_ts", "next")).alias("x")).select("txid", F.col("x.next").alias("next"))
 
 
-def chains(peels: DataFrame, hops: DataFrame) -> DataFrame:
-    """(head, txid, pos): each maximal chain of the forest, whatever its length, from peels that nobody leads to.
-
-    Pointers double: after round k each transaction knows the one 2 ** k hops on, and each chain its first 2 ** k members."""
-    at = peels.where("two_rows").join(hops.select(F.col("next").alias("txid")), "txid", "left_anti").join(hops.select("txid"), "txid", "left_semi")
-    out = _cut(at.select(F.col("txid").alias("head"), "txid", F.lit(0).cast("long").alias("pos")), "chain")
-    jump, ahead = _cut(hops.select("txid", "next"), "jump"), 1
-    while jump.limit(1).count():
-        more = out.join(jump, "txid").select("head", F.col("next").alias("txid"), (F.col("pos") + ahead).alias("pos"))
-        out = _cut(out.unionByName(more), "chain")
-        jump = _cut(jump.join(jump.toDF("next", "far"), "next").select("txid", F.col("far").alias("next")), "jump")
-        ahead *= 2
-    return out
+def chains(steps: DataFrame) -> DataFrame:
+    """(txid, last, n, x, xx, y, yy, xy, falls, total, until): what the chain from each transaction on adds up to, whatever its length.
+
+    ``steps``: (txid, next, y, falls, total, ts), one row a transaction, next NULL at an end; hops form a forest. n members, sums over their
+    positions x (0 first) and values y, ``falls`` and ``total`` summed, ``until`` the last time. Pointers double: after round k a row covers
+    2 ** k members, so that there are as many rounds as the longest chain's logarithm and no list of members is ever made."""
+    zero = F.lit(0.0)
+    at = steps.select("txid", "next", F.col("txid").alias("last"), F.lit(1.0).alias("n"), zero.alias("x"), zero.alias("xx"), "y", (F.col("y") * F.col("y")).alias("yy"), zero.alias("xy"), "falls", "total", F.col("ts").alias("until"))
+    at = _cut(at, "chain")
+    while at.where("next is not null").limit(1).count():
+        far = at.select(*[F.col(c).alias(f"f_{c}") for c in at.columns])
+        n = F.col("n")
+        g = lambda c: F.coalesce(F.col(f"f_{c}"), zero)
+        both = at.join(far, F.col("next") == F.col("f_txid"), "left")
+        at = _cut(
+            both.select(
+                "txid",
+                F.col("f_next").alias("next"),
+                F.coalesce("f_last", "last").alias("last"),
+                (n + g("n")).alias("n"),
+                (F.col("x") + g("x") + n * g("n")).alias("x"),
+                (F.col("xx") + g("xx") + 2 * n * g("x") + n * n * g("n")).alias("xx"),
+                (F.col("y") + g("y")).alias("y"),
+                (F.col("yy") + g("yy")).alias("yy"),
+                (F.col("xy") + g("xy") + n * g("y")).alias("xy"),
+                (F.col("falls") + g("falls")).alias("falls"),
+                (F.col("total") + F.coalesce("f_total", F.lit(0))).alias("total"),
+                F.coalesce("f_until", "until").alias("until"),
+            ),
+            "chain",
+        )
+    return at
+
+
+def _decay() -> F.Column:
+    """Half the share of falling steps, and half R2 of the log value against the position (0 where it does not fall); 1 for a single hop."""
+    n = F.col("n")
+    sxx, syy, sxy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n, F.col("xy") - F.col("x") * F.col("y") / n
+    r2 = F.when((sxy >= -1e-9) | (syy <= 0), 0.0).otherwise(F.least(F.lit(1.0), sxy * sxy / (sxx * syy)))
+    return F.round(F.when(n <= 1, 1.0).otherwise(0.5 * F.col("falls") / (n - 1) + 0.5 * r2), 6)
 
 
 def decay(members: DataFrame, group: str = "chain") -> DataFrame:
-    """(group, hops, decay): half the share of falling steps of ``carry`` by ``pos``, and half R2 of its log against the
-    position (0 where it does not fall); 1 for a single hop."""
+    """(group, hops, decay): ``_decay`` of listed members (group, pos, carry)."""
     w = Window.partitionBy(group).orderBy("pos")
-    rows = members.withColumn("after", F.lead("carry").over(w)).withColumn("y", F.log(F.greatest(F.col("carry"), F.lit(1)).cast("double")))
-    per = rows.groupBy(group).agg(F.count("*").alias("hops"), F.avg((F.col("after") < F.col("carry")).cast("double")).alias("falls"), F.regr_slope("y", F.col("pos").cast("double")).alias("slope"), F.regr_r2("y", F.col("pos").cast("double")).alias("r2"))
-    score = F.when(F.col("hops") <= 1, 1.0).otherwise(0.5 * F.coalesce("falls", F.lit(0.0)) + 0.5 * F.when(F.coalesce("slope", F.lit(0.0)) >= 0, 0.0).otherwise(F.coalesce("r2", F.lit(0.0))))
-    return per.select(group, "hops", F.round(score, 6).alias("decay"))
+    rows = members.withColumn("fall", (F.lead("carry").over(w) < F.col("carry")).cast("double")).withColumn("v", F.log(F.greatest(F.col("carry"), F.lit(1)).cast("double"))).withColumn("p", F.col("pos").cast("double"))
+    sums = rows.groupBy(group).agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("x"), F.sum(F.col("p") * F.col("p")).alias("xx"), F.sum("v").alias("y"), F.sum(F.col("v") * F.col("v")).alias("yy"), F.sum(F.col("p") * F.col("v")).alias("xy"), F.coalesce(F.sum("fall"), F.lit(0.0)).alias("falls"))
+    return sums.select(group, F.col("n").cast("long").alias("hops"), _decay().alias("decay"))
+
+
+def _descends(good: DataFrame, hops: DataFrame) -> DataFrame:
+    """(txid): transactions that the chain of a good start passes later on, by doubling pointers backwards."""
+    marked = _cut(good.select("txid"), "marked")
+    jump, out = _cut(hops.select("txid", "next"), "jump"), None
+    while jump.limit(1).count():
+        # whoever is 2 ** k hops behind a marked one (or behind one found before)
+        new = marked.join(jump, "txid").select(F.col("next").alias("txid"))
+        marked = _cut(marked.unionByName(new).distinct(), "marked")
+        out = new if out is None else out.unionByName(new)
+        jump = _cut(jump.join(jump.toDF("next", "far"), "next").select("txid", F.col("far").alias("next")), "jump")
+    return out.distinct() if out is not None else marked.limit(0)
 
 
 def peel_chains(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, tolerance: float = 0.05, least_hops: int = 3, least_decay: float = 0.6) -> DataFrame:
@@ -71,27 +109,49 @@ def peel_chains(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, to
     suffix of a chain that passes itself is dropped. ``chain``: the first transaction."""
     peels = _cut(peel_transactions(entries, ratio), "peels")
     hops = _cut(peel_hops(entries, peels, gap_s, tolerance), "hops")
-    rows = chains(peels, hops).join(peels.select("txid", "carry", "peel", "ts"), "txid")
-    # suffixes: every position of a chain may be a start
-    starts = rows.select("head", F.col("pos").alias("from"), F.col("txid").alias("chain"))
-    both = starts.join(rows, "head").where("pos >= from").withColumn("pos", F.col("pos") - F.col("from"))
-    # chains may run together: one start is one suffix, whatever its head
-    both = both.groupBy("chain", "txid").agg(F.first("pos").alias("pos"), F.first("carry").alias("carry"), F.first("peel").alias("peel"), F.first("ts").alias("ts"))
-    good = decay(both).where((F.col("hops") >= least_hops) & (F.col("decay") >= least_decay))
-    members = both.join(good, "chain")
-    inside = members.where("pos > 0").select(F.col("txid").alias("chain")).distinct()
-    out = members.groupBy("chain", "hops", "decay").agg(F.sum("peel").alias("total_peeled"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return out.join(inside, "chain", "left_anti")
+    own = peels.where("two_rows").select("txid", "ts", "carry", "peel")
+    if least_hops > 1:  # whoever neither leads nor follows is a chain of one
+        own = own.join(hops.select("txid").union(hops.select("next")).distinct(), "txid", "left_semi")
+    ahead = hops.join(own.select(F.col("txid").alias("next"), F.col("carry").alias("after")), "next")
+    steps = own.join(ahead, "txid", "left").select("txid", "next", F.log(F.greatest(F.col("carry"), F.lit(1)).cast("double")).alias("y"), F.coalesce((F.col("after") < F.col("carry")).cast("double"), F.lit(0.0)).alias("falls"), F.col("peel").alias("total"), "ts")
+    found = chains(steps).withColumn("decay", _decay()).where((F.col("n") >= least_hops) & (F.col("decay") >= least_decay))
+    good = _cut(found.join(own.select("txid", "ts"), "txid").select("txid", F.col("n").cast("long").alias("hops"), "decay", F.col("total").alias("total_peeled"), F.col("ts").alias("first_ts"), F.col("until").alias("last_ts")), "good")
+    return good.join(_descends(good, hops), "txid", "left_anti").withColumnRenamed("txid", "chain")
+
+
+def evidence_peel(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, rise: float = 1.05, least_hops: int = 5, least_shapes: int = 3) -> DataFrame:
+    """(scenario, start, hops): the longest chain of each scenario, if it has ``least_hops`` transactions and its carries fall at every step.
+
+    Members have one or two inputs and one or two outputs (rows), the larger ``ratio`` times the smaller; the next one is the earliest (then
+    lowest) that spends the carry strictly later, within the gap, and carries at most ``rise`` times as much. Of equally long chains the
+    earliest start counts. Scenarios of fewer than ``least_shapes`` such transactions have no chain."""
+    per = entries.groupBy("scenario", "txid", "ts").agg(
+        F.count_if(F.col("side") == "in").alias("i"), F.count_if(F.col("side") == "out").alias("o"), F.min(F.when(F.col("side") == "out", F.col("sat"))).alias("low"),
+        F.max(F.when(F.col("side") == "out", F.struct("sat", (-F.col("idx")).alias("first"), "address"))).alias("top"),
+    )
+    ok = F.col("i").between(1, 2) & F.col("o").between(1, 2) & (F.col("low") > 0) & ((F.col("o") == 1) | (F.col("top.sat") / F.col("low") >= ratio))
+    shapes = _cut(per.where(ok).select("scenario", "txid", "ts", F.col("top.sat").alias("carry"), F.col("top.address").alias("address")), "shapes")
+    several = shapes.groupBy("scenario").agg(F.count("*").alias("n")).where(F.col("n") >= least_shapes).select("scenario")
+    shapes = shapes.join(several, "scenario", "left_semi")
+    spends = entries.where("side = 'in'").select("txid", "address").distinct().join(shapes.drop("address"), "txid").select("scenario", "address", F.col("txid").alias("next"), F.col("ts").alias("then"), F.col("carry").alias("after"))
+    gap = (micros(F.col("then")) - micros(F.col("ts"))) / 1e6
+    hops = shapes.join(spends, ["scenario", "address"]).where((gap > 0) & (gap <= gap_s) & (F.col("after") <= F.col("carry") * rise))
+    hops = hops.groupBy("txid").agg(F.min(F.struct("then", "next", "after")).alias("x")).select("txid", "x.next", "x.after")
+    steps = shapes.join(hops, "txid", "left").select("txid", "next", F.lit(0.0).alias("y"), F.coalesce((F.col("after") < F.col("carry")).cast("double"), F.lit(0.0)).alias("falls"), F.lit(0).cast("long").alias("total"), "ts")
+    best = chains(steps).join(shapes.select("scenario", "txid", "ts"), "txid").groupBy("scenario").agg(F.min(F.struct((-F.col("n")).alias("m"), "ts", "txid", "falls")).alias("x"))
+    return best.select("scenario", F.col("x.txid").alias("start"), (-F.col("x.m")).cast("long").alias("hops"), F.col("x.falls").alias("falls")).where(f"hops >= {int(least_hops)} and falls = hops - 1").drop("falls")
 
 
 def layering_candidates(entries: DataFrame, transfers: DataFrame, least_out: int = 5, least_ratio: float = 0.6, window_s: float = 259200, hub_degree: int = 500, hops: int = 3) -> DataFrame:
     """(source, sink, recipients, reached, ratio): sources of at least ``least_out`` recipients, most of whose money meets again in one sink in time; no hubs."""
-    hubs = entries.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > hub_degree).select("address")
+    # each is read in every hop: written once
+    hubs = _cut(entries.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > hub_degree).select("address"), "hubs")
+    transfers = _cut(transfers.select("src", "dst", "ts"), "transfers")
     own = transfers.join(hubs.select(F.col("address").alias("src")), "src", "left_anti")
-    fan = own.groupBy(F.col("src").alias("source")).agg(F.count_distinct("dst").alias("recipients")).where(F.col("recipients") >= least_out)
-    wide = own.join(fan.select(F.col("source").alias("src")), "src", "left_semi").select("src", "dst", "ts", "txid")
+    pairs = own.groupBy("src", "dst").agg(F.min("ts").alias("ts"))
+    fan = _cut(pairs.groupBy(F.col("src").alias("source")).agg(F.count("*").alias("recipients")).where(F.col("recipients") >= least_out), "fan")
     # the walk starts at the recipients of wide sources and may go on through any wallet
-    starts = wide.groupBy(F.col("src").alias("source"), F.col("dst").alias("recipient")).agg(F.min("ts").alias("ts"))
+    starts = pairs.join(fan.select(F.col("source").alias("src")), "src", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("recipient"), "ts")
     found = _walk(starts, transfers, hubs, hops, window_s)
     meet = found.groupBy("source", "sink").agg(F.count_distinct("recipient").alias("reached"))
     out = meet.join(fan, "source").withColumn("ratio", F.round(F.col("reached") / F.col("recipients"), 6)).where(F.col("ratio") >= least_ratio)
@@ -99,9 +159,10 @@ def layering_candidates(entries: DataFrame, transfers: DataFrame, least_out: int
 
 
 def _walk(starts: DataFrame, transfers: DataFrame, hubs: DataFrame, hops: int, window_s: float) -> DataFrame:
-    step = transfers.join(hubs.select(F.col("address").alias("dst")), "dst", "left_anti").select("src", "dst", "ts").distinct()
+    step = _cut(transfers.join(hubs.select(F.col("address").alias("dst")), "dst", "left_anti").select("src", "dst", "ts").distinct(), "steps")
     front = starts.select("source", "recipient", F.col("ts").alias("t0"), F.col("recipient").alias("sink"), F.col("ts").alias("t1"))
     seen, span = front, F.expr(f"make_dt_interval(0, 0, 0, {window_s})")
+    front = seen = _cut(front, "walk")
     for _ in range(hops):
         new = front.join(step, F.col("sink") == F.col("src")).where((F.col("ts") >= F.col("t1")) & (F.col("ts") <= F.col("t0") + span) & (F.col("dst") != F.col("source")))
         new = new.groupBy("source", "recipient", "t0", F.col("dst").alias("sink")).agg(F.min("ts").alias("t1"))
@@ -110,15 +171,13 @@ def _walk(starts: DataFrame, transfers: DataFrame, hubs: DataFrame, hops: int, w
     return seen.where("sink <> recipient")
 
 
-def louvain(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community): local moving by modularity gain over (a, b, weight), in rounds; ties to the lowest community.
+def _moved(both: DataFrame, total: float) -> DataFrame | None:
+    """(node, community) after local moving over (a, b, weight), both ways, loops in; None if nothing moves.
 
-    In a round only nodes of one hash half may move, so that neighbours do not swap for ever. A partition
-    is kept only if its modularity is not below that of the components it started from."""
-    both = _cut(pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "pairs")
-    total = both.agg(F.sum("weight")).first()[0] or 1
+    In a round only nodes of one hash half may move, to where modularity gains most (ties: the lowest community). Rounds end
+    when neither half moves, or when moves at the same time would lose what they gain."""
     degree = _cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "degree")
-    start = _cut(connected(pairs.select("a", "b")).select("node", F.col("label").alias("community")), "start")
+    apart = both.where("a <> b")
 
     def modularity(part: DataFrame) -> float:
         x = both.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")))).first()[0] or 0
@@ -126,17 +185,40 @@ def louvain(pairs: DataFrame, rounds: int = 8) -> DataFrame:
         return x / total - y
 
     part = _cut(degree.select("node", F.col("node").alias("community")), "part")
-    for r in range(rounds):
+    held, quiet, r, changed = modularity(part), 0, 0, False
+    while quiet < 2:
         own = degree.join(part, "node")
         sums = own.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = both.join(part.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        near = apart.join(part.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        # the own community is a choice even without a neighbour in it
+        near = near.unionByName(part.withColumn("w", F.lit(0).cast("long"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
         choice = near.join(sums, "community").join(own.select("node", "k", F.col("community").alias("own")), "node")
-        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)) / total
-        best = choice.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min(F.struct(-F.col("gain"), "community")).alias("x")).select("node", F.col("x.community").alias("to"))
+        gain = F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)) / total, 9)
+        best = choice.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), "community")).alias("x"), F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stay")).select("node", F.col("x.community").alias("to"), (-F.col("x.g") > F.col("stay")).alias("better"))
         moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        new = part.join(best, "node", "left").select("node", F.when(moves, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"))
-        part = _cut(new, "part")
-    return part if modularity(part) >= modularity(start) else start
+        new = _cut(part.join(best, "node", "left").select("node", F.when(moves & F.col("better"), F.col("to")).otherwise(F.col("community")).alias("community"), (moves & F.col("better")).alias("went")), "part")
+        r += 1
+        if not new.where("went").limit(1).count():
+            quiet += 1
+            continue
+        now = modularity(new.drop("went"))
+        if now <= held + 1e-9:
+            break
+        part, held, quiet, changed = new.drop("went"), now, 0, True
+    return part if changed else None
+
+
+def louvain(pairs: DataFrame) -> DataFrame:
+    """(node, community) over (a, b, weight): local moving until nothing moves, then the communities become nodes (their inner
+    weight a loop) and move in turn, level by level. A community is named after its lowest node; deterministic."""
+    both = _cut(pairs.select("a", "b", F.col("weight").cast("long").alias("weight")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").cast("long").alias("weight"))), "pairs")
+    total = both.agg(F.sum("weight")).first()[0] or 1
+    label = both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+    while (part := _moved(both, total)) is not None:
+        label = _cut(label.join(part.toDF("community", "to"), "community").select("node", F.col("to").alias("community")), "louvain")
+        both = _cut(both.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "pairs")
+    name = label.groupBy("community").agg(F.min("node").alias("name"))
+    return label.join(name, "community").select("node", F.col("name").alias("community"))
 
 
 def mixing_candidates(entries: DataFrame, members: DataFrame, pairs: DataFrame, least_size: int = 5, least_density: float = 0.3, most_external: float = 0.4, most_cv: float = 0.5, span_s: float = 172800) -> DataFrame:
@@ -152,13 +234,28 @@ def mixing_candidates(entries: DataFrame, members: DataFrame, pairs: DataFrame,
 
 def evidence_layering(entries: DataFrame, window_s: float = 259200, least_share: float = 0.6, least_wide: int = 3) -> DataFrame:
     """(scenario, fan_out, fan_in, share): in a scenario, a fan-out whose outputs mostly are the inputs of a later fan-in within the window; the first such pair."""
+    pairs = layering_pairs(entries, window_s, least_share, least_wide)
+    return pairs.groupBy("scenario").agg(F.min(F.struct("t0", "fan_out", "t1", "fan_in", "share")).alias("x")).select("scenario", "x.fan_out", "x.fan_in", "x.share")
+
+
+def layering_pairs(entries: DataFrame, window_s: float = 259200, least_share: float = 0.6, least_wide: int = 3) -> DataFrame:
+    """(scenario, fan_out, fan_in, t0, t1, shared, share): all pairs of a fan-out and a later fan-in of a scenario, within the window, that
+    share at least ``least_share`` of the fan-out's outputs."""
     per = entries.groupBy("scenario", "txid", "ts").agg(F.count_distinct(F.when(F.col("side") == "in", F.col("address"))).alias("i"), F.count_distinct(F.when(F.col("side") == "out", F.col("address"))).alias("o"))
     outs = entries.where("side = 'out'").join(per.where(F.col("o") >= least_wide).select("txid", "o"), "txid").select("scenario", "address", F.col("txid").alias("fan_out"), F.col("ts").alias("t0"), "o").distinct()
     ins = entries.where("side = 'in'").join(per.where(F.col("i") >= least_wide).select("txid"), "txid").select("scenario", "address", F.col("txid").alias("fan_in"), F.col("ts").alias("t1")).distinct()
     gap = (micros(F.col("t1")) - micros(F.col("t0"))) / 1e6
     pairs = outs.join(ins, ["scenario", "address"]).where((gap > 0) & (gap <= window_s)).groupBy("scenario", "fan_out", "t0", "fan_in", "t1", "o").agg(F.count("*").alias("shared"))
-    pairs = pairs.withColumn("share", F.round(F.col("shared") / F.col("o"), 6)).where(F.col("share") >= least_share)
-    return pairs.groupBy("scenario").agg(F.min(F.struct("t0", "fan_out", "t1", "fan_in", "share")).alias("x")).select("scenario", "x.fan_out", "x.fan_in", "x.share")
+    return pairs.withColumn("share", F.round(F.col("shared") / F.col("o"), 6)).where(F.col("share") >= least_share).drop("o")
+
+
+def aggregation_flow(entries: DataFrame, least_in: int = 2) -> DataFrame:
+    """(scenario, txid): fan-ins (input rows) of which some output is spent later in the same scenario."""
+    per = entries.groupBy("scenario", "txid").agg(F.count_if(F.col("side") == "in").alias("i"))
+    outs = entries.where("side = 'out'").join(per.where(F.col("i") >= least_in).select("txid"), "txid", "left_semi").select("scenario", "txid", "address", F.col("ts").alias("t0"))
+    # spent later means: the last time it is spent is later
+    later = entries.where("side = 'in'").groupBy("scenario", "address").agg(F.max("ts").alias("t1"))
+    return outs.join(later, ["scenario", "address"]).where("t1 > t0").select("scenario", "txid").distinct()
 
 
 def evidence_mixing(entries: DataFrame, least: int = 3, most_cv: float = 0.1) -> DataFrame:
@@ -174,11 +271,9 @@ def evidence_ransomware(entries: DataFrame, telemetry: DataFrame, tx: DataFrame,
     """(scenario, tx_count, suspicious, aggregated): small scenarios with suspicious relays, whose fan-ins' outputs are spent again later, and no fan-out of three or more."""
     infra = telemetry.join(tx, "txid").groupBy("scenario").agg(F.count("*").alias("tx_count"), F.count_if(suspicious(F.col("node_type"))).alias("suspicious"))
     infra = infra.where(F.col("tx_count").between(least, most) & (F.col("suspicious") >= least_suspicious) & (F.col("suspicious") >= least_share * F.col("tx_count")))
-    per = entries.groupBy("scenario", "txid").agg(F.count_if(F.col("side") == "in").alias("i"), F.count_if(F.col("side") == "out").alias("o"))
+    per = entries.groupBy("scenario", "txid").agg(F.count_if(F.col("side") == "out").alias("o"))
     wide = per.where("o >= 3").select("scenario").distinct()
-    outs = entries.where("side = 'out'").join(per.where("i >= 2").select("txid"), "txid", "left_semi").select("scenario", "txid", "address", F.col("ts").alias("t0"))
-    later = entries.where("side = 'in'").groupBy("scenario", "address").agg(F.max("ts").alias("t1"))
-    again = outs.join(later, ["scenario", "address"]).where("t1 > t0").groupBy("scenario").agg(F.count_distinct("txid").alias("aggregated"))
+    again = aggregation_flow(entries, 2).groupBy("scenario").agg(F.count("*").alias("aggregated"))
     return infra.join(again, "scenario").join(wide, "scenario", "left_anti")
 
 
@@ -189,6 +284,29 @@ def attach_evidence(flagged: DataFrame, fragments: DataFrame) -> DataFrame:
     return own.groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_set(one)), ";").alias("evidence"), F.count("*").alias("n"))
 
 
+def alert_records(flagged: DataFrame, entries: DataFrame, tx: DataFrame, telemetry: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One evidence record for each flagged (scenario, pattern_type): its transactions in time order, flows, relays and fragments of evidence."""
+    own = tx.join(flagged.select("scenario"), "scenario", "left_semi")
+    listed = own.groupBy("scenario").agg(F.count("*").alias("tx_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "txid"))), lambda x: x["txid"].cast("string")), ",").alias("txids"))
+    money = entries.groupBy("scenario").agg(F.coalesce(F.sum(F.when(F.col("side") == "in", F.col("sat"))), F.lit(0)).alias("in_sat"), F.coalesce(F.sum(F.when(F.col("side") == "out", F.col("sat"))), F.lit(0)).alias("out_sat"))
+    relays = own.select("txid", "scenario").join(telemetry, "txid")
+    several = lambda c, name: F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name)
+    places = relays.groupBy("scenario").agg(several("relay_ip", "ips"), several("asn", "asns"), several("country", "countries"))
+    kinds = relays.groupBy("scenario", "node_type").agg(F.count("*").alias("n")).groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node_type", "n"))), ",").alias("infrastructure"))
+    out = flagged.join(listed, "scenario").join(money, "scenario", "left").join(places, "scenario", "left").join(kinds, "scenario", "left").join(evidence, "scenario", "left")
+    return out.select(F.concat(F.lit("alert_"), "scenario").alias("candidate"), "scenario", "pattern_type", "tx_count", "txids", "in_sat", "out_sat", "ips", "asns", "countries", "infrastructure", F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+def explanations(features: DataFrame, names: list[str], top: int = 3) -> DataFrame:
+    """(scenario, text): the ``top`` features of largest standard score over all scenarios, in words (ties by name)."""
+    from chainsift.functions.columns import explanation
+
+    spread = features.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
+    score = lambda n: F.round(F.when(F.col(f"s_{n}") > 0, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).otherwise(0.0), 6)
+    long = features.crossJoin(F.broadcast(spread)).select("scenario", F.array_sort(F.array(*[F.struct((-F.abs(score(n))).alias("size"), F.lit(n).alias("feature"), score(n).alias("effect")) for n in names])).alias("all"))  # one row of means
+    return long.select("scenario", F.array_join(F.transform(F.slice("all", 1, top), lambda x: explanation(x["feature"], x["effect"])), "; ").alias("text"))
+
+
 def candidate_network(members: DataFrame, telemetry: DataFrame) -> DataFrame:
     """Of candidates (candidate, txid): distinct IPs and ASNs, share of Tor or VPN relays, and the IPs."""
     return members.join(telemetry, "txid").groupBy("candidate").agg(

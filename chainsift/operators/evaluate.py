@@ -95,14 +95,26 @@ def class_feature_stats(features: DataFrame, names: list[str], label: str) -> Da
 
 
 def size_audit(sizes: DataFrame) -> DataFrame:
-    """One row for (size, label): overlap of the two histograms, Kolmogorov-Smirnov distance and rank AUC of the size alone."""
+    """One row for (size, label): overlap of the two histograms, Kolmogorov-Smirnov distance, rank AUC and average precision of the size
+    alone, mutual information (nats) of the label and the size's band, and whether each stays within its gate.
+
+    The windows go over distinct sizes."""
+    bounds = (5, 7, 16, 41, 81, 151, 301)  # fixed values
+    band = sum((F.col("size") >= b).cast("int") for b in bounds)
+    cells = sizes.groupBy(band.alias("band"), "label").agg(F.count("*").alias("c"))
+    of = lambda *by: F.sum("c").over(Window.partitionBy(*by))
+    info = cells.select((F.col("c") / of(F.lit(0)) * F.log(F.col("c") * of(F.lit(0)) / (of("band") * of("label")))).alias("part")).agg(F.round(F.sum("part"), 6).alias("mutual_information"))
     per = sizes.groupBy("size").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     all_, up = Window.partitionBy(F.lit(0)), Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     per = per.select("size", "p", "n", F.sum("p").over(all_).alias("all_p"), F.sum("n").over(all_).alias("all_n"), F.sum("p").over(up).alias("cp"), F.sum("n").over(up).alias("cn"))
-    return per.agg(
+    above_p, above_n = F.col("all_p") - F.col("cp") + F.col("p"), F.col("all_n") - F.col("cn") + F.col("n")
+    out = per.agg(
         F.round(F.sum(F.least(F.col("p") / F.col("all_p"), F.col("n") / F.col("all_n"))), 6).alias("overlap"), F.round(F.max(F.abs(F.col("cp") / F.col("all_p") - F.col("cn") / F.col("all_n"))), 6).alias("ks"),
         F.round(F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2)) / F.max(F.col("all_p") * F.col("all_n")), 6).alias("auc"),
-    )
+        F.round(F.sum(F.col("p") * above_p / (above_p + above_n)) / F.max("all_p"), 6).alias("pr_auc"),
+    ).crossJoin(F.broadcast(info))  # fmt: skip  # one row each
+    gates = (("overlap", ">=", 0.75), ("ks", "<=", 0.2), ("auc", "<=", 0.58), ("pr_auc", "<=", 0.45), ("mutual_information", "<=", 0.01))  # fixed values
+    return out.select("*", *[F.expr(f"{c} {op} {v}").alias(f"{c}_ok") for c, op, v in gates])
 
 
 def score_gate(scores: DataFrame, typologies: list[str], threshold: float = 0.5, confident: float = 0.6) -> DataFrame:

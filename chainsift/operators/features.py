@@ -168,13 +168,16 @@ def chain_length(entries: DataFrame, cap: int = 15) -> DataFrame:
 
 
 def all_features(entries: DataFrame, tx: DataFrame, telemetry: DataFrame, chains: bool = True) -> DataFrame:
-    """All features; what a scenario lacks in the graph part is 0, a row count that changes in a join is an error."""
+    """All features; what a scenario lacks in the graph part is 0, a scenario that comes twice after the joins is an error."""
     base = amount_features(entries, tx)
     parts = [structure_features(entries, tx), temporal_features(tx, telemetry), network_features(tx, telemetry, entries), graph_features(entries)]
     if chains:
         parts.append(chain_length(entries))
     out = reduce(lambda a, b: a.join(b, "scenario", "left"), [base, *parts])
-    return out.na.fill(0, [c for c in GRAPH if c in out.columns])
+    out = out.na.fill(0, [c for c in GRAPH if c in out.columns])
+    # one row a scenario in each part means one row in the whole: repeats fail in the plan
+    n = F.count("*").over(Window.partitionBy("scenario"))
+    return out.withColumn("scenario", F.when(n == 1, F.col("scenario")).otherwise(F.raise_error(F.concat(F.lit("a scenario comes twice: "), F.col("scenario").cast("string"))).cast(out.schema["scenario"].dataType)))
 
 
 def guard(features: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN, key: str = "scenario") -> list[str]:

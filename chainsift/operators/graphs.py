@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,7 +82,9 @@ def entity_clusters(entries: DataFrame) -> DataFrame:
 
 
 def cluster_profile(entries: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row a cluster: members, flows, transactions with several inputs, scenarios, and a unit-length embedding of six log features."""
+    """One row a cluster: members, flows, inputs of transactions with several, scenarios, and a unit-length embedding of eight terms:
+    log1p of members, coins received and coins sent; such inputs a member; scenarios; log1p of input and of output rows; the
+    difference of both flows by their sum."""
     several = entries.where("side = 'in'").groupBy("txid").agg(F.count("*").alias("n")).where("n > 1").select("txid", F.lit(1).alias("multi"))
     rows = entries.join(clusters, "address").join(several, "txid", "left")
     out = rows.groupBy("cluster").agg(
@@ -91,8 +94,14 @@ def cluster_profile(entries: DataFrame, clusters: DataFrame) -> DataFrame:
         F.count_distinct("txid").alias("tx_count"),
         F.count_if((F.col("side") == "in") & (F.col("multi") == 1)).alias("multi_inputs"),
         F.count_distinct("scenario").alias("scenarios"),
+        F.count_if(F.col("side") == "in").alias("in_rows"),
+        F.count_if(F.col("side") == "out").alias("out_rows"),
     )
-    parts = [F.log1p(F.col(c).cast("double")) for c in ("size", "sent_sat", "received_sat", "tx_count", "multi_inputs", "scenarios")]
+    size, got, sent = F.col("size").cast("double"), F.col("received_sat") / 1e8, F.col("sent_sat") / 1e8
+    parts = [
+        F.log1p(size), F.log1p(got), F.log1p(sent), F.col("multi_inputs") / size, F.col("scenarios").cast("double"), F.log1p(F.col("in_rows").cast("double")), F.log1p(F.col("out_rows").cast("double")),
+        F.abs(got - sent) / F.greatest(F.lit(0.0001), got + sent),
+    ]
     norm = F.sqrt(sum(p * p for p in parts))
     return out.select("*", *[F.round(p / norm, 4).alias(f"e{k}") for k, p in enumerate(parts)])
 
@@ -104,7 +113,7 @@ def trace_path(transfers: DataFrame, src: str, dst: str, max_depth: int = 6) ->
     spark = transfers.sparkSession
     seen = spark.createDataFrame([(src, None, None, 0)], "wallet string, parent string, txid long, hop int")
     frontier = seen
-    steps = transfers.groupBy("src", "dst").agg(F.min("txid").alias("txid"))
+    steps = _cut(transfers.groupBy("src", "dst").agg(F.min("txid").alias("txid")), "trace-steps")
     if src != dst:
         for hop in range(1, max_depth + 1):
             new = frontier.select(F.col("wallet").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("wallet")).agg(F.min(F.struct("txid", "src")).alias("x"))
@@ -157,7 +166,7 @@ def coparticipation(entries: DataFrame, least: int = 3) -> DataFrame:
 
 
 def community_metrics(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Of communities (node, community): size, density, and the share of edge ends that leave."""
+    """Of communities (node, community): size, density, the share of edge ends that leave, and the diameter of the inner edges."""
     a = members.select(F.col("node").alias("a"), F.col("community").alias("ca"))
     b = members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
     both = pairs.join(a, "a").join(b, "b")
@@ -166,7 +175,70 @@ def community_metrics(pairs: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("community").agg(F.count("*").alias("size"))
     out = size.join(inner, "community", "left").join(outer, "community", "left").na.fill(0, ["inner_edges", "outer_edges"])
     n, i, o = F.col("size"), F.col("inner_edges"), F.col("outer_edges")
-    return out.select("community", "size", "inner_edges", "outer_edges", F.round(F.when(n > 1, 2 * i / (n * (n - 1))).otherwise(0.0), 6).alias("density"), F.round(F.when(i + o > 0, o / (i + o)).otherwise(0.0), 6).alias("external_ratio"))
+    far = diameters(both.where("ca = cb").select(F.col("ca").alias("community"), "a", "b"))
+    out = out.join(far, "community", "left").na.fill(0, ["diameter"])
+    return out.select("community", "size", "inner_edges", "outer_edges", "diameter", F.round(F.when(n > 1, 2 * i / (n * (n - 1))).otherwise(0.0), 6).alias("density"), F.round(F.when(i + o > 0, o / (i + o)).otherwise(0.0), 6).alias("external_ratio"))
+
+
+def diameters(edges: DataFrame) -> DataFrame:
+    """(community, diameter): the largest distance of two nodes along the edges (community, a, b), by breadth-first steps from all nodes.
+
+    Communities are small by their detection; the pairs kept are those of one community."""
+    both = _cut(edges.select("community", "a", "b").unionByName(edges.select("community", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "diameter-edges")
+    front = seen = both.select("community", F.col("a").alias("start"), F.col("a").alias("x")).distinct()
+    out, hop = front.select("community").distinct().withColumn("d", F.lit(0)), 0
+    while True:
+        hop += 1
+        new = front.withColumnRenamed("x", "a").join(both, ["community", "a"]).select("community", "start", F.col("b").alias("x")).distinct()
+        front = _cut(new.join(seen, ["community", "start", "x"], "left_anti"), "diameter")
+        if not front.limit(1).count():
+            return out.groupBy("community").agg(F.max("d").alias("diameter"))
+        seen = seen.unionByName(front)
+        out = out.unionByName(front.select("community").distinct().withColumn("d", F.lit(hop)))
+
+
+def simple_paths(transfers: DataFrame, src: str, dst: str, max_depth: int = 3) -> DataFrame:
+    """(hops, path): all paths of at most ``max_depth`` transfers between two wallets that visit no wallet twice, wallets joined by '>'.
+
+    Depth is bounded (six by default in investigations); only steps that can still reach ``dst`` in time are followed."""
+    steps = _cut(transfers.select("src", "dst").where("src <> dst").distinct(), "path-steps")
+    # wallets from which dst lies within k steps
+    near = [transfers.sparkSession.createDataFrame([(dst,)], "dst string")]
+    for _ in range(max_depth - 1):
+        near.append(_cut(steps.join(near[-1], "dst", "left_semi").select(F.col("src").alias("dst")).union(near[-1]).distinct(), "path-near"))
+    front = transfers.sparkSession.createDataFrame([(src, [src])], "at string, path array<string>")
+    found = []
+    for hop in range(1, max_depth + 1):
+        new = front.join(steps, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).join(near[max_depth - hop], "dst", "left_semi")
+        new = _cut(new.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")), "paths")
+        found.append(new.where(F.col("at") == dst).select(F.lit(hop).alias("hops"), F.array_join("path", ">").alias("path")))
+        front = new.where(F.col("at") != dst)
+    return reduce(DataFrame.unionByName, found)
+
+
+def scenario_graph(entries: DataFrame, tx: DataFrame, telemetry: DataFrame, clusters: DataFrame, labels: DataFrame, exchange_rows: int = 50) -> DataFrame:
+    """Nodes of each scenario's graph: (scenario, id, node_type, tx_count, first_seen, last_seen, cluster, is_exchange, amount_sat, tag).
+
+    Wallets have what the whole ledger knows of them: rows, first and last time, cluster, and whether they look like an exchange (rows of the
+    side they stand on in the scenario, inputs before outputs). Transactions have their outputs' sum, the cluster of the first input and the
+    pattern; IPs the time of their first relay in the scenario and its infrastructure."""
+    wallet = entries.groupBy("address").agg(F.count("*").alias("tx_count"), F.count_if(F.col("side") == "in").alias("ins"), F.count_if(F.col("side") == "out").alias("outs"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    own = entries.groupBy("scenario", "address").agg(F.max((F.col("side") == "in").cast("int")).alias("spends"))
+    busy = F.when(F.col("spends") == 1, F.col("ins")).otherwise(F.col("outs")) >= exchange_rows
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    w = own.join(wallet, "address").join(clusters, "address", "left").select(
+        "scenario", F.concat(F.lit("w:"), "address").alias("id"), F.lit("wallet").alias("node_type"), "tx_count", "first_seen", "last_seen", "cluster", busy.alias("is_exchange"), none("long", "amount_sat"),
+        F.when(busy, "LICIT_EXCHANGE").otherwise(F.concat(F.lit("S"), "scenario")).alias("tag"),
+    )
+    sums = entries.groupBy("txid").agg(F.coalesce(F.sum(F.when(F.col("side") == "out", F.col("sat"))), F.lit(0)).alias("amount_sat"), F.min(F.when((F.col("side") == "in") & (F.col("idx") == 0), F.col("address"))).alias("address"))
+    t = tx.join(sums, "txid", "left").join(clusters, "address", "left").join(labels.select("scenario", "pattern_type"), "scenario", "left").select(
+        "scenario", F.concat(F.lit("tx:"), "txid").alias("id"), F.lit("transaction").alias("node_type"), F.lit(1).cast("long").alias("tx_count"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), "cluster", F.lit(False).alias("is_exchange"),
+        F.coalesce("amount_sat", F.lit(0)).alias("amount_sat"), F.when(F.col("pattern_type") != "normal", F.upper("pattern_type")).alias("tag"),
+    )
+    ip = telemetry.join(tx.select("txid", "scenario"), "txid").groupBy("scenario", "relay_ip").agg(F.count("*").alias("tx_count"), F.min("relay_ts").alias("first_seen"), F.max("relay_ts").alias("last_seen"), F.min_by("node_type", "txid").alias("tag")).select(
+        "scenario", F.concat(F.lit("ip:"), "relay_ip").alias("id"), F.lit("ip").alias("node_type"), "tx_count", "first_seen", "last_seen", none("string", "cluster"), F.lit(False).alias("is_exchange"), none("long", "amount_sat"), "tag"
+    )
+    return w.unionByName(t).unionByName(ip)
 
 
 def reach(transfers: DataFrame, hubs: DataFrame, hops: int = 3, gap_s: float = 259200.0, span_s: float = 259200.0) -> DataFrame:

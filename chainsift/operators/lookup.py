@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainsift.functions.columns import seconds_between
@@ -27,27 +29,52 @@ def first_match(branches: list[DataFrame]) -> DataFrame:
     return out.withColumn("best", F.min("priority").over(Window.partitionBy("query"))).where("priority = best").select("query", "kind", "id")
 
 
+def substrings(text: Column) -> Column:
+    """All distinct substrings of a short text (ids, IPs): n (n + 1) / 2 at most."""
+    n = F.char_length(text)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda k: F.substring(text, a, k)))))
+
+
 def search(queries: DataFrame, tx: DataFrame, entries: DataFrame, telemetry: DataFrame, limit: int = 20) -> DataFrame:
     """For each query: the transaction, else the wallet, else the scenario of that id, else IPs and ASNs that contain it; at most ``limit`` rows each.
 
-    Exact kinds are equi-joins; only what is left is searched by substring, over distinct IPs and ASNs."""
+    All are equi-joins: distinct IPs and ASNs, which are short, meet the queries by their substrings."""
     q = queries.select("query", F.lower(F.trim("query")).alias("q"))
     by_tx = q.join(tx.select("txid").distinct(), F.col("q") == F.col("txid").cast("string")).select("query", F.lit("transaction").alias("kind"), "q", F.col("q").alias("id"))
     by_wallet = q.join(entries.select("address").distinct(), F.col("q") == F.lower("address")).select("query", F.lit("wallet").alias("kind"), F.col("address").alias("id"))
     by_scenario = q.join(tx.select(F.concat(F.lit("s"), F.col("scenario")).alias("sid")).distinct(), F.col("q") == F.col("sid")).select("query", F.lit("scenario").alias("kind"), F.col("sid").alias("id"))
     places = telemetry.select(F.explode(F.array("relay_ip", "asn")).alias("id")).distinct()
-    by_place = q.join(places, F.contains(F.lower("id"), "q")).select("query", F.lit("network").alias("kind"), "id")
+    by_place = q.join(places.select("id", F.explode(substrings(F.lower("id"))).alias("q")), "q").select("query", F.lit("network").alias("kind"), "id")
     found = first_match([by_tx, by_wallet, by_scenario, by_place])
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("id"))).where(F.col("rn") <= limit).drop("rn")
 
 
-def resolve_scenario(targets: DataFrame, tx: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query, scenario): by scenario id, else transaction, else address (lowest scenario of several)."""
-    q = targets.select("query", F.regexp_replace("query", "^(TX:|w:|tx:)", "").alias("q"))
-    exact = q.join(tx.select("scenario").distinct(), F.col("q") == F.concat(F.lit("s"), F.col("scenario"))).select("query", "scenario", F.lit(0).alias("p"))
-    by_tx = q.join(tx, F.col("q") == F.col("txid").cast("string")).select("query", "scenario", F.lit(1).alias("p"))
-    by_address = q.join(entries.select("address", "scenario").distinct(), F.col("q") == F.col("address")).select("query", "scenario", F.lit(2).alias("p"))
-    both = exact.unionByName(by_tx).unionByName(by_address)
+def resolve_scenario(targets: DataFrame, tx: DataFrame, entries: DataFrame, aliases: DataFrame, hashes: DataFrame, prefixes: DataFrame, marks: str = "sample_|live_|test_", longest: int = 64) -> DataFrame:
+    """(query, scenario), by the first that answers: scenario id, alias (alias, scenario), transaction, hash (hash, txid), address, a scenario id
+    that holds the query (as it is or without ``marks``) or is held by it, and a known prefix (prefix, scenario) of the query.
+
+    Of several scenarios the lowest counts. Queries are cut to ``longest`` characters for the two substring steps, which are equi-joins on
+    the substrings of scenario ids and of queries; only queries that nothing before answers take part in them."""
+    q = targets.select("query", F.regexp_replace("query", "^(TX:|w:|tx:)", "").alias("q")).distinct()
+    ids = tx.select("scenario").distinct().withColumn("sid", F.concat(F.lit("s"), F.col("scenario")))
+    of_tx = tx.select("txid", F.col("txid").cast("string").alias("q"), "scenario")
+    steps = [
+        q.join(ids.select(F.col("sid").alias("q"), "scenario"), "q"),
+        q.join(aliases.select(F.col("alias").alias("q"), "scenario").join(ids, "scenario", "left_semi"), "q"),
+        q.join(of_tx, "q"),
+        q.join(hashes.select(F.col("hash").alias("q"), "txid").join(of_tx.select("txid", "scenario"), "txid"), "q"),
+        q.join(entries.select(F.col("address").alias("q"), "scenario").distinct(), "q"),
+    ]
+    exact = [d.select("query", "scenario", F.lit(k).alias("p")) for k, d in enumerate(steps)]
+    found = reduce(DataFrame.unionByName, exact)
+    low = F.substring(F.lower("q"), 1, longest)
+    left = q.join(found.select("query").distinct(), "query", "left_anti").select("query", low.alias("low"), F.regexp_replace(low, marks, "").alias("clean")).where("low <> ''")
+    parts = ids.select("scenario", F.explode(substrings(F.lower("sid"))).alias("part"))
+    holds = left.select("query", F.explode(F.array_distinct(F.array("low", "clean"))).alias("part")).where("part <> ''").join(parts, "part").select("query", "scenario", F.lit(len(steps)).alias("p"))
+    held = left.select("query", F.explode(substrings(F.col("low"))).alias("sid")).join(ids.withColumn("sid", F.lower("sid")), "sid").select("query", "scenario", F.lit(len(steps)).alias("p"))
+    begins = left.select("query", F.explode(F.array_distinct(F.array("low", "clean"))).alias("text"))
+    begins = begins.join(F.broadcast(prefixes), F.col("text").startswith(F.col("prefix"))).select("query", "scenario", F.lit(len(steps) + 1).alias("p"))  # a short fixed list
+    both = found.unionByName(holds).unionByName(held).unionByName(begins)
     return both.groupBy("query").agg(F.min(F.struct("p", "scenario")).alias("x")).select("query", "x.scenario")
 
 

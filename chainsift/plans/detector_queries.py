@@ -8,7 +8,9 @@ from chainsift.operators import detect as D
 from chainsift.operators import features as E
 from chainsift.operators import graphs as G
 
-from .base import Tables, query
+from chainsift.sources.ledger import DUCK
+
+from .base import ORACLES, Tables, query
 
 DAYS = 180 * 86400  # the orders are spread over years: wider gaps than the detectors' defaults
 
@@ -44,11 +46,15 @@ def peel_chains(t: Tables):
     return D.peel_chains(t.entries, DAYS, least_hops=2)
 
 
-@query(f""", {_PEEL}, {_hop("AND a.scenario = b.scenario")} SELECT scenario, count(*) AS hops FROM hop JOIN peel USING (txid) GROUP BY 1""")
+@query(f""", per AS (SELECT scenario, txid, ts, count(*) FILTER (side = 'in') AS i, count(*) FILTER (side = 'out') AS o, min(sat) FILTER (side = 'out') AS low, max(row(sat, -idx, address)) FILTER (side = 'out') AS top FROM entry GROUP BY 1, 2, 3),
+  sh0 AS (SELECT scenario, txid, ts, top[1] AS carry, top[3] AS address FROM per WHERE i BETWEEN 1 AND 2 AND o BETWEEN 1 AND 2 AND low > 0 AND (o = 1 OR top[1] / low >= 2)), sh AS (SELECT * FROM sh0 WHERE scenario IN (SELECT scenario FROM sh0 GROUP BY 1 HAVING count(*) >= 3)),
+  nx AS (SELECT a.txid, (min(row(b.ts, b.txid)))[2] AS next FROM sh a JOIN sh b ON a.scenario = b.scenario JOIN entry e ON e.txid = b.txid AND e.side = 'in' AND e.address = a.address WHERE b.ts > a.ts AND epoch_us(b.ts) - epoch_us(a.ts) <= {8 * DAYS}::BIGINT * 1000000 AND b.carry <= a.carry * 1.05::DOUBLE GROUP BY 1),
+  ch AS (SELECT txid AS start, txid, 1 AS hops, true AS falls FROM sh UNION ALL SELECT start, next, hops + 1, falls AND b.carry < a.carry FROM ch JOIN nx USING (txid) JOIN sh a ON a.txid = ch.txid JOIN sh b ON b.txid = next),
+  lg AS (SELECT scenario, ts, start, max(hops) AS hops, bool_and(falls) AS falls FROM ch JOIN sh ON sh.txid = start GROUP BY 1, 2, 3), be AS (SELECT scenario, min(row(-hops, ts, start, falls)) AS x FROM lg GROUP BY 1)
+  SELECT scenario, x[3] AS start, CAST(-x[1] AS BIGINT) AS hops FROM be WHERE -x[1] >= 2 AND x[4]""")
 def ev_peel(t: Tables):
-    """Hops of peeling inside scenarios."""
-    peels = D.peel_transactions(t.entries)
-    return D.peel_hops(t.entries, peels, DAYS, by_scenario=True).join(peels.select("txid", "scenario"), "txid").groupBy("scenario").agg(F.count("*").alias("hops"))
+    """The longest falling chain of each scenario."""
+    return D.evidence_peel(t.entries, 8 * DAYS, least_hops=2)
 
 
 @query(f""", {_PEEL}, {_hop()} SELECT h.txid, h.next, (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 AS gap_s FROM hop h JOIN peel a ON a.txid = h.txid JOIN peel b ON b.txid = h.next""")
@@ -108,6 +114,21 @@ def alert_evidence(t: Tables):
     return D.attach_evidence(t.labels.where("is_illicit = 1"), _fragments(t))
 
 
+_PAIRS = """per AS (SELECT scenario, txid, ts, count(DISTINCT address) FILTER (side = 'in') AS i, count(DISTINCT address) FILTER (side = 'out') AS o FROM entry GROUP BY 1, 2, 3),
+  ou AS (SELECT DISTINCT e.scenario, address, e.txid AS fan_out, e.ts AS t0, o FROM entry e JOIN per USING (txid) WHERE side = 'out' AND o >= 2), inn AS (SELECT DISTINCT e.scenario, address, e.txid AS fan_in, e.ts AS t1 FROM entry e JOIN per USING (txid) WHERE side = 'in' AND i >= 2)"""
+
+
+@query(f", {_PAIRS} SELECT scenario, fan_out, t0, fan_in, t1, count(*) AS shared, round(count(*) / any_value(o), 6) AS share FROM ou JOIN inn USING (scenario, address) WHERE t1 > t0 AND t1 <= t0 + INTERVAL 2000 DAY GROUP BY 1, 2, 3, 4, 5 HAVING round(count(*) / any_value(o), 6) >= 0.3")
+def layering_pairs(t: Tables):
+    return D.layering_pairs(t.entries, 2000 * 86400, 0.3, 2)
+
+
+@query(""", per AS (SELECT scenario, txid, count(*) FILTER (side = 'in') AS i FROM entry GROUP BY 1, 2) SELECT DISTINCT e.scenario, e.txid FROM entry e JOIN per USING (txid) WHERE side = 'out' AND i >= 2
+  AND EXISTS (SELECT 1 FROM entry k WHERE k.side = 'in' AND k.scenario = e.scenario AND k.address = e.address AND k.ts > e.ts)""")
+def agg_flow(t: Tables):
+    return D.aggregation_flow(t.entries, 2)
+
+
 _MEMBERS = "mem AS (SELECT 's' || scenario AS candidate, scenario, pattern_type AS kind, txid FROM tx JOIN label USING (scenario) WHERE is_illicit = 1)"
 
 
@@ -137,11 +158,24 @@ def candidate_truth(t: Tables):
     return D.candidate_truth(_pairs(t), t.tx.join(t.labels, "scenario").select("txid", "pattern_type")).drop("dominant")
 
 
-@query(f""", {_MEMBERS}, {_TRUTH}, tot AS (SELECT pattern_type AS kind, count(*) AS scenarios FROM label WHERE is_illicit = 1 GROUP BY 1),
-  v AS (SELECT kind, count(*) AS candidates, count(*) FILTER (matching >= 0.8 * members) AS true_positives, count(DISTINCT CASE WHEN matching >= 0.8 * members THEN candidate END) AS found, any_value(scenarios) AS scenarios FROM tru JOIN tot USING (kind) GROUP BY 1)
-  SELECT *, round(true_positives / candidates, 6) AS precision, round(found / scenarios, 6) AS recall, round(2 * (true_positives / candidates) * (found / scenarios) / (true_positives / candidates + found / scenarios), 6) AS f1 FROM v""")
+def _found(t: Tables):
+    """(candidate, kind, scenario, txid): members of what the evidence detectors find, from entries alone."""
+    mixing = D.evidence_mixing(t.entries, 2, 0.4).select(F.lit("mixing").alias("kind"), "scenario", "txid")
+    layering = D.evidence_layering(t.entries, 2000 * 86400, 0.3, 2).select(F.lit("layering").alias("kind"), "scenario", F.explode(F.array("fan_out", "fan_in")).alias("txid"))
+    both = mixing.unionByName(layering.select("kind", "scenario", "txid"))
+    return both.withColumn("candidate", F.concat_ws(":", "kind", "scenario"))
+
+
+@query(f""", mxp AS (SELECT scenario, txid, count(*) FILTER (side = 'in') AS i, count(*) FILTER (side = 'out') AS o, round(stddev_pop(sat) FILTER (side = 'out') / avg(sat) FILTER (side = 'out'), 6) AS cv FROM entry GROUP BY 1, 2),
+  mx AS (SELECT scenario, (min(row(cv, txid)))[2] AS txid FROM mxp WHERE i = o AND i >= 2 AND cv <= 0.4 GROUP BY 1), {_PAIRS}, pr AS (SELECT scenario, fan_out, t0, fan_in, t1 FROM ou JOIN inn USING (scenario, address) WHERE t1 > t0 AND t1 <= t0 + INTERVAL 2000 DAY GROUP BY 1, 2, 3, 4, 5 HAVING round(count(*) / any_value(o), 6) >= 0.3),
+  ly AS (SELECT scenario, min(row(t0, fan_out, t1, fan_in)) AS x FROM pr GROUP BY 1), cand AS (SELECT 'mixing' AS kind, scenario, txid FROM mx UNION ALL SELECT 'layering', scenario, unnest([x[2], x[4]]) FROM ly),
+  tru AS (SELECT kind, c.scenario, count(*) AS members, count(*) FILTER (l.pattern_type = kind) AS matching, mode(l.pattern_type ORDER BY l.pattern_type) AS dominant FROM cand c JOIN tx USING (txid) JOIN label l ON l.scenario = tx.scenario GROUP BY 1, 2), tot AS (SELECT pattern_type AS kind, count(*) AS scenarios FROM label WHERE is_illicit = 1 GROUP BY 1),
+  v AS (SELECT kind, count(*) AS candidates, count(*) FILTER (matching >= 0.8 * members) AS true_positives, count(DISTINCT CASE WHEN matching >= 0.8 * members THEN tru.scenario END) AS found, any_value(scenarios) AS scenarios FROM tru JOIN tot USING (kind) GROUP BY 1),
+  w AS (SELECT *, true_positives / candidates AS p, found / scenarios AS r FROM v) SELECT kind, candidates, true_positives, found, scenarios, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM w""")
 def validate_detectors(t: Tables):
-    truthed = D.candidate_truth(_pairs(t), t.tx.join(t.labels, "scenario").select("txid", "pattern_type")).withColumn("scenario", F.col("candidate"))
+    """What the detectors find against the labels."""
+    found = _found(t)
+    truthed = D.candidate_truth(found, t.tx.join(t.labels, "scenario").select("txid", "pattern_type")).join(found.select("candidate", "scenario").distinct(), "candidate")
     return D.validate(truthed, t.labels.where("is_illicit = 1").groupBy(F.col("pattern_type").alias("kind")).agg(F.count("*").alias("scenarios")))
 
 
@@ -217,15 +251,38 @@ def features_graph(t: Tables):
     return _rounded(E.graph_features(t.entries))
 
 
-@query()
+_CHAIN_LENGTH = """e AS (SELECT DISTINCT scenario, CASE WHEN side = 'in' THEN 'w:' || address ELSE 'tx:' || txid END AS u, CASE WHEN side = 'in' THEN 'tx:' || txid ELSE 'w:' || address END AS v FROM entry), nd AS (SELECT scenario, u AS x FROM e UNION SELECT scenario, v FROM e), sz AS (SELECT scenario, count(*) AS n FROM nd GROUP BY 1),
+  wk AS (SELECT scenario, x, 0 AS k FROM nd UNION SELECT wk.scenario, e.v, k + 1 FROM wk JOIN sz USING (scenario) JOIN e ON e.scenario = wk.scenario AND e.u = x WHERE k < n), lo AS (SELECT scenario, max(k) AS k, max(n) AS n FROM wk JOIN sz USING (scenario) GROUP BY 1),
+  ds AS (SELECT scenario, u AS s, u AS x, 0 AS d FROM e WHERE scenario IN (SELECT scenario FROM lo WHERE k >= n) UNION SELECT ds.scenario, s, e.v, d + 1 FROM ds JOIN e ON e.scenario = ds.scenario AND e.u = x WHERE d < 15), df AS (SELECT scenario, max(d) AS d FROM (SELECT scenario, s, x, min(d) AS d FROM ds GROUP BY 1, 2, 3) GROUP BY 1)
+  SELECT scenario, CAST(CASE WHEN k < n THEN k ELSE d END // 2 AS BIGINT) AS max_chain_length FROM lo LEFT JOIN df USING (scenario)"""
+
+
+@query(f", {_CHAIN_LENGTH}")
+def chain_length(t: Tables):
+    return E.chain_length(t.entries)
+
+
+def _joined() -> str:
+    """The SQL of all feature groups, joined."""
+    groups = {"fa": ORACLES["features_amount"], "fs": ORACLES["features_structure"], "ft": ORACLES["features_temporal"], "fn": ORACLES["features_network"], "fg": ORACLES["features_graph"], "fc": ORACLES["chain_length"]}
+    parts = [f"{name} AS (WITH RECURSIVE {sql.removeprefix(DUCK).lstrip(', ')})" for name, sql in groups.items()]
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in E.GRAPH)
+    return f", {', '.join(parts)} SELECT * REPLACE ({zero}) FROM fa LEFT JOIN fs USING (scenario) LEFT JOIN ft USING (scenario) LEFT JOIN fn USING (scenario) LEFT JOIN fg USING (scenario) LEFT JOIN fc USING (scenario)"
+
+
+@query(_joined())
 def features_full(t: Tables):
     out = E.all_features(t.entries, t.tx, t.telemetry)
     E.guard(out)
     return _rounded(out)
 
 
-@query()
+@query(ORACLES["features_network"].removeprefix(DUCK))
 def feature_guard(t: Tables):
-    """The features' names, after the check for label columns."""
-    names = E.guard(E.all_features(t.entries, t.tx, t.telemetry, chains=False))
-    return t.spark.createDataFrame([(n,) for n in names], "feature string")
+    """Features that passed the check for label columns; tables that hold one are refused by their schema, before any row is read."""
+    features = E.network_features(t.tx, t.telemetry, t.entries)
+    try:
+        E.guard(features.join(t.labels, "scenario"))
+    except ValueError:
+        return _rounded(features.select("scenario", *E.guard(features)))
+    raise AssertionError("a table with labels was let through")

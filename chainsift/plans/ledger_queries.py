@@ -73,12 +73,13 @@ def scenario_hubs(t: Tables):
     return A.scenario_hubs(t.entries)
 
 
-_BINS = f"d AS (SELECT {_TOR} AS is_tor, relay_ip, txid, scenario, {_DELAY} AS delay_s FROM tx JOIN telemetry USING (txid))"
+_BINS = f"d AS (SELECT {_TOR} AS is_tor, relay_ip, country, txid, scenario, {_DELAY} AS delay_s FROM tx JOIN telemetry USING (txid))"
 
 
 @query(f""", {_BINS}, h AS (SELECT is_tor, floor(abs(delay_s) / 0.05) AS bin, count(*) AS n FROM d GROUP BY 1, 2), p AS (SELECT is_tor, n / sum(n) OVER (PARTITION BY is_tor) AS p FROM h),
-  e AS (SELECT is_tor, round(abs(-sum(p * log2(p))), 4) AS entropy FROM p GROUP BY 1)
-  SELECT is_tor, count(*) AS tx_count, count(DISTINCT relay_ip) AS ips, round(avg(delay_s), 6) AS delay_s, any_value(entropy) AS entropy FROM d JOIN e USING (is_tor) GROUP BY is_tor""")
+  e AS (SELECT is_tor, round(abs(-sum(p * log2(p))), 4) AS entropy FROM p GROUP BY 1),
+  cc AS (SELECT is_tor, country, count(*) AS n, row_number() OVER (PARTITION BY is_tor ORDER BY count(*) DESC, country) AS rn FROM d GROUP BY 1, 2), tc AS (SELECT is_tor, string_agg(country || ':' || n, ',' ORDER BY rn) AS top_countries FROM cc WHERE rn <= 5 GROUP BY 1)
+  SELECT is_tor, count(*) AS tx_count, count(DISTINCT relay_ip) AS ips, round(avg(delay_s), 6) AS delay_s, any_value(entropy) AS entropy, any_value(top_countries) AS top_countries FROM d JOIN e USING (is_tor) JOIN tc USING (is_tor) GROUP BY is_tor""")
 def tor_summary(t: Tables):
     return A.tor_summary(t.telemetry, t.tx)
 
@@ -221,10 +222,25 @@ def search(t: Tables):
     return L.search(_targets(t), t.tx, t.entries, t.telemetry)
 
 
-@query(f""", {_TARGETS}, b AS (SELECT query, scenario, 0 AS p FROM q JOIN (SELECT DISTINCT scenario FROM tx) ON query = 's' || scenario UNION ALL SELECT query, scenario, 1 FROM q JOIN tx ON query = CAST(txid AS VARCHAR)
-  UNION ALL SELECT query, scenario, 2 FROM q JOIN (SELECT DISTINCT address, scenario FROM entry) ON query = address) SELECT query, arg_min(scenario, p * 1000000000 + scenario) AS scenario FROM b GROUP BY query""")
+_RESOLVE = _TARGETS.replace("UNION ALL SELECT 'nothing')", "UNION ALL SELECT 'alias_' || c_custkey FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT md5('tx' || o_orderkey) FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'test_s' || c_custkey || 'x' FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT unnest(['nothing', 'peel_9', 'sample_mix', 'licit', 'S77', '77']))")
+_PREFIXES = {"licit": "normal", "ransom": "ransomware", "peel": "peeling_chain", "mix": "mixing", "layer": "layering"}  # fixed values
+
+
+@query(f""", {_RESOLVE}, qq AS (SELECT DISTINCT query FROM q), ids AS (SELECT DISTINCT scenario, 's' || scenario AS sid FROM tx), pre AS (SELECT p.prefix, min(scenario) AS scenario FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _PREFIXES.items())}) p(prefix, kind) JOIN label ON pattern_type = kind JOIN ids USING (scenario) GROUP BY 1),
+  ex AS (SELECT query, scenario, 0 AS p FROM qq JOIN ids ON query = sid UNION ALL SELECT query, scenario, 1 FROM qq JOIN ids ON query = 'alias_' || scenario UNION ALL SELECT query, scenario, 2 FROM qq JOIN tx ON query = CAST(txid AS VARCHAR)
+  UNION ALL SELECT query, scenario, 3 FROM qq JOIN tx ON query = md5('tx' || txid) UNION ALL SELECT query, scenario, 4 FROM qq JOIN (SELECT DISTINCT address, scenario FROM entry) ON query = address),
+  lf AS (SELECT query, lower(query) AS low, regexp_replace(lower(query), 'sample_|live_|test_', '', 'g') AS clean FROM qq WHERE query NOT IN (SELECT query FROM ex)),
+  b AS (SELECT * FROM ex UNION ALL SELECT query, scenario, 5 FROM lf JOIN ids ON contains(sid, low) OR contains(sid, clean) OR contains(low, sid) UNION ALL SELECT query, scenario, 6 FROM lf JOIN pre ON starts_with(low, prefix) OR starts_with(clean, prefix))
+  SELECT query, arg_min(scenario, CAST(p AS BIGINT) * 1000000000 + scenario) AS scenario FROM b GROUP BY query""")
 def resolve_scenario(t: Tables):
-    return L.resolve_scenario(_targets(t), t.tx, t.entries)
+    customers, orders = t.read("customer"), t.read("orders")
+    more = customers.where("c_custkey % 20 = 0").select(F.concat(F.lit("alias_"), "c_custkey").alias("query")).union(orders.where("o_orderkey % 50 = 0").select(F.md5(F.concat(F.lit("tx"), "o_orderkey"))))
+    more = more.union(customers.where("c_custkey % 50 = 0").select(F.concat(F.lit("test_s"), "c_custkey", F.lit("x")))).union(t.spark.range(1).select(F.explode(F.array(*map(F.lit, ["peel_9", "sample_mix", "licit", "S77", "77"])))))
+    aliases = t.tx.select(F.concat(F.lit("alias_"), "scenario").alias("alias"), "scenario").distinct()
+    hashes = t.tx.select(F.md5(F.concat(F.lit("tx"), "txid")).alias("hash"), "txid")
+    kinds = t.spark.createDataFrame(list(_PREFIXES.items()), "prefix string, pattern_type string")
+    prefixes = t.labels.join(t.tx, "scenario", "left_semi").groupBy("pattern_type").agg(F.min("scenario").alias("scenario")).join(kinds, "pattern_type").select("prefix", "scenario")
+    return L.resolve_scenario(_targets(t).union(more), t.tx, t.entries, aliases, hashes, prefixes)
 
 
 @query(f""", {_TARGETS} SELECT query, txid FROM q JOIN tx ON query = CAST(txid AS VARCHAR) UNION ALL SELECT query, x FROM q JOIN (SELECT scenario, (min(row(ts, txid)))[2] AS x FROM tx GROUP BY 1) ON query = 's' || scenario""")
@@ -392,8 +408,10 @@ def entity_clusters(t: Tables):
 @query(""", mi AS (SELECT txid FROM entry WHERE side = 'in' GROUP BY 1 HAVING count(*) > 1),
   p AS (SELECT cluster, count(DISTINCT address) AS size, CAST(coalesce(sum(sat) FILTER (side = 'in'), 0) AS BIGINT) AS sent_sat, CAST(coalesce(sum(sat) FILTER (side = 'out'), 0) AS BIGINT) AS received_sat, count(DISTINCT txid) AS tx_count,
   count(*) FILTER (side = 'in' AND txid IN (SELECT txid FROM mi)) AS multi_inputs, count(DISTINCT scenario) AS scenarios FROM entry JOIN cluster USING (address) GROUP BY cluster),
-  v AS (SELECT *, ln(1 + size) AS v0, ln(1 + sent_sat) AS v1, ln(1 + received_sat) AS v2, ln(1 + tx_count) AS v3, ln(1 + multi_inputs) AS v4, ln(1 + scenarios) AS v5 FROM p), w AS (SELECT *, sqrt(v0*v0+v1*v1+v2*v2+v3*v3+v4*v4+v5*v5) AS z FROM v)
-  SELECT cluster, size, sent_sat, received_sat, tx_count, multi_inputs, scenarios, round(v0/z, 4) AS e0, round(v1/z, 4) AS e1, round(v2/z, 4) AS e2, round(v3/z, 4) AS e3, round(v4/z, 4) AS e4, round(v5/z, 4) AS e5 FROM w""")
+  rr AS (SELECT cluster, count(*) FILTER (side = 'in') AS in_rows, count(*) FILTER (side = 'out') AS out_rows FROM entry JOIN cluster USING (address) GROUP BY 1),
+  v AS (SELECT *, ln(1 + size) AS v0, ln(1 + received_sat / 1e8) AS v1, ln(1 + sent_sat / 1e8) AS v2, multi_inputs / size AS v3, scenarios AS v4, ln(1 + in_rows) AS v5, ln(1 + out_rows) AS v6, abs(received_sat / 1e8 - sent_sat / 1e8) / greatest(0.0001, received_sat / 1e8 + sent_sat / 1e8) AS v7 FROM p JOIN rr USING (cluster)),
+  w AS (SELECT *, sqrt(v0*v0+v1*v1+v2*v2+v3*v3+v4*v4+v5*v5+v6*v6+v7*v7) AS z FROM v)
+  SELECT cluster, size, sent_sat, received_sat, tx_count, multi_inputs, scenarios, in_rows, out_rows, round(v0/z, 4) AS e0, round(v1/z, 4) AS e1, round(v2/z, 4) AS e2, round(v3/z, 4) AS e3, round(v4/z, 4) AS e4, round(v5/z, 4) AS e5, round(v6/z, 4) AS e6, round(v7/z, 4) AS e7 FROM w""")
 def cluster_profile(t: Tables):
     return G.cluster_profile(t.entries, t.clusters)
 
@@ -439,7 +457,8 @@ def coparticipation(t: Tables):
 
 @query(f""", {_CO}, sy AS (SELECT a, b FROM co UNION SELECT b, a FROM co), rr AS (SELECT DISTINCT a AS node, a AS root FROM sy UNION SELECT b, root FROM rr JOIN sy ON a = node), m AS (SELECT node, min(root) AS community FROM rr GROUP BY 1),
   s AS (SELECT community, count(*) AS size FROM m GROUP BY 1), i AS (SELECT x.community, count(*) AS inner_edges FROM co JOIN m x ON x.node = a GROUP BY 1)
-  SELECT community, size, inner_edges, 0::BIGINT AS outer_edges, round(2 * inner_edges / (size * (size - 1)), 6) AS density, 0.0::DOUBLE AS external_ratio FROM s JOIN i USING (community)""")
+  , ds AS (SELECT a AS x, a AS y, 0 AS d FROM sy UNION SELECT x, b, d + 1 FROM ds JOIN sy ON sy.a = y WHERE d < (SELECT max(size) FROM s)), dm AS (SELECT community, max(d) AS diameter FROM (SELECT x, y, min(d) AS d FROM ds GROUP BY 1, 2) JOIN m ON node = x GROUP BY 1)
+  SELECT community, size, inner_edges, 0::BIGINT AS outer_edges, CAST(diameter AS INT) AS diameter, round(2 * inner_edges / (size * (size - 1)), 6) AS density, 0.0::DOUBLE AS external_ratio FROM s JOIN i USING (community) JOIN dm USING (community)""")
 def community_metrics(t: Tables):
     pairs = G.coparticipation(t.entries)
     members = G.connected(pairs).select("node", F.col("label").alias("community"))

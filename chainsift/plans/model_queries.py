@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from chainsift.functions import columns as C
 from chainsift.operators import aggregates as A
 from chainsift.operators import detect as D
 from chainsift.operators import evaluate as V
@@ -15,10 +16,11 @@ from chainsift.operators import graphs as G
 from chainsift.operators import joins as J
 from chainsift.operators import models as M
 from chainsift.operators import quality as Q
+from chainsift.sources.ledger import DUCK
 from chainsift.streaming import reconcile as S
 
-from .base import Tables, query
-from .detector_queries import _fragments
+from .base import ORACLES, Tables, query
+from .detector_queries import _fragments, _rounded
 from .ledger_queries import _BLOCKS, _MATCH, _RELAYS, _blocks, _key, _relays
 
 # scores that both engines derive from the tables: a hash-like share, moved up for illicit scenarios
@@ -100,7 +102,9 @@ def class_feature_stats(t: Tables):
 
 
 @query(""", z AS (SELECT scenario, count(*) AS size FROM tx GROUP BY 1), k AS (SELECT size, sum(is_illicit) AS p, sum(1 - is_illicit) AS n FROM z JOIN label USING (scenario) GROUP BY 1), w AS (SELECT *, sum(p) OVER () AS tp, sum(n) OVER () AS tn, sum(p) OVER (ORDER BY size) AS cp, sum(n) OVER (ORDER BY size) AS cn FROM k)
-  SELECT round(sum(least(p / tp, n / tn)), 6) AS overlap, round(max(abs(cp / tp - cn / tn)), 6) AS ks, round(sum(p * (cn - n / 2)) / max(tp * tn), 6) AS auc FROM w""")
+  , bd AS (SELECT is_illicit AS label, len(list_filter([5, 7, 16, 41, 81, 151, 301], lambda b: size >= b)) AS band FROM z JOIN label USING (scenario)), cl AS (SELECT band, label, count(*) AS c FROM bd GROUP BY 1, 2), ml AS (SELECT sum(mi) AS mi FROM (SELECT c / sum(c) OVER () * ln(c * sum(c) OVER () / (sum(c) OVER (PARTITION BY band) * sum(c) OVER (PARTITION BY label))) AS mi FROM cl)),
+  r AS (SELECT round(sum(least(p / tp, n / tn)), 6) AS overlap, round(max(abs(cp / tp - cn / tn)), 6) AS ks, round(sum(p * (cn - n / 2)) / max(tp * tn), 6) AS auc, round(sum(p * (tp - cp + p) / (tp - cp + p + tn - cn + n)) / max(tp), 6) AS pr_auc, round(any_value(mi), 6) AS mutual_information FROM w, ml)
+  SELECT *, overlap >= 0.75 AS overlap_ok, ks <= 0.2 AS ks_ok, auc <= 0.58 AS auc_ok, pr_auc <= 0.45 AS pr_auc_ok, mutual_information <= 0.01 AS mutual_information_ok FROM r""")
 def size_audit(t: Tables):
     sizes = t.tx.groupBy("scenario").agg(F.count("*").alias("size")).join(t.labels, "scenario").select("size", F.col("is_illicit").alias("label"))
     return V.size_audit(sizes)
@@ -153,10 +157,10 @@ _YEARS = "year(t.ts)"
 
 @query(f""", b AS (SELECT t.txid, t.ts, t.scenario, relay_ts, asn, pattern_type, is_illicit FROM tx t JOIN telemetry m USING (txid) JOIN label l ON l.scenario = t.scenario), k AS (
   SELECT 'rows_match' AS "check", (SELECT count(*) FROM tx) AS e, (SELECT count(*) FROM telemetry) AS a UNION ALL SELECT 'ledger_orphans', 0, count(*) FROM tx WHERE txid NOT IN (SELECT txid FROM telemetry) UNION ALL SELECT 'network_orphans', 0, count(*) FROM telemetry WHERE txid NOT IN (SELECT txid FROM tx)
-  UNION ALL SELECT 'duplicate_ids', 0, count(*) - count(DISTINCT txid) FROM tx UNION ALL SELECT 'relayed_before_block', 0, count(*) FILTER (relay_ts >= ts) FROM b UNION ALL SELECT 'nulls', 0, 0 UNION ALL SELECT 'empty_sides', 0, count(*) FILTER (n_in = 0 OR n_out = 0) FROM sums
-  UNION ALL SELECT 'unknown_categories', 0, 0 UNION ALL SELECT 'categories_present', 6, count(DISTINCT node_type) FROM telemetry UNION ALL SELECT 'unlabelled', 0, count(*) FROM tx WHERE scenario NOT IN (SELECT scenario FROM label)
+  UNION ALL SELECT 'duplicate_ids', 0, count(*) - count(DISTINCT txid) FROM tx UNION ALL SELECT 'relayed_before_block', 0, count(*) FILTER (relay_ts >= ts) FROM b UNION ALL SELECT 'nulls', 0, (SELECT coalesce(sum(CAST(t.ts IS NULL AS INT) + CAST(relay_ts IS NULL AS INT) + CAST(relay_ip IS NULL AS INT) + CAST(node_type IS NULL AS INT) + CAST(country IS NULL AS INT) + CAST(asn IS NULL AS INT)), 0) FROM tx t JOIN telemetry USING (txid)) UNION ALL SELECT 'empty_sides', 0, count(*) FILTER (n_in = 0 OR n_out = 0) FROM sums
+  UNION ALL SELECT 'unknown_categories', 0, count(*) FILTER (node_type NOT IN ('residential', 'datacenter', 'mobile', 'tor_exit_node', 'vpn_proxy', 'bulletproof_host')) FROM telemetry UNION ALL SELECT 'categories_present', 6, count(DISTINCT node_type) FROM telemetry UNION ALL SELECT 'unlabelled', 0, count(*) FROM tx WHERE scenario NOT IN (SELECT scenario FROM label)
   UNION ALL SELECT 'asns_of_both_classes', count(*), count(*) FILTER (n = 2) FROM (SELECT asn, count(DISTINCT is_illicit) AS n FROM b GROUP BY 1) UNION ALL SELECT 'classes_span_years', max(y), min(y) FROM (SELECT is_illicit, max(year(ts)) - min(year(ts)) AS y FROM b GROUP BY 1)
-  UNION ALL SELECT 'scenarios_in_two_splits', 0, 0 UNION ALL SELECT 'splits_apart', 0, CAST(abs(avg(is_illicit) FILTER (split = 'train') - avg(is_illicit) FILTER (split = 'test')) > 0.05 AS INT) FROM label UNION ALL SELECT 'class_out_of_band', 0, CAST(avg(is_illicit) < 0.1 OR avg(is_illicit) > 0.9 AS INT) FROM label)
+  UNION ALL SELECT 'scenarios_in_two_splits', 0, count(*) FILTER (n > 1) FROM (SELECT scenario, count(DISTINCT split) AS n FROM label GROUP BY 1) UNION ALL SELECT 'splits_apart', 0, CAST(abs(avg(is_illicit) FILTER (split = 'train') - avg(is_illicit) FILTER (split = 'test')) > 0.05 AS INT) FROM label UNION ALL SELECT 'class_out_of_band', 0, CAST(avg(is_illicit) < 0.1 OR avg(is_illicit) > 0.9 AS INT) FROM label)
   SELECT "check", CAST(e AS DOUBLE) AS expected, CAST(a AS DOUBLE) AS actual, e = a AS passed FROM k""")
 def dq_suite(t: Tables):
     return Q.suite(t.tx, t.telemetry, t.entries, t.labels)
@@ -223,7 +227,7 @@ def dq_nonfinite(t: Tables):
     return Q.non_finite(money.select("key", F.lit("fee_share").alias("feature"), F.try_divide(F.col("f").cast("double"), F.col("i").cast("double")).alias("value")))
 
 
-@query(f", {_MC} SELECT actual AS class, count(*) AS support, count(*) AS confusion_sum, true AS consistent FROM mc GROUP BY 1")
+@query(f", {_MC}, cm AS (SELECT actual, predicted, count(*) AS n FROM mc GROUP BY 1, 2), cs AS (SELECT actual, CAST(sum(n) AS BIGINT) AS confusion_sum FROM cm GROUP BY 1), sp AS (SELECT actual, count(*) AS support FROM mc GROUP BY 1) SELECT actual AS class, support, confusion_sum, support = confusion_sum AS consistent FROM sp JOIN cs USING (actual)")
 def dq_report(t: Tables):
     return Q.report_consistency(_classes(t))
 
@@ -237,6 +241,12 @@ def tumbling_stats(t: Tables):
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("SELECT s AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s, event_type, value FROM events) GROUP BY 1, 2", bare=True)
+def sliding_stats(t: Tables):
+    found = S.tumbling(t.read("events").withColumn("ts", F.col("ts").cast("timestamp")), slide="30 minutes")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
   SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""", bare=True)
 def session_stats(t: Tables):
@@ -267,14 +277,26 @@ def event_scoring(t: Tables):
     return S.score_events(t.telemetry, scored)
 
 
-def _drain(stream, t: Tables, mode: str = "append"):
-    """Runs a stream over what its sources hold, into a table in the shared folder."""
+def _folder(t: Tables) -> str:
+    """A new place in the shared folder (``spark.checkpoint.dir``; a temporary one where that is unset)."""
     folder = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-', dir='/tmp')}"
-    at = f"{folder.rstrip('/')}/chainsift/stream-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/chainsift/stream-{uuid.uuid4().hex}"
+
+
+def _as_stream(t: Tables, rows):
+    """The rows as a stream of files."""
+    at = _folder(t)
+    rows.write.parquet(f"{at}/in")
+    return t.spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+
+
+def _drain(stream, t: Tables, mode: str = "append"):
+    """Runs a stream over what its sources hold, into a table in the shared folder: by the file sink, or by batch (``batches``, ``update``)."""
+    at = _folder(t)
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     else:
-        stream.writeStream.outputMode(mode).foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.outputMode("append" if mode == "batches" else mode).foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{at}/out")
 
 
@@ -294,7 +316,7 @@ def reconcile_stream(t: Tables):
     return _drain(S.reconcile(blocks, relays, 60.0, "2 hours"), t)
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT key, count(*) AS rows, count(DISTINCT row(block_ts, fact)) AS variants, CASE WHEN count(DISTINCT row(block_ts, fact)) > 1 THEN 'CONFLICTING' ELSE 'SINGLE' END AS status FROM b GROUP BY 1", bare=True)
 def conflict_stream(t: Tables):
     blocks = _stream(t).where("event_type = 'purchase'").select(_key().alias("key"), F.concat_ws("/", F.col("ts").cast("string"), F.col("value").cast("string")).alias("fact"), F.col("ts").alias("block_ts"))
     found = _drain(S.conflicts(blocks), t, "update")
@@ -305,73 +327,101 @@ def conflict_stream(t: Tables):
 
 
 def _training(t: Tables):
-    rows = _profiles(t).withColumn("delay_s", F.coalesce("delay_s", F.lit(0.0))).na.fill(0)
-    return M.stratified_split(t.labels).select("scenario", "part").join(rows.drop("split"), "scenario")
-
-
-_NAMES = [*_FEAT, "fee_sat", "delay_s", "infra_risk_pct"]
-
-
-@query()
+    """All scenario features with label, pattern and part, written once; and the features' names."""
+    features = E.all_features(t.entries, t.tx, t.telemetry)
+    names = E.guard(features)
+    rows = features.select("scenario", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
+    labels = M.stratified_split(t.labels).select("scenario", "part", "pattern_type", F.col("is_illicit").alias("label"))
+    return G._cut(rows.join(labels, "scenario"), "training"), names
+
+
+def _model_scores(t: Tables):
+    """(scenario, pattern_type, label, p_illicit, p_<typology> ..., anomaly) of the fitted models, written once."""
+    rows, names = _training(t)
+    train = rows.where("part = 'train'")
+    risk = M.binary_scores(M.binary_model(train, names), rows, names).select("scenario", F.round("risk", 6).alias("p_illicit"))
+    kinds = M.typology_probabilities(train.where("label = 1"), rows, names, _TYPES)
+    odd = V.anomaly_normalize(M.anomaly_scores(rows, names, M.isolation_forest(train.where("label = 0"), names))).select("scenario", F.col("score").alias("anomaly"))
+    return G._cut(rows.select("scenario", "pattern_type", "label").join(risk, "scenario").join(kinds, "scenario").join(odd, "scenario"), "scores")
+
+
+_GROUPS = {
+    "amount": ["total_input_mean", "total_output_mean", "fee_ratio_mean", "fee_ratio_std", "amount_decay_slope", "io_amount_similarity", "output_amount_gini", "round_number_ratio", "denomination_entropy"],
+    "structural": ["num_txns", "mean_num_inputs", "mean_num_outputs", "io_count_ratio", "change_output_ratio", "unique_input_addrs", "unique_output_addrs", "fanout_ratio", "fanin_ratio", "address_reuse_ratio", "script_type_entropy", "script_type_mode"],
+    "temporal": ["time_span_hours", "inter_tx_delta_mean", "inter_tx_delta_std", "inter_tx_delta_min", "burstiness_B", "hour_of_day_entropy", "prop_delta_mean", "prop_delta_std", "prop_delta_cv"],
+    "network": ["suspicious_infra_ratio", "unique_asn_count", "unique_country_count", "unique_ip_count", "alt_port_ratio", "unique_user_agents", "asn_concentration", "country_concentration", "ip_to_addr_ratio"],
+    "graph": list(E.GRAPH),
+}
+
+
+@query(", r AS (SELECT *, row_number() OVER (PARTITION BY pattern_type ORDER BY md5(scenario || ':42'), scenario) AS rn, count(*) OVER (PARTITION BY pattern_type) AS n FROM label) SELECT scenario, pattern_type, CASE WHEN rn <= ceil(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM r")
 def stratified_split(t: Tables):
     return M.stratified_split(t.labels).select("scenario", "pattern_type", "part")
 
 
 @query()
 def binary_scores(t: Tables):
-    rows = G._cut(_training(t), "training")
-    return M.binary_scores(M.binary_model(rows.where("part = 'train'"), _NAMES, trees=10), rows, _NAMES)
+    rows, names = _training(t)
+    return M.binary_scores(M.binary_model(rows.where("part = 'train'"), names), rows, names)
 
 
 @query()
 def typology_scores(t: Tables):
-    rows = G._cut(_training(t), "training")
-    return M.typology_scores(rows.where("part = 'train' and label = 1"), rows, _NAMES, trees=20)
+    rows, names = _training(t)
+    return M.typology_scores(rows.where("part = 'train' and label = 1"), rows, names)
 
 
 @query()
 def importance_groups(t: Tables):
-    rows = G._cut(_training(t), "training")
-    found = M.importance(M.binary_model(rows.where("part = 'train'"), _NAMES, trees=10), _NAMES, t.spark)
-    group = F.when(F.col("feature").isin("in_sat", "out_sat", "fee_sat"), "amount").when(F.col("feature").isin("tx_count", "wallets"), "structure").when(F.col("feature") == "delay_s", "temporal").otherwise("network")
+    rows, names = _training(t)
+    found = M.importance(M.binary_model(rows.where("part = 'train'"), names), names, t.spark)
+    group = F.create_map(*[F.lit(x) for g, own in _GROUPS.items() for n in own for x in (n, g)])[F.col("feature")]
     return found.groupBy(group.alias("group")).agg(F.round(F.sum("share"), 6).alias("share"), F.count("*").alias("features"))
 
 
 @query()
 def iforest_model(t: Tables):
-    return M.isolation_forest(_training(t).where("part = 'train' and label = 0"), _NAMES, trees=16, sample=128)
+    rows, names = _training(t)
+    return M.isolation_forest(rows.where("part = 'train' and label = 0"), names)
 
 
 @query()
 def anomaly_scores(t: Tables):
-    rows = G._cut(_training(t), "training")
-    raw = M.anomaly_scores(rows, _NAMES, M.isolation_forest(rows.where("part = 'train' and label = 0"), _NAMES, trees=16, sample=128), 128)
-    return V.anomaly_normalize(raw)
+    rows, names = _training(t)
+    raw = M.anomaly_scores(rows, names, M.isolation_forest(rows.where("part = 'train' and label = 0"), names))
+    return V.anomaly_normalize(raw).withColumn("level", C.anomaly_label(F.col("score")))
+
+
+@query()
+def model_gate(t: Tables):
+    """Verdict and typology of each scenario from the fitted models."""
+    return V.score_gate(_model_scores(t).drop("anomaly"), _TYPES)
 
 
 @query()
 def attribution_topn(t: Tables):
-    rows = G._cut(_training(t), "training")
-    model = M.binary_model(rows.where("part = 'train'"), _NAMES, trees=10)
-    top = M.binary_scores(model, rows, _NAMES).orderBy(F.desc("risk"), "scenario").limit(20)
-    return M.attributions(lambda df: M.binary_scores(model, df, _NAMES), rows.join(F.broadcast(top.select("scenario")), "scenario").select("scenario", *_NAMES), _NAMES)
+    """The three strongest attributions of each of the 20 riskiest scenarios, in numbers and words."""
+    rows, names = _training(t)
+    model = M.binary_model(rows.where("part = 'train'"), names)
+    top = M.binary_scores(model, rows, names).orderBy(F.desc("risk"), "scenario").limit(20)
+    found = M.attributions(lambda df: M.binary_scores(model, df, names), rows.join(F.broadcast(top.select("scenario")), "scenario").select("scenario", *names), names, over=rows)
+    return found.withColumn("words", C.explanation(F.col("feature"), F.col("effect")))
 
 
 @query()
 def perm_importance(t: Tables):
-    rows = G._cut(_training(t), "training")
-    model = M.binary_model(rows.where("part = 'train'"), _NAMES, trees=5)
-    return M.permutation_importance(lambda df: M.binary_scores(model, df, _NAMES), rows.where("part = 'test'").select("scenario", "label", *_NAMES), _NAMES, repeats=1)
+    rows, names = _training(t)
+    model = M.binary_model(rows.where("part = 'train'"), names)
+    return M.permutation_importance(lambda df: M.binary_scores(model, df, names), rows.where("part = 'test'").select("scenario", "label", *names), names)
 
 
 @query()
 def ablation(t: Tables):
-    """Held-out ROC-AUC with each group of features alone."""
-    rows = G._cut(_training(t), "training")
-    groups = {"amount": ["in_sat", "out_sat", "fee_sat"], "structure": ["tx_count", "wallets"], "network": ["ips", "asns", "infra_risk_pct"]}
+    """Held-out ROC-AUC with each group of features alone, and with all."""
+    rows, names = _training(t)
     out = None
-    for name, own in groups.items():  # one fit for each group
-        scored = M.binary_scores(M.binary_model(rows.where("part = 'train'"), own, trees=5), rows.where("part = 'test'"), own).join(rows.select("scenario", "label"), "scenario")
+    for name, own in (_GROUPS | {"full": names}).items():  # one fit for each group
+        scored = M.binary_scores(M.binary_model(rows.where("part = 'train'"), own), rows.where("part = 'test'"), own).join(rows.select("scenario", "label"), "scenario")
         found = V.binary_metrics(scored.select("label", F.round("risk", 9).alias("score"))).select(F.lit(name).alias("group"), "roc_auc", "f1")
         out = found if out is None else out.unionByName(found)
     return out
@@ -379,15 +429,17 @@ def ablation(t: Tables):
 
 @query()
 def alerts(t: Tables):
-    gated = V.score_gate(_gate_input(t), _TYPES)
-    evidence = D.attach_evidence(t.labels.where("is_illicit = 1"), _fragments(t)).select("scenario", "evidence")
-    return M.assemble_alerts(gated, _anomalies(t).select("scenario", F.col("score").alias("anomaly")), A.primary_wallet(t.entries), evidence)
+    """Scenarios that the fitted models find illicit, ranked, with severity, typology, anomaly, primary wallet and evidence."""
+    scores = _model_scores(t)
+    gated = V.score_gate(scores.drop("anomaly"), _TYPES)
+    evidence = D.attach_evidence(gated.where("verdict = 'illicit'"), _fragments(t)).select("scenario", "evidence")
+    return M.assemble_alerts(gated, scores.select("scenario", "anomaly"), A.primary_wallet(t.entries), evidence)
 
 
 @query()
 def tx_report(t: Tables):
     """Each transaction with its relay, its inputs' cluster, its scenario's risk and the taint of its first input."""
-    scores = _scores(t).select("scenario", F.col("score").alias("risk"))
+    scores = _model_scores(t).select("scenario", F.col("p_illicit").alias("risk"))
     clusters = G._cut(t.clusters, "clusters")
     first = t.entries.where("side = 'in' and idx = 0").select("txid", "address").join(clusters, "address")
     seeds = t.entries.join(scores.where("risk >= 0.8").select("scenario"), "scenario", "left_semi").where("side = 'in'").select("address").distinct()
@@ -396,6 +448,32 @@ def tx_report(t: Tables):
     return rows.select("txid", "scenario", "risk", "relay_ip", "node_type", "cluster", F.coalesce("hop", F.lit(-1)).alias("taint_hop"), F.coalesce("taint", F.lit(0.0)).alias("taint"))
 
 
+@query()
+def event_feed(t: Tables):
+    """A stream of relays, each scored by its scenario's model scores as it comes in, into a sink by batch."""
+    scores = V.score_gate(_model_scores(t).drop("anomaly"), _TYPES)
+    typed = F.when(~F.col("typology").startswith("ambiguous"), F.col("typology")).alias("typology")
+    scored = G._cut(t.tx.join(scores, "scenario").select("txid", F.col("p_illicit").alias("risk"), typed), "event-scores")
+    relays = _as_stream(t, t.telemetry.select("txid", "relay_ip", "node_type"))
+    return _drain(S.score_events(relays, scored), t, "batches")
+
+
+@query(ORACLES["features_amount"].removeprefix(DUCK))
+def incremental_features(t: Tables):
+    """A third of the transactions is in the store with its features; the rest comes in as a stream of files, and the scenarios it
+    touches are computed anew."""
+    at = _folder(t)
+    old = t.entries.where("txid % 3 = 0")
+    old.write.parquet(f"{at}/entries")
+    features = lambda entries: E.amount_features(entries, t.tx.select("txid", "fee"))
+    features(t.spark.read.schema(t.entries.schema).parquet(f"{at}/entries")).withColumn("batch", F.lit(-1)).write.parquet(f"{at}/features")
+    new = _as_stream(t, t.entries.where("txid % 3 <> 0"))
+    new.writeStream.foreachBatch(S.feature_sink(t.spark, at, features)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    found = t.spark.read.parquet(f"{at}/features")
+    names = [c for c in found.columns if c not in ("scenario", "batch")]
+    return _rounded(found.groupBy("scenario").agg(F.max_by(F.struct(*names), "batch").alias("x")).select("scenario", "x.*"))
+
+
 @query(f", {_SC} SELECT txid, pattern_type AS typologies FROM tx JOIN sc USING (scenario) WHERE label = 1 AND score >= 0.5")
 def tx_typologies(t: Tables):
     alerts_ = _scores(t).where("label = 1 and score >= 0.5").select("scenario", "pattern_type")
@@ -424,4 +502,4 @@ def scenario_communities(t: Tables):
     node = F.concat_ws(":", "scenario", "address")
     own = part.select("txid", node.alias("n"))
     pairs = own.withColumnRenamed("n", "a").join(own.withColumnRenamed("n", "b"), "txid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
-    return D.louvain(pairs, rounds=4).select(F.split("node", ":")[0].cast("long").alias("scenario"), F.split("node", ":")[1].alias("address"), "community")
+    return D.louvain(pairs).select(F.split("node", ":")[0].cast("long").alias("scenario"), F.split("node", ":")[1].alias("address"), "community")

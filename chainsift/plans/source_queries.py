@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from chainsift.operators import detect as D
 from chainsift.operators import graphs as G
+from chainsift.operators import joins as J
 from chainsift.sources import uploads as U
+from chainsift.sources.ledger import DUCK
 
-from .base import Tables, query
+from .base import ORACLES, Tables, query
 
 
 def _folder(t: Tables) -> str:
@@ -53,14 +55,38 @@ def export_nodes(t: Tables):
     return t.spark.read.schema("id string, node_type string").json(f"{at}/nodes")
 
 
+def _exported(t: Tables) -> str:
+    at = _folder(t)
+    U.export_graph(G.nodes(t.entries, t.tx, t.telemetry), G.edges(t.entries, t.telemetry), D.evidence_mixing(t.entries, 2, 0.4), at)
+    return at
+
+
+@query("""SELECT 'w:' || address AS src, 'tx:' || txid AS dst, 'SENT' AS edge_type, sat AS amount FROM entry WHERE side = 'in' UNION ALL SELECT 'tx:' || txid, 'w:' || address, 'RECEIVED', sat FROM entry WHERE side = 'out' UNION ALL SELECT 'tx:' || txid, 'ip:' || relay_ip, 'BROADCAST', NULL FROM telemetry""")
+def export_edges(t: Tables):
+    return t.spark.read.schema("src string, dst string, edge_type string, amount long").json(f"{_exported(t)}/edges")
+
+
+@query(""", per AS (SELECT scenario, txid, count(*) FILTER (side = 'in') AS i, count(*) FILTER (side = 'out') AS o, round(stddev_pop(sat) FILTER (side = 'out') / avg(sat) FILTER (side = 'out'), 6) AS cv FROM entry GROUP BY 1, 2), c AS (SELECT scenario, min(row(cv, txid)) AS x FROM per WHERE i = o AND i >= 2 AND cv <= 0.4 GROUP BY 1)
+  SELECT scenario, x[2] AS txid, x[1] AS cv, (SELECT count(DISTINCT address) FROM entry) + (SELECT count(*) FROM tx) + (SELECT count(DISTINCT relay_ip) FROM telemetry) AS nodes, (SELECT count(*) FROM entry) + (SELECT count(*) FROM telemetry) AS edges FROM c""")
+def export_candidates(t: Tables):
+    """Candidates and the metadata beside them, as written and read again."""
+    at = _exported(t)
+    found = t.spark.read.schema("scenario long, txid long, cv double").json(f"{at}/candidates")
+    return found.crossJoin(F.broadcast(t.spark.read.schema("nodes long, edges long").json(f"{at}/metadata")))  # one row of counts
+
+
 @query("SELECT txid, script_type FROM tx WHERE txid % 4 = 1 ORDER BY txid")
 def load_custom(t: Tables):
     return t.tx.withColumn("is_custom", F.col("txid") % 4 == 1).where("is_custom").orderBy("txid").select("txid", "script_type")
 
 
-@query("SELECT o_orderpriority AS file, count(*) AS n, count(DISTINCT o_custkey) AS scenarios FROM orders GROUP BY 1", bare=True)
+@query("SELECT o_orderpriority AS file, 'csv' AS type, count(*) AS records, string_agg(DISTINCT CAST(o_custkey AS VARCHAR), ',' ORDER BY CAST(o_custkey AS VARCHAR)) AS scenarios FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1", bare=True)
 def ingest_audit(t: Tables):
-    return t.read("orders").groupBy(F.col("o_orderpriority").alias("file")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("scenarios"))
+    """Two uploads, each with its row appended to the audit table."""
+    at = _folder(t)
+    for name in ("1-URGENT", "2-HIGH"):  # one append an upload
+        U.append_audit(t.spark, t.read("orders").where(F.col("o_orderpriority") == name).select(F.col("o_orderkey").alias("txid"), F.col("o_custkey").alias("scenario_id")), name, "csv", f"{at}/audit")
+    return t.spark.read.parquet(f"{at}/audit")
 
 
 @query("SELECT scenario, txid, ts FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY ts DESC, txid DESC) AS rn FROM tx) WHERE rn = 1")
@@ -69,26 +95,68 @@ def latest_report(t: Tables):
     return t.tx.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("scenario", "txid", "ts")
 
 
+@query("""SELECT scenario AS case_id, count(*) AS reports, arg_max(txid, epoch_us(ts) * 1000 + txid % 1000) AS txid, max(ts) AS updated, CASE WHEN max(txid % 2) = 1 THEN 'REVIEWED' ELSE 'OPEN' END AS status FROM tx GROUP BY 1""")
+def case_table(t: Tables):
+    """The case table after two rounds of reports: new cases are added, known ones take over what the later round says."""
+    key = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("txid") % 1000
+    cases = lambda tx: tx.groupBy(F.col("scenario").alias("case_id")).agg(F.count("*").alias("reports"), F.max(F.struct(key.alias("k"), "txid")).alias("x"), F.max("ts").alias("updated"), F.max(F.col("txid") % 2).alias("odd"))
+    first, both = cases(t.tx.where("txid % 2 = 0")), cases(t.tx)
+    flat = lambda df: df.select("case_id", "reports", "x.txid", "updated", F.when(F.col("odd") == 1, "REVIEWED").otherwise("OPEN").alias("status"))
+    at = _folder(t)
+    flat(first).write.parquet(f"{at}/cases")
+    changed = both.where("odd = 1")  # cases that the second round reports on
+    return J.upsert(t.spark.read.parquet(f"{at}/cases"), flat(changed), "case_id")
+
+
 @query("SELECT scenario AS candidate, count(*) AS hops, arg_min(txid, epoch_us(ts) * 1000 + txid % 1000) AS origin, arg_max(txid, epoch_us(ts) * 1000 + txid % 1000) AS sink FROM tx GROUP BY 1")
 def candidate_index(t: Tables):
     key = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("txid") % 1000
     return t.tx.groupBy(F.col("scenario").alias("candidate")).agg(F.count("*").alias("hops"), F.min_by("txid", key).alias("origin"), F.max_by("txid", key).alias("sink"))
 
 
-@query()
+def _found(t: Tables, entries):
+    """Candidates of all typologies, each with its own columns."""
+    return [
+        D.evidence_peel(entries, 8 * 180 * 86400, least_hops=2).select(F.lit("peeling_chain").alias("kind"), "scenario", "hops"),
+        D.evidence_layering(entries, 2000 * 86400, 0.3, 2).select(F.lit("layering").alias("kind"), "scenario", "share"),
+        D.evidence_mixing(entries, 2, 0.4).select(F.lit("mixing").alias("kind"), "scenario", "cv"),
+        D.evidence_ransomware(entries, t.telemetry, t.tx).select(F.lit("ransomware").alias("kind"), "scenario", "suspicious", "aggregated"),
+    ]
+
+
+_KINDS = {"peeling_chain": ("ev_peel", "hops"), "layering": ("ev_layering", "share"), "mixing": ("ev_mixing", "cv"), "ransomware": ("ev_ransomware", "suspicious, aggregated")}
+
+
+def _handoff() -> str:
+    ctes = ", ".join(f"h_{k} AS (WITH RECURSIVE {ORACLES[q].removeprefix(DUCK).lstrip(', ')})" for k, (q, _) in _KINDS.items())
+    return f", {ctes} " + " UNION ALL BY NAME ".join(f"SELECT '{k}' AS kind, scenario, {cols} FROM h_{k}" for k, (_, cols) in _KINDS.items())
+
+
+@query(_handoff())
 def ml_handoff(t: Tables):
-    mixing = D.evidence_mixing(t.entries, 2, 0.4).select(F.lit("mixing").alias("kind"), "scenario", "cv")
-    layering = D.evidence_layering(t.entries, 2000 * 86400, 0.3, 2).select(F.lit("layering").alias("kind"), "scenario", "share")
-    return U.ml_handoff([mixing, layering])
+    """Written as CSV files for the models, and read again."""
+    at = _folder(t)
+    U.ml_handoff(_found(t, t.entries)).write.option("header", True).csv(f"{at}/handoff")
+    return t.spark.read.option("header", True).schema("kind string, scenario long, hops long, share double, cv double, suspicious long, aggregated long").csv(f"{at}/handoff")
 
 
 @query()
 def detect_all(t: Tables):
-    """All detectors over one table of entries: (kind, candidate, size)."""
-    entries = G._cut(t.entries, "entries")
-    transfers = G._cut(t.transfers, "transfers")
+    """The detector pipeline: chains, layering and mixing over one table of entries; candidates with their relays; the graph and the candidates
+    as files; precision by kind beside each candidate. Rows (kind, candidate, members, ips, asns, tor_vpn_share, precision)."""
+    at = _folder(t)
+    entries, transfers = G._cut(t.entries, "entries"), G._cut(t.transfers, "transfers")
     pairs = G._cut(G.coparticipation(entries), "co")
-    peel = D.peel_chains(entries, 180 * 86400, least_hops=2).select(F.lit("peeling_chain").alias("kind"), F.col("chain").cast("string").alias("candidate"), F.col("hops").alias("size"))
-    layering = D.layering_candidates(entries, transfers, 5, 0.3, 400 * 86400, 40, 2).select(F.lit("layering").alias("kind"), F.concat_ws(">", "source", "sink").alias("candidate"), F.col("recipients").alias("size"))
-    mixing = D.mixing_candidates(entries, D.louvain(pairs), pairs, 3, 0.3, 0.4, 1.0, 4000 * 86400).select(F.lit("mixing").alias("kind"), F.col("community").alias("candidate"), "size")
-    return peel.unionByName(layering).unionByName(mixing)
+    peel = D.peel_chains(entries, 180 * 86400, least_hops=2).select(F.lit("peeling_chain").alias("kind"), F.concat(F.lit("p"), "chain").alias("candidate"), F.col("chain").alias("txid"))
+    layered = D.layering_candidates(entries, transfers, 5, 0.3, 400 * 86400, 40, 2)
+    sends = entries.where("side = 'in'").select(F.col("address").alias("source"), "txid").distinct()
+    layering = layered.join(sends, "source").select(F.lit("layering").alias("kind"), F.concat_ws(">", "source", "sink").alias("candidate"), "txid")
+    members = D.louvain(pairs)
+    mixed = D.mixing_candidates(entries, members, pairs, 3, 0.3, 0.4, 1.0, 4000 * 86400).select("community").join(members, "community")
+    mixing = mixed.join(sends.withColumnRenamed("source", "node"), "node").select(F.lit("mixing").alias("kind"), F.col("community").alias("candidate"), "txid").distinct()
+    found = G._cut(peel.unionByName(layering).unionByName(mixing), "candidates")
+    U.export_graph(G.nodes(entries, t.tx, t.telemetry), G.edges(entries, t.telemetry), found, at)
+    truthed = D.candidate_truth(found, t.tx.join(t.labels, "scenario").select("txid", "pattern_type")).withColumn("scenario", F.col("candidate"))
+    checked = D.validate(truthed, t.labels.where("is_illicit = 1").groupBy(F.col("pattern_type").alias("kind")).agg(F.count("*").alias("scenarios")))
+    size = found.groupBy("kind", "candidate").agg(F.count_distinct("txid").alias("members"))
+    return size.join(D.candidate_network(found, t.telemetry).drop("member_ips"), "candidate").join(F.broadcast(checked.select("kind", "precision")), "kind")  # a row for each kind

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,9 +51,9 @@ def conflicts(blocks: DataFrame, retention: str = "1 hour", retention_ms: int =
     return timed.groupBy("key").applyInPandasWithState(update, "key string, rows long, variants long, status string", "rows long, facts string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def tumbling(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums of (ts, event_type, value) by window; works on batches and streams."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+def tumbling(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts and sums of (ts, event_type, value) by window, a new one each ``slide`` (``every`` where not given); works on batches and streams."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", every, slide or every), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -70,6 +70,23 @@ def score_events(telemetry: DataFrame, scored: DataFrame) -> DataFrame:
     return both.select("txid", "relay_ip", "node_type", "risk", risk_level(F.col("risk")).alias("level"), "typology", alert.alias("alert"))
 
 
+def feature_sink(spark: SparkSession, store: str, features: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for new ledger entries: transactions the store does not know are appended to ``store``/entries, the features
+    of the scenarios they touch are computed anew from the whole store, and appended to ``store``/features with the batch's number.
+
+    The newest row of a scenario counts. A batch that comes again (a restart) finds its transactions known and its scenarios unchanged."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema(batch.schema).parquet(f"{store}/entries")
+        new = batch.join(known.select("txid").distinct(), "txid", "left_anti").select(batch.columns)
+        new.write.mode("append").parquet(f"{store}/entries")
+        touched = batch.select("scenario").distinct()
+        own = spark.read.schema(batch.schema).parquet(f"{store}/entries").join(touched, "scenario", "left_semi")
+        features(own).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{store}/features")
+
+    return run
+
+
 def upsert_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: the batch is merged into what ``read`` gives and handed to ``write``."""
 
