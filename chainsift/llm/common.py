@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,69 @@ def words(text: bytes, lower: bool = False) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
+def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after another, and the len(texts) + 1 places where they begin and end. A null text is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    first = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[first[0] : first[-1]], first - first[0]
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def find_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of texts that begin at ``first`` (the last entry: where they end): starts, ends, first eight bytes, last eight bytes (0 for words
+    of up to eight) and length (17 for longer than 16), which name a word of up to 16 bytes exactly."""
+    space = _SPACE[data]
+    before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+    inner = first[(first > 0) & (first < len(data))]
+    before[inner] = True
+    after[inner - 1] = True
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    n = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[8 : 8 + len(data)] = data
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    a = eight[starts + 8] & _FIRST[np.minimum(n, 8)]
+    b = np.where(n > 8, eight[ends], np.uint64(0))
+    return starts, ends, a, b, np.minimum(n, 17).astype(np.uint8)
+
+
+class Words:
+    """Numbers of words of at most 16 bytes, named exactly by their length, first eight and last eight bytes: open addressing in flat arrays."""
+
+    def __init__(self, bits: int = 21):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.a, self.b = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.n, self.row = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.int32)
+
+    def _spots(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = (a ^ (a >> np.uint64(29)) ^ (b * np.uint64(0x7FB5D329728EA185)) ^ n) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The numbers of the words, -1 where there is none."""
+        out, left, spot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._spots(a, b, n)
+        while len(left):
+            held = self.n[spot]
+            same = (held == n) & (self.a[spot] == a) & (self.b[spot] == b)
+            out[left[same]] = self.row[spot[same]]
+            on = np.flatnonzero(~same & (held != 0))
+            left, spot, a, b, n = left[on], (spot[on] + 1) & self.mask, a[on], b[on], n[on]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, row: np.ndarray) -> None:
+        """Different words that are not here yet."""
+        spot = self._spots(a, b, n)
+        while len(a):
+            free = np.flatnonzero(self.n[spot] == 0)
+            self.a[spot[free]], self.b[spot[free]], self.n[spot[free]], self.row[spot[free]] = a[free], b[free], n[free], row[free]
+            on = np.flatnonzero((self.n[spot] != n) | (self.a[spot] != a) | (self.b[spot] != b))
+            a, b, n, row, spot = a[on], b[on], n[on], row[on], (spot[on] + 1) & self.mask
+
+
 def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import Words, find_words, text_buffer
+
 #: Words that a worker remembers before it starts afresh (about 120 MB).
 REMEMBERED = 600_000
 _WIDE = re.compile("[^\x00-\xff]")
@@ -53,43 +55,6 @@ class _Lists:
         return self.flat[at], ends
 
 
-class _Words:
-    """Numbers of words of at most 16 bytes, named exactly by their length, first eight and last eight bytes: open addressing in flat arrays."""
-
-    def __init__(self, bits: int = 21):
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.a, self.b = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        self.n, self.row = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.int32)
-
-    def _spots(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        h = (a ^ (a >> np.uint64(29)) ^ (b * np.uint64(0x7FB5D329728EA185)) ^ n) * np.uint64(0x9E3779B97F4A7C15)
-        return (h >> self.shift).astype(np.int64)
-
-    def find(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The numbers of the words, -1 where there is none."""
-        out, left, spot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._spots(a, b, n)
-        while len(left):
-            held = self.n[spot]
-            same = (held == n) & (self.a[spot] == a) & (self.b[spot] == b)
-            out[left[same]] = self.row[spot[same]]
-            on = np.flatnonzero(~same & (held != 0))
-            left, spot, a, b, n = left[on], (spot[on] + 1) & self.mask, a[on], b[on], n[on]
-        return out
-
-    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, row: np.ndarray) -> None:
-        """Different words that are not here yet."""
-        spot = self._spots(a, b, n)
-        while len(a):
-            free = np.flatnonzero(self.n[spot] == 0)
-            self.a[spot[free]], self.b[spot[free]], self.n[spot[free]], self.row[spot[free]] = a[free], b[free], n[free], row[free]
-            on = np.flatnonzero((self.n[spot] != n) | (self.a[spot] != a) | (self.b[spot] != b))
-            a, b, n, row, spot = a[on], b[on], n[on], row[on], (spot[on] + 1) & self.mask
-
-
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
 class WordTokens:
     """Ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -109,7 +74,7 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.short, self.long = _Words(), {}
+        self.short, self.long = Words(), {}
         self.word_ids = _Lists()
         self.pieces: dict[str, int] = {"\n": 0}
         self.piece_ids = _Lists()
@@ -149,19 +114,7 @@ class WordTokens:
 
     def _rows(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of texts that begin at ``first`` (the last entry: where they end), and the place of each text's first word."""
-        space = _SPACE[data]
-        before, after = np.append(True, space[:-1]), np.append(space[1:], True)
-        inner = first[(first > 0) & (first < len(data))]
-        before[inner] = True
-        after[inner - 1] = True
-        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-        n = ends - starts
-        padded = np.zeros(len(data) + 16, np.uint8)
-        padded[8:-8] = data
-        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-        a = eight[starts + 8] & _FIRST[np.minimum(n, 8)]
-        b = np.where(n > 8, eight[ends], np.uint64(0))
-        n = np.minimum(n, 17).astype(np.uint8)
+        starts, ends, a, b, n = find_words(data, first)
         rows = self.short.find(a, b, n)  # longer words are never there
         new = np.flatnonzero(rows < 0)
         if len(new):
@@ -184,11 +137,8 @@ class WordTokens:
         where a text's ids begin and end. A null text is empty."""
         if self.word_ids.n > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.forget()
-        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-        _, offsets, data = texts.buffers()
-        first = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        data = np.frombuffer(data or b"", np.uint8)[first[0] : first[-1]]
-        rows, words = self._rows(data, first - first[0]) if len(data) else (np.zeros(0, np.int64), np.zeros(len(first), np.int64))
+        data, first = text_buffer(texts)
+        rows, words = self._rows(data, first) if len(data) else (np.zeros(0, np.int64), np.zeros(len(first), np.int64))
         ids, ends = self.word_ids.gather(rows)
         cuts = np.append(0, ends)[words]
         if end_id is None:
