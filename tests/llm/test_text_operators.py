@@ -657,20 +657,20 @@ def test_mixing_is_a_probability():
 
 
 def test_mixing_learns_and_grows(spark):
-    """A text that another one in training repeats scores far higher than one that none does; more text, more groups, same rules."""
+    """Held-out texts that training holds as well score far higher than new ones, in one group and in many; copies score alike."""
+    from chainsift.llm.mixing import Settings
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(11)
     text = lambda: " ".join(f"t{int(x)}" for x in rng.integers(0, 900, 60))
-    single, twice = [text() for _ in range(300)], [text() for _ in range(40)]
-    docs = spark.createDataFrame(list(enumerate(single + twice + twice + twice)), "doc_id long, text string")
-    for size in (10 << 20, 4000):
-        from chainsift.llm.mixing import Settings
-
-        found = {r["doc_id"]: r for r in rows(score_texts(docs, F.col("doc_id") < 380, Settings(group_bytes=size, bits=14, spell_bits=12)))}
-        assert len(found) == 420
-        copies = [found[k]["score"] / found[k]["n_tokens"] for k in range(380, 420)]
-        assert np.mean(copies) > -1.5 and all(math.isclose(found[k]["score"], found[k - 40]["score"], rel_tol=1e-5) for k in range(340, 420))
+    single, twice, new = [text() for _ in range(1500)], [text() for _ in range(400)], [text() for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(single + twice + twice + twice + new)), "doc_id long, text string")
+    for size in (10 << 20, 40_000):
+        found = {r["doc_id"]: r for r in rows(score_texts(docs, F.col("doc_id") < 2300, Settings(group_bytes=size, bits=21, spell_bits=12)))}
+        assert len(found) == 2800
+        mean = lambda ks: sum(found[k]["score"] for k in ks) / sum(found[k]["n_tokens"] for k in ks)
+        assert mean(range(2300, 2700)) > mean(range(2700, 2800)) + 0.5
+        assert all(math.isclose(found[k]["score"], found[k - 400]["score"], rel_tol=1e-5) for k in range(1900, 2700))
 
 
 def test_mixing_odd(spark, odd, nothing):
