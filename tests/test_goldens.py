@@ -148,3 +148,58 @@ def test_validation(spark):
     seen = spark.createDataFrame([(1, T0)], "txid long, relay_ts timestamp_ntz")
     got = {r["txid"]: (r["valid"], r["reasons"], r["warnings"]) for r in Q.validate_records(tx, A.per_transaction(e), seen, e).collect()}
     assert got == {1: (True, "", "address_on_both_sides"), 2: (False, "no_relay_time,empty_outputs", "")}
+
+
+def test_scenario_chain(spark):
+    got = D.evidence_peel(entries(spark, peel_chain())).collect()
+    assert [(r["scenario"], r["start"], r["hops"]) for r in got] == [(1, 101, 5)]
+    assert D.evidence_peel(entries(spark, peel_chain(dt.timedelta(hours=7)))).count() == 0
+
+
+def test_louvain_parts_two_cliques(spark):
+    clique = lambda names: [(a, b, 3) for a in names for b in names if a < b]
+    pairs = spark.createDataFrame(clique("abcde") + clique("vwxyz") + [("e", "v", 1)], "a string, b string, weight long")
+    assert {r["node"]: r["community"] for r in D.louvain(pairs).collect()} == {n: "a" if n in "abcde" else "v" for n in "abcdevwxyz"}
+
+
+def test_simple_paths_and_diameter(spark):
+    e = spark.createDataFrame([("A", "B"), ("B", "C"), ("A", "C"), ("C", "A"), ("C", "D"), ("D", "B")], "src string, dst string")
+    assert sorted((r["hops"], r["path"]) for r in G.simple_paths(e, "A", "D").collect()) == [(2, "A>C>D"), (3, "A>B>C>D")]
+    line = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (2, "x", "y")], "community long, a string, b string")
+    assert {r["community"]: r["diameter"] for r in G.diameters(line).collect()} == {1: 3, 2: 1}
+
+
+def test_snapshot_and_timeline_fail_closed(spark):
+    tx = spark.createDataFrame([(1, T0, 1, 1, "P2SH"), (1, T0, 1, 1, "P2SH")], "txid long, ts timestamp_ntz, scenario long, fee long, script_type string")
+    seen = spark.createDataFrame([(1, "residential", "X")], "txid long, node_type string, country string")
+    labels = spark.createDataFrame([(1, "normal", 0, "train")], "scenario long, pattern_type string, is_illicit int, split string")
+    assert A.dataset_snapshot(tx.dropDuplicates(["txid"]), seen, labels).where("dimension = 'total'").first()["n"] == 1
+    with pytest.raises(Exception, match="repeated transactions"):
+        A.dataset_snapshot(tx, seen, labels).collect()
+    far = spark.createDataFrame([(1, T0, 1, 1, "P2SH"), (2, dt.datetime(2100, 1, 1), 1, 1, "P2SH")], tx.schema)
+    with pytest.raises(Exception, match="over 20000 buckets"):
+        A.timeline(far, spark.createDataFrame([], "txid long, in_sat long"), "day").collect()
+
+
+def test_entry_says_what_is_missing(tmp_path):
+    """Without the text operators the other queries are there; a fault inside of them is no reason to drop them silently."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for name in ("chainsift", "__spark_entry__.py"):
+        source = root / name
+        shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path / name)
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**__import__("os").environ, "PYTHONPATH": str(tmp_path)})
+    count = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q)"
+    out = run(count)
+    assert out.returncode == 0 and out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 140
+    (tmp_path / "chainsift" / "llm").mkdir()
+    (tmp_path / "chainsift" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    (tmp_path / "chainsift" / "llm" / "catalog.py").write_text("from chainsift.llm import nothing_of_that_name")
+    assert run(count).returncode != 0
+    (tmp_path / "chainsift" / "llm" / "catalog.py").write_text("import a_library_that_is_not_there")
+    assert run(count).returncode == 0
