@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, window_hashes, word_hashes
+from .common import arrow_map, window_hashes, word_hashes, write_table
 
 #: Sets of masks, the most selective first; an item is searched by the first set that is proven for its length.
 MASKS = (((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5)), ((0, 2, 3, 4),), ((0, 1, 2, 3),), ((0, 1, 2),), ((0, 1),), ((0,),))
@@ -216,6 +216,9 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(
             return col | {"overlaps": [a + b for a, b in zip(col["overlaps"], new)] if "overlaps" in col else new}
 
         out = arrow_map(out, rows, f"{kinds}, overlaps {schema}")
+        if k < blocks - 1:  # a pass of its own: one block's index is held at a time
+            out = write_table(out, "overlaps")
+            index.unpersist()
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], F.col("overlaps").alias(into))
 
 

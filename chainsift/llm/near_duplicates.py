@@ -9,9 +9,10 @@ share a table with probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: at 0.75 all
 2. A half-key that one node alone holds cannot be in a shared table key; only the others are paired into
    table keys. In each table, the members are tied to its smallest and to its largest node; ties with
    too few equal half-keys for the threshold are cut.
-3. What hangs together is a cluster. In it, sets are compared exactly, in blocks: at first each block
-   with itself and with the cluster's first block, which joins the bulk of large clusters; then the
-   members outside the largest component, as a query set, with all blocks.
+3. What hangs together is a cluster. In it, sets are compared exactly, in blocks: each block with itself and
+   with the cluster's first block, which joins the bulk of large clusters. The members outside of the largest
+   component then look for partners by their prints (a byte of each minhash); pairs of different components
+   whose prints agree enough are compared exactly.
 4. Components over the confirmed links. Large clusters are never brought into one task.
 """
 
@@ -35,6 +36,11 @@ HALVES = 24
 #: 20 are expected, and fewer than this happen less than once in a million pairs.
 LEAST_EQUAL = 5
 BLOCK = 256
+#: Equal prints, of 2 * HALVES * ROWS, that such a pair must have: at 0.75 fewer happen in one of two million pairs,
+#: at a similarity of 0.45 three pairs in a thousand have them.
+LEAST_PRINTS = 82
+PRINTS = 2048  # members whose prints are compared in one block
+SALTS = 16
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 32, 2 * HALVES * ROWS, dtype=np.uint32)
 _TURN = _RNG.integers(0, 1 << 32, 2 * HALVES * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -51,8 +57,8 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(found if n == SHINGLE else mix(found + np.uint64(n)))
 
 
-def half_keys(found: np.ndarray) -> np.ndarray:
-    """2 * HALVES keys of ROWS minhashes each: the first collection, then the second."""
+def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """2 * HALVES keys of ROWS minhashes each (the first collection, then the second), and a byte of each minhash."""
     low = np.full(len(_FLIP), 0xFFFFFFFF, np.uint32)
     v = (found ^ (found >> np.uint64(32))).astype(np.uint32)
     for at in range(0, len(v), 2048):
@@ -63,7 +69,7 @@ def half_keys(found: np.ndarray) -> np.ndarray:
     out = np.arange(2 * HALVES, dtype=np.uint64)
     for r in range(ROWS):
         out = mix((out << np.uint64(1)) + grid[:, r])
-    return out.view(np.int64)
+    return out.view(np.int64), (grid.ravel() & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _substituted(text: F.Column) -> F.Column:
@@ -78,15 +84,17 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def rows(col, _):
-        out = {"id": col["id"], "text_key": col["text_key"], "n_shingles": [], "set_key": [], "keys": []}
+        out = {"id": col["id"], "text_key": col["text_key"], "n_shingles": [], "set_key": [], "keys": [], "prints": []}
         for t in col["text"]:
             s = shingles(t)
             out["n_shingles"].append(len(s))
             out["set_key"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            out["keys"].append(half_keys(s).tolist() if len(s) else None)
+            keys, prints = signature(s) if len(s) else (None, None)
+            out["keys"].append(keys)
+            out["prints"].append(prints)
         return out
 
-    return arrow_map(_named(docs), rows, "id long, text_key long, n_shingles long, set_key binary, keys array<long>")
+    return arrow_map(_named(docs), rows, "id long, text_key long, n_shingles long, set_key binary, keys array<long>, prints binary")
 
 
 def _ties(nodes: DataFrame) -> DataFrame:
@@ -184,11 +192,77 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _spread(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small``, of few rows, on ``cluster``: a large cluster's rows go to several tasks."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(SALTS)), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "_salt"], how).drop("_salt")
+
+
+def alike(queries: np.ndarray, others: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Index pairs (query, other) of rows of prints with ``least`` equal bytes, in slices."""
+    turned = np.ascontiguousarray(others.T)
+    for at in range(0, len(queries), BLOCK):
+        part = queries[at : at + BLOCK]
+        equal = np.zeros((len(part), len(others)), np.uint8)
+        for c in range(turned.shape[0]):
+            equal += part[:, c, None] == turned[c]
+        q, o = np.nonzero(equal >= least)
+        yield np.stack([q + at, o], axis=1)
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(a, b): in groups (cluster, part, block), rows of ``role`` 0 with those of role 1 of another label whose prints
+    agree. Of two that both ask, the smaller one finds the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            prints = np.frombuffer(b"".join(r["prints"] for r in held), np.uint8).reshape(len(held), -1)
+            node, label = (np.array([r[n] for r in held], np.int64) for n in ("node", "label"))
+            role, asks = np.array([r["role"] for r in held]), np.array([r["asks"] for r in held])
+            mine, theirs = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            for pairs in alike(prints[mine], prints[theirs], LEAST_PRINTS):
+                q, o = mine[pairs[:, 0]], theirs[pairs[:, 1]]
+                ok = (label[q] != label[o]) & (~asks[o] | (node[q] < node[o]))
+                yield pa.RecordBatch.from_arrays([pa.array(node[q[ok]]), pa.array(node[o[ok]])], names=["a", "b"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                now = (r["cluster"], r["part"], r["block"])
+                if now != key and held:
+                    yield from solve()
+                    held = []
+                key = now
+                held.append(r)
+        if held:
+            yield from solve()
+
+    dealt = rows.repartition("cluster", "part", "block").sortWithinPartitions("cluster", "part", "block")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+
+    def rows(col, _):
+        ok = []
+        for a, b in zip(col["x"], col["y"]):
+            x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            inter = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
+        return {n: [v for v, good in zip(col[n], ok) if good] for n in ("a", "b")}
+
+    return arrow_map(both, rows, "a long, b long")
+
+
 def _confirmed(docs: DataFrame, nodes: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of clusters, enough of them to connect what is linked."""
     clusters = components(ties).withColumnRenamed("label", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    members = _spread(clusters, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = members.join(nodes.select("node", "id", "set_key"), "node")
     texts = _named(docs).drop("text_key").join(wanted, "id")
 
@@ -205,23 +279,39 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, ties: DataFrame, percent: int)
     pivots = sets.where("block = 0 and blocks > 1").select("cluster", F.lit(1).alias("part"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), no.alias("within"), "node", F.col("node").alias("label"), "hashes")
     rest = sets.where("block > 0").select("cluster", F.lit(1).alias("part"), "block", F.lit(1).alias("role"), no.alias("within"), "node", F.col("node").alias("label"), "hashes")
     found = write_table(_compare(own.unionByName(pivots).unionByName(rest), percent), "near-links")
-    # in clusters of several blocks: whoever is outside of the largest component, against all
-    several = sets.where("blocks > 1").select("cluster", "node", "block", "blocks")
+    # in clusters of several blocks: whoever is outside of the largest component looks for partners in all blocks
+    several = sets.where("blocks > 1").select("cluster", "node", "blocks")
     if several.isEmpty():
         return found
-    label = components(found)
-    marked = several.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = several.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = marked.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top")).select("cluster", F.col("top.label").alias("top"))
-    marked = marked.join(largest, "cluster").withColumn("asks", F.col("label") != F.col("top"))
-    asking = marked.where("asks").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    marked = write_table(marked.join(asking, "cluster").select("node", "label", "asks", "parts"), "near-marked")
-    both = sets.drop("blocks").join(marked, "node")
-    others = both.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(1).alias("role"), no.alias("within"), "node", "label", "hashes")
-    blocks = several.select("cluster", "block").distinct().groupBy("cluster").agg(F.collect_list("block").alias("all"))
-    queries = both.where("asks").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).drop("block").join(blocks, "cluster")
-    queries = queries.select("cluster", "part", F.explode("all").alias("block"), F.lit(0).alias("role"), no.alias("within"), "node", "label", "hashes")
-    return write_table(found.unionByName(_compare(queries.unionByName(others), percent)), "near-links")
+    largest = parts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    asking = largest.select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / PRINTS).cast("int").alias("parts"))
+    marked = _spread(marked, asking.where("parts > 0")).join(nodes.select("node", "prints"), "node")
+    marked = marked.select("cluster", "node", "label", "prints", (F.col("label") != F.col("top")).alias("asks"), "parts", F.ceil(F.col("blocks") * BLOCK / PRINTS).cast("int").alias("blocks"))
+    marked = write_table(marked, "near-marked")
+    deal = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = marked.where("asks").select("cluster", deal("parts").alias("part"), each("blocks").alias("block"), F.lit(0).alias("role"), "asks", "node", "label", "prints")
+    others = marked.select("cluster", each("parts").alias("part"), deal("blocks").alias("block"), F.lit(1).alias("role"), "asks", "node", "label", "prints")
+    pairs = write_table(_candidates(queries.unionByName(others)), "near-pairs")
+    out = write_table(found.unionByName(_exact(pairs, sets.select("node", "hashes"), percent)), "near-links")
+    for done in (sets, found, marked, pairs):
+        drop_table(done)
+    return out
+
+
+def _with_components(signed: DataFrame, named: DataFrame) -> DataFrame:
+    """``signed`` with its sets' components. A set that holds more than a thousandth of the rows is broadcast (there are
+    fewer than a thousand of them), so that no task gets all copies of a text; empty sets are left out of the join."""
+    total = named.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    often = F.col("copies") * 1000 > total
+    hot = F.broadcast(named.where(often).select("set_key", F.col("component").alias("hot")))
+    full = signed.where("set_key is not null").join(hot, "set_key", "left")
+    some = full.where("hot is null").drop("hot").join(named.where(~often).drop("copies"), "set_key")
+    most = full.where("hot is not null").withColumnRenamed("hot", "component")
+    none = signed.where("set_key is null").withColumn("component", F.col("id"))
+    return some.unionByName(most).unionByName(none)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, raw_ids: bool = False) -> DataFrame:
@@ -234,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, raw_ids: bool = False) -
     component_id (``raw_ids`` shows the substitutes); ``kept`` is null-safe. Other columns are not read. An empty table gives no rows."""
     signed = write_table(_signatures(docs), "near-signatures")
     full = signed.where("n_shingles > 0")
-    nodes = full.groupBy("set_key").agg(F.min(F.struct("id", "keys")).alias("x")).select("set_key", "x.id", "x.keys")
+    nodes = full.groupBy("set_key").agg(F.min(F.struct("id", "keys", "prints")).alias("x"), F.count("*").alias("copies")).select("set_key", "x.*", "copies")
     # a doc_id that stands for several texts names the node of one; the others get a name of their own
     first = nodes.groupBy("id").agg(F.min("set_key").alias("first"))
     other = F.xxhash64("set_key").bitwiseAND(F.lit(_BOUND - 1)).bitwiseOR(F.lit(_BOUND))
@@ -243,13 +333,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, raw_ids: bool = False) -
     ties = _ties(nodes)
     found = _confirmed(docs, nodes, ties, percent)
     label = components(found)
-    named = nodes.select("set_key", "id", "node").join(label, "node")
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
-    named = named.join(least, "label").select("set_key", "component")
-    out = signed.select("id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = nodes.select("set_key", "id", "node", "copies").join(label, "node", "left")
+    least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
     # linked with no other set: equal sets still are one component
-    alone = nodes.select("set_key", F.col("id").alias("first"))
-    out = out.join(alone, "set_key", "left").withColumn("component", F.coalesce("component", "first", "id"))
+    named = named.join(least, "label", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component"))
+    out = _with_components(signed.select("id", "text_key", "n_shingles", "set_key"), named)
     real = lambda c: F.col(c) if raw_ids else F.when(F.col(c) < _BOUND, F.col(c))
     return out.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), "text_key")
 
