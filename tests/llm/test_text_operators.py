@@ -12,7 +12,7 @@ import pytest
 from chainsift.llm import catalog
 from chainsift.llm.decontaminate import Index, Rule, benchmark_overlaps, decontaminate, plain_words
 from chainsift.llm.mixing import score_texts
-from chainsift.llm.near_duplicates import near_duplicates, one_of_each
+from chainsift.llm.near_duplicates import LEAST_PRINTS, alike, near_duplicates, one_of_each
 from chainsift.llm.packing import pack_documents
 from chainsift.llm.pages import extract_pages, main_text
 from chainsift.llm.quality import at_most, certified, quality_filter
@@ -173,6 +173,16 @@ def test_decontamination_finds_replaced_words_at_all_places():
             assert Index([(1, item)], Rule()).overlaps([doc], Rule())[0]
 
 
+def test_decontamination_in_several_blocks(spark, data):
+    from chainsift.llm.decontaminate import benchmark_overlaps
+
+    docs, items = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "benchmark"))
+    key = lambda r: (r["doc_id"], sorted(tuple(o) for o in r["overlaps"]))
+    docs = docs.select("doc_id", "text")
+    one, many = (sorted(key(r) for r in benchmark_overlaps(docs, items, block_words=n).collect()) for n in (500_000, 1_500))
+    assert one == many and any(found for _, found in one)
+
+
 def test_decontamination_is_exact():
     rng = np.random.default_rng(5)
     items = [[b"%d" % x for x in rng.integers(0, 6, rng.integers(1, 40))] for _ in range(25)]
@@ -249,6 +259,31 @@ def test_near_duplicates_large_cluster(spark):
     assert got == want and len({c for _, c in want.values()}) > 1
 
 
+def test_near_duplicates_template_family(spark):
+    """Texts of one template (similarity about 0.45) hang together; only planted partners, spread over blocks, are linked."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for d in range(540):
+        w = [f"w{k}" for k in range(150)]
+        for k in rng.choice(150, 7, replace=False):
+            w[k] = f"x{d}_{k}"
+        docs.append((d, " ".join(w)))
+        if d % 9 == 0:
+            w[int(rng.integers(150))] = f"y{d}"
+            docs.append((1000 + d, " ".join(w)))
+    want = plain_components(docs)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == want and sum(d != c for d, (_, c) in want.items()) >= 60
+
+
+def test_near_duplicates_prints():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 256, (600, 144), dtype=np.uint8)
+    prints[500:, :100] = prints[:100, :100]
+    found = {tuple(p) for part in alike(prints[:300], prints, LEAST_PRINTS) for p in part.tolist() if p[0] != p[1]}
+    assert found == {(k, 500 + k) for k in range(100)}
+
+
 def test_near_duplicates_odd(spark, odd, nothing):
     got = rows(near_duplicates(odd))
     by = {}
