@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, new_path
 from .decontaminate import benchmark_overlaps
+from .embeddings import near_embeddings
 from .mixing import score_texts
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
@@ -94,8 +95,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), remainder(7) != 2)
 
 
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_duplicates, op4_quality, op5_pack, op6_shard, op7_toxicity, op8_pages, op9_ids, op10_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_duplicates, op4_quality, op5_pack, op6_shard, op7_toxicity, op8_pages, op9_ids, op10_mixing, op13_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
