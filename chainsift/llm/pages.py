@@ -10,6 +10,9 @@ From the densest window the text reaches back to the surge point (before it, win
 dive point (after it, windows are empty), and over other windows that are nearly as dense. A gap whose element
 was removed from inside the container of the text does not end it: what stands on both sides is kept. The end of
 an article element is such a gap, so articles beside the densest one in its container are kept.
+
+A form goes as a whole, unless it is wrapped around the page or its text (``page_forms``): then it is a box like others. Buttons and
+labels are words of the sentence they stand in; a line made of them alone is a gap.
 """
 
 from __future__ import annotations
@@ -33,7 +36,12 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 #: Elements that are never article text.
-SKIPPED = frozenset("nav header footer aside form button menu dialog fieldset label input".split())
+SKIPPED = frozenset("nav header footer aside menu dialog fieldset".split())
+#: Elements whose words alone make no line.
+CONTROLS = frozenset("button label".split())
+#: What the page itself has, not a form to fill in; and the prose (lines of ``LONG`` characters) that a form must hold for each field to be one of text.
+_PAGE_PARTS = frozenset("article main h1 nav header footer".split())
+LONG, PROSE = 60, 200
 #: Words of a class, id or role that make boilerplate likely.
 SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -51,10 +59,12 @@ NAMED, OUTSIDE = 0.1, 0.25
 _NEVER_SKIPPED = frozenset("html body main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that hold blocks side by side.
-_BOXES = frozenset("html body div section center article main td th".split())
+_BOXES = frozenset("html body div section center article main td th form".split())
+_FIELDS = frozenset("input button select textarea".split())
+_HIDDEN_FIELD = re.compile(r"""\btype\s*=\s*["']?hidden""", re.I)
 #: A start tag of the key ends an open element of these, as browsers do.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -79,50 +89,114 @@ def _named(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str, kept: frozenset[int] | None = None, window: int = WINDOW) -> tuple[list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]], set[int]]:
-    """(text, whether in an article or main element, named elements around it, containers) of each line, and the elements
-    that are the page itself.
+def page_forms(page: str) -> set[int]:
+    """The forms (by their order in the page) that are wrapped around the page or its text: they hold an article, a main heading, a menu or
+    the like, or ``PROSE`` characters in long lines for each field that shows."""
+    open_forms: list[int] = []
+    fields, prose, kept, n, run, at = [], [], set(), 0, 0, 0
+
+    def line() -> None:
+        nonlocal run
+        if run >= LONG:
+            for f in open_forms:
+                prose[f] += run
+        run = 0
 
-    Containers: the open ``_BOXES``, without the one whose only text the line is. Gaps are empty lines with the
-    containers of the element removed. Elements of boilerplate names are removed, but for those in ``kept`` (None: for all)."""
-    out: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
+    for m in _MARKUP.finditer(page):
+        if open_forms:
+            run += len(page[at : m.start()].strip())
+        at = m.end()
+        tag = (m["tag"] or m["raw"] or "").lower()
+        if tag == "form":
+            line()
+            if m["end"]:
+                if open_forms:
+                    open_forms.pop()
+            else:
+                open_forms.append(n)
+                fields.append(0)
+                prose.append(0)
+                n += 1
+        elif open_forms and not m["end"]:
+            if tag in _BLOCKS:
+                line()
+            if tag in _PAGE_PARTS:
+                kept.update(open_forms)
+            if tag in _FIELDS and not (tag == "input" and _HIDDEN_FIELD.search(m["attrs"])):
+                for f in open_forms:
+                    fields[f] += 1
+        elif open_forms and tag in _BLOCKS:
+            line()
+    run += len(page[at:].strip())
+    line()
+    return kept | {f for f in range(n) if prose[f] >= PROSE * max(1, fields[f])}
+
+
+def lines(page: str, kept: frozenset[int] | None = None, window: int = WINDOW) -> tuple[list[tuple[str, bool, tuple[int, ...], int]], set[int], dict[int, int]]:
+    """(text, whether in an article or main element, named elements around it, container) of each line, the elements
+    that are the page itself, and the container around each container.
+
+    Containers: the innermost open one of ``_BOXES``, but not the one whose only text the line is. Gaps are empty lines with the
+    container of the element removed. Elements of boilerplate names are removed, but for those in ``kept`` (None: for all)."""
+    out: list[tuple[str, bool, tuple[int, ...], int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, skipped, in an article, named elements
-    path: list[int] = []  # numbers of the open boxes, 0 for other elements and outside of all
+    plain = False  # whether what is held has words besides those of controls
+    stack: list[tuple[str, bool, bool, tuple[int, ...], int]] = []  # tag, skipped, in an article, named elements, innermost box
+    tags: dict[str, int] = {}  # how many of a tag are open
+    around = {0: 0}
     top, parted = {0}, {0}  # the page itself; elements with blocks inside
+    forms, form = page_forms(page), -1
     number = 0
 
     def skipping() -> bool:
         return bool(stack) and stack[-1][1]
 
     def inside() -> tuple[bool, tuple[int, ...]]:
-        return stack[-1][2:] if stack else (False, ())
+        return stack[-1][2:4] if stack else (False, ())
+
+    def box() -> int:
+        return stack[-1][4] if stack else 0
 
     def flush() -> None:
+        nonlocal plain
         text = " ".join("".join(held).split())
         held.clear()
-        if text:
-            out.append((text, *inside(), (0, *filter(None, path))))
+        if text and plain:
+            out.append((text, *inside(), box()))
+        elif text:
+            gap()
+        plain = False
 
     def gap() -> None:
-        out.extend([("", *inside(), (0, *filter(None, path)))] * window)
+        out.extend([("", *inside(), box())] * window)
+
+    def add(text: str) -> None:
+        nonlocal plain
+        held.append(html.unescape(text))
+        if not plain and not (tags.get("button") or tags.get("label")):
+            plain = not held[-1].isspace()
+
+    def close(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            tags[tag] -= 1
+        del stack[k:]
 
     at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at and not skipping():
-            held.append(html.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag) if tags.get(tag) else None
             if tag in _BLOCKS and not skipping():
                 flush()
             if k is not None:
                 parts = any(s[1] or s[0] in ("article", "main") for s in stack[k:]) and not (k and stack[k - 1][1])
-                del stack[k:], path[k:]
+                close(k)
                 if parts:
                     gap()
             continue
@@ -137,33 +211,42 @@ def lines(page: str, kept: frozenset[int] | None = None, window: int = WINDOW) -
         if tag in _ENDS:
             for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[k][0] in _ENDS[tag]:
-                    del stack[k:], path[k:]
+                    close(k)
                     break
                 if stack[k][0] in ("ul", "ol", "table", "dl"):
                     break
         elif tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-            path.pop()
+            close(len(stack) - 1)
         number += 1
         article, named = inside()
         if not skipping() and _named(tag, m["attrs"]):
             named = (*named, number)
         skip = skipping() or _hidden(tag, m["attrs"]) or kept is not None and bool(named) and named[-1] == number and number not in kept
+        if tag == "form":
+            form += 1
+            skip = skip or form not in forms
         if not skip and tag in ("article", "main"):
             if out and out[-1][0]:
                 gap()
             article = True
         if tag in ("html", "body"):
             top.add(number)
+        own = box()
         if tag in _BLOCKS or skip:
-            parted.update(path)
-        stack.append((tag, skip, article, named))
-        path.append(number if tag in _BOXES else 0)
+            up = own  # all around a parted box are parted already
+            while up not in parted:
+                parted.add(up)
+                up = around[up]
+        if tag in _BOXES:
+            around[number] = own
+            own = number
+        tags[tag] = tags.get(tag, 0) + 1
+        stack.append((tag, skip, article, named, own))
     if at < len(page) and not skipping():
-        held.append(html.unescape(page[at:]))
+        add(page[at:])
     flush()
-    leaf = lambda text, at: at[:-1] if text and at[-1] not in parted else at
-    return [(text, article, named, leaf(text, at)) for text, article, named, at in out], top
+    leaf = lambda text, at: around[at] if text and at not in parted else at
+    return [(text, article, named, leaf(text, at)) for text, article, named, at in out], top, around
 
 
 def _sums(found: list[tuple], sizes: list[float], window: int) -> list[float]:
@@ -171,22 +254,28 @@ def _sums(found: list[tuple], sizes: list[float], window: int) -> list[float]:
     return [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(found))]
 
 
-def _bridged(found: list[tuple], top: set[int], a: int, b: int) -> bool:
+def _bridged(found: list[tuple], top: set[int], around: dict[int, int], a: int, b: int) -> bool:
     """Whether the gaps between lines a and b (of text) all come from elements removed inside one container of both: the
     page itself only where both stand in it directly."""
-    for *_, at in found[min(a, b) + 1 : max(a, b)]:
-        if at[-1] in top:
-            if found[a][3][-1] not in top or found[b][3][-1] not in top:
-                return False
-        elif at[-1] not in found[a][3] or at[-1] not in found[b][3]:
-            return False
-    return True
+
+    def containers(at: int) -> set[int]:
+        out = {0}
+        while at:
+            out.add(at)
+            at = around[at]
+        return out
+
+    between = {line[3] for line in found[min(a, b) + 1 : max(a, b)]}
+    if not between.isdisjoint(top) and (found[a][3] not in top or found[b][3] not in top):
+        return False
+    inner = between - top
+    return not inner or inner <= containers(found[a][3]) & containers(found[b][3])
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The main text, one line a block; empty where a page has none. ``window``: lines whose lengths are summed."""
     page = page or ""
-    found, _ = lines(page, None, window)
+    found, *_ = lines(page, None, window)
     if not any(line[0] for line in found):
         return ""
 
@@ -199,7 +288,7 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     # of the elements with boilerplate names, those that hold the densest text stay
     near = [i for i in range(max(0, peak - window // 2), min(len(found), peak + window // 2 + 1)) if found[i][0]]
     heart = max(near, key=lambda i: (len(found[i][0]) * (NAMED if found[i][2] else 1), -i))
-    found, top = lines(page, frozenset(found[heart][2]), window)
+    found, top, around = lines(page, frozenset(found[heart][2]), window)
     found = [(text, article, (), at) for text, article, _, at in found]
     sums = weighed(found)
     peak = max(range(len(sums)), key=lambda i: (sums[i], -i))
@@ -213,9 +302,9 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     full = [i for i, line in enumerate(found) if line[0]]
     low = next(k for k, i in enumerate(full) if i >= surge)
     high = max(k for k, i in enumerate(full) if i <= dive)
-    while low > 0 and _bridged(found, top, full[low - 1], full[low]):
+    while low > 0 and _bridged(found, top, around, full[low - 1], full[low]):
         low -= 1
-    while high < len(full) - 1 and _bridged(found, top, full[high], full[high + 1]):
+    while high < len(full) - 1 and _bridged(found, top, around, full[high], full[high + 1]):
         high += 1
     return "\n".join(found[i][0] for i in full[low : high + 1])
 
