@@ -9,6 +9,8 @@ identifiers, paths and repeated strings cost a fraction of their length, secrets
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -71,33 +73,71 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Parts:
+    """Runs of one kind, from places that mostly go forward: a run's end is searched once, however many places lie inside it."""
+
+    def __init__(self, kind: re.Pattern, text: str):
+        self.kind, self.text = kind, text
+        self.start = self.end = self.cut = -1  # cut: the end without the marks after a value
+
+    def after(self, at: int) -> tuple[int, int, int] | None:
+        """(start, end, end without marks) of what the kind finds from ``at`` on."""
+        if not self.start <= at < self.end:
+            m = self.kind.search(self.text, at)
+            if m is None:
+                return None
+            self.start, self.end = m.span()
+            self.cut = self.end
+            while self.cut > self.start and self.text[self.cut - 1] in _AFTER:
+                self.cut -= 1
+        start = max(at, self.start)
+        return start, self.end, max(start, self.cut)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, reach: int = 48, surroundings: int = 400, share: float = 0.7, least: int = 8) -> list[tuple[int, int, str]]:
     """Runs of ``least`` characters that start within ``reach`` code points after a sensitive word, that no base span
-    touches, and that add at least ``share`` of their length to the compressed surroundings."""
+    touches, and that add at least ``share`` of their length to the compressed surroundings.
+
+    A run that holds a later sensitive word is not measured as a whole: what follows that word is, so that each character is measured a few times at most."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    out, last = [], -1
+    out, last, tried = [], -1, set()
+    begins = sorted((s, e) for s, e, _ in base)
+    reached = list(accumulate((e for _, e in begins), max))  # the furthest end of the spans up to each
+    starts = [s for s, _ in begins]
 
-    def novel(a: int, b: int) -> bool:
-        if a <= last or b - a < least or any(s < b and a < e for s, e, _ in base):
+    def novel(a: int, b: int, following: int) -> bool:
+        if a <= last or b - a < least or following < b or (a, b) in tried:
+            return False
+        tried.add((a, b))
+        k = bisect_left(starts, b)
+        if k and reached[k - 1] > a:
             return False
         context = text[max(0, a - surroundings) : a] + " " + text[b : b + surroundings] + " "
         return novelty.marginal(context, text[a:b]) >= share * (b - a)
 
-    for word in _CONTEXT.finditer(text):
-        far, at = word.end() + reach, word.end()
+    kinds = [_Parts(kind, text) for kind in _RUNS]
+    words = _CONTEXT.finditer(text)
+    following = next(words, None)
+    while (word := following) is not None:
+        following = next(words, None)
+        ahead = following.start() if following else len(text)
+        at, far = word.end(), word.end() + reach
+        tried = {(a, b) for a, b in tried if a >= at}
         # whole runs first, also where they leave the reach; then their parts
-        while (m := _RUNS[0].search(text, at)) and m.start() <= far:
-            at, tried = m.end(), set()
-            for kind in _RUNS:
-                for part in kind.finditer(text, *m.span()):
-                    b = part.start() + len(part[0].rstrip(_AFTER))
-                    a = min(b, part.end() - len(part[0].lstrip(_BEFORE)))
-                    if a <= far and (a, b) not in tried and novel(a, b):
+        while (run := kinds[0].after(at)) and run[0] <= far:
+            for kind in kinds:
+                begin = run[0]
+                while begin < run[1] and (part := kind.after(begin)) and part[0] < run[1] and part[0] <= far:
+                    a, end, b = part
+                    while a < b and text[a] in _BEFORE:
+                        a += 1
+                    if a <= far and novel(a, b, ahead):
                         out.append((a, b, "novel"))
                         last = b - 1
-                    tried.add((a, b))
+                    begin = end
+            at = run[1]
     return out
 
 
