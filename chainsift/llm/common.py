@@ -117,9 +117,14 @@ def find_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Words:
-    """Numbers of words of at most 16 bytes, named exactly by their length, first eight and last eight bytes: open addressing in flat arrays."""
+    """Numbers of words of at most 16 bytes, named exactly by their length, first eight and last eight bytes: open addressing in flat arrays,
+    of which at most half is in use."""
 
     def __init__(self, bits: int = 21):
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.a, self.b = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.n, self.row = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.int32)
@@ -141,6 +146,11 @@ class Words:
 
     def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, row: np.ndarray) -> None:
         """Different words that are not here yet."""
+        if 2 * (self.used + len(a)) > len(self.n):
+            held = np.flatnonzero(self.n)
+            a, b, n, row = (np.append(own[held], new) for own, new in ((self.a, a), (self.b, b), (self.n, n), (self.row, row)))
+            self._clear(max(self.bits, int(2 * len(a)).bit_length() + 1))
+        self.used += len(a)
         spot = self._spots(a, b, n)
         while len(a):
             free = np.flatnonzero(self.n[spot] == 0)
