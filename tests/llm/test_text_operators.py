@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from html import unescape
 from itertools import combinations
 
 import numpy as np
@@ -516,7 +517,9 @@ def test_pages_names_are_weights():
     for name in ("social-science post", "banner", "content widget"):
         page = f'<body><div class="{name}">{text}</div><div class="comments"><p>{long}{long}</p><p>{long}</p></div></body>'
         want = [long.strip(), "An intent.", long.strip()]
-        assert main_text(page).split("\n") == (want if name == "social-science post" else main_text(page).split("\n"))
+        # a boilerplate name makes its lines light: the longer of two such elements has the text
+        other = [long.strip() + " " + long.strip(), long.strip()]
+        assert main_text(page).split("\n") == (want if name == "social-science post" else other)
     page = f'<body><div class="banner">{text}</div><div class="sidebar-left">links</div></body>'
     assert main_text(page).split("\n") == want
     # two articles of equal density, and a very long page
@@ -533,10 +536,8 @@ def test_pages_odd(spark, data, small):
     got = {r["page_id"]: r for r in rows(catalog.op8_pages(spark, data))}
     for page, _, html in small("pages"):
         body = re.search(r"<article>(.*?)(</article>|\Z)", html, re.S)[1]
-        import html as h
-
-        parts = [" ".join(h.unescape(re.sub(r"<[^>]*(>|\Z)", " " if x else "", b)).split()) for x, b in [(0, p) for p in re.split(r"</?(?:p|h1)>", body)]]
-        assert got[page]["text"].replace("\n", "") == "".join(p.replace("\n", "") for p in parts if p) or "<br>" in body
+        parts = [" ".join(unescape(re.sub(r"<[^>]*(>|\Z)", "", re.sub(r"<br\s*/?>", " ", part))).split()) for part in re.split(r"</?(?:p|h1)>", body)]
+        assert got[page]["text"] == "\n".join(p for p in parts if p)
         assert got[page]["n_chars"] == len(got[page]["text"])
 
 
