@@ -26,8 +26,8 @@ from .common import arrow_schema, drop_table, write_table
 from .tokens import _Lists, slices
 
 #: Words that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
-SLICE = 6 << 20  # bytes of texts in a slice, or one longer text
+REMEMBERED = 200_000
+SLICE = 4 << 20  # bytes of texts in a slice, or one longer text
 PIECE = 1 << 22  # characters of a text that are cut into words at a time
 LOW = (1 << 32) - 1
 # The characters of the Unicode property White_Space, in order.
