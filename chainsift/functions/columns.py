@@ -69,21 +69,22 @@ def digest(rows: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(rows)), "\n"), 256)
 
 
-#: What a feature says about a scenario, in words.
-PHRASES = {
-    "tx_count": "number of transactions", "in_sat": "amount sent", "out_sat": "amount received", "wallets": "number of wallets", "ips": "number of relay addresses", "asns": "spread over networks",
-    "max_chain_length": "chain of hops", "amount_decay_slope": "slope of amounts along the chain", "address_reuse_ratio": "reuse of addresses", "change_output_ratio": "share of change outputs",
-    "io_count_ratio": "inputs for each output", "mean_num_outputs": "outputs of a transaction", "graph_density": "density of the graph", "max_in_degree": "fan-in", "max_out_degree": "fan-out",
-    "avg_clustering": "co-spending of the same wallets", "unique_output_addrs": "number of receiving wallets", "degree_assortativity": "ties between hubs", "output_amount_gini": "inequality of outputs",
-    "denomination_entropy": "variety of denominations", "unique_input_addrs": "number of spending wallets", "round_number_ratio": "share of round amounts", "suspicious_infra_ratio": "share of suspicious relays",
-    "num_txns": "number of transactions", "burstiness_B": "burstiness", "inter_tx_delta_min": "shortest pause", "unique_asn_count": "number of networks", "prop_delta_mean": "delay of relays", "unique_ip_count": "number of relay addresses",
-}
-
-
-def explanation(feature: Column, effect: Column) -> Column:
-    """One attribution in words: higher or lower, and the feature's phrase (its name where there is none)."""
-    words = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
-    return F.concat(F.when(effect > 0, "elevated ").otherwise("reduced "), F.coalesce(words[feature], feature))
+#: Words of feature names that are written out, and measures that stand behind what they measure.
+WORDS = {"sat": "satoshi", "tx": "transactions", "txns": "transactions", "addrs": "addresses", "num": "number of", "io": "input to output", "infra": "infrastructure", "prop": "propagation", "ips": "relay addresses", "asns": "relay networks"}
+MEASURES = frozenset("count cv entropy gini hours max mean min ratio similarity slope std".split())
+
+
+def readable(feature: str) -> str:
+    """A feature's name in words: the measure first, then what it is taken of."""
+    *rest, last = (WORDS.get(w, w) for w in feature.split("_"))
+    return f"{last} of {' '.join(rest)}" if rest and last in MEASURES else " ".join([*rest, last])
+
+
+def explanation(feature: Column, effect: Column, names: list[str]) -> Column:
+    """One attribution in words: what the feature (one of ``names``) measures, and on which side of the usual it is."""
+    words = F.create_map(*[F.lit(x) for n in names for x in (n, readable(n))])
+    side = F.when(effect > 0, " above usual").when(effect < 0, " below usual").otherwise(" as usual")
+    return F.concat(F.coalesce(words[feature], feature), side)
 
 
 def from_satoshi(amounts: Column) -> Column:

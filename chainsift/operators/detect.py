@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainsift.functions.columns import micros, suspicious
 
 from .graphs import _cut, community_metrics
+from .ordering import join_within
 
 
 def peel_transactions(entries: DataFrame, least_ratio: float = 2.0) -> DataFrame:
@@ -33,7 +34,8 @@ def peel_hops(entries: DataFrame, peels: DataFrame, gap_s: float = 21600, tolera
     spent = entries.where("side = 'in'").groupBy("txid", "address").agg(F.sum("sat").alias("spent"))
     rows = peels.where("two_rows")
     later = rows.select(F.col("txid").alias("next"), F.col("ts").alias("next_ts"), F.col("scenario").alias("next_scenario")).join(spent.withColumnRenamed("txid", "next"), "next")
-    both = rows.join(later, F.col("carry_to") == F.col("address"))
+    until = F.col("ts") + F.expr(f"make_dt_interval(0, 0, 0, {gap_s})")
+    both = join_within(rows, later, ("carry_to", "address"), F.col("ts"), until, "next_ts", gap_s)
     gap = (micros(F.col("next_ts")) - micros(F.col("ts"))) / 1e6
     ok = ((gap > 0) | ((gap == 0) & (F.col("next") > F.col("txid")))) & (gap <= gap_s) & (F.col("spent") <= F.col("carry") * (1 + tolerance))
     if by_scenario:
@@ -164,7 +166,7 @@ def _walk(starts: DataFrame, transfers: DataFrame, hubs: DataFrame, hops: int, w
     seen, span = front, F.expr(f"make_dt_interval(0, 0, 0, {window_s})")
     front = seen = _cut(front, "walk")
     for _ in range(hops):
-        new = front.join(step, F.col("sink") == F.col("src")).where((F.col("ts") >= F.col("t1")) & (F.col("ts") <= F.col("t0") + span) & (F.col("dst") != F.col("source")))
+        new = join_within(front, step, ("sink", "src"), F.col("t1"), F.col("t0") + span, "ts", window_s).where(F.col("dst") != F.col("source"))
         new = new.groupBy("source", "recipient", "t0", F.col("dst").alias("sink")).agg(F.min("ts").alias("t1"))
         front = _cut(new.join(seen.select("source", "recipient", "sink"), ["source", "recipient", "sink"], "left_anti").select(seen.columns), "walk")
         seen = seen.unionByName(front)
@@ -249,10 +251,11 @@ def layering_pairs(entries: DataFrame, window_s: float = 259200, least_share: fl
     return pairs.withColumn("share", F.round(F.col("shared") / F.col("o"), 6)).where(F.col("share") >= least_share).drop("o")
 
 
-def aggregation_flow(entries: DataFrame, least_in: int = 2) -> DataFrame:
-    """(scenario, txid): fan-ins (input rows) of which some output is spent later in the same scenario."""
-    per = entries.groupBy("scenario", "txid").agg(F.count_if(F.col("side") == "in").alias("i"))
-    outs = entries.where("side = 'out'").join(per.where(F.col("i") >= least_in).select("txid"), "txid", "left_semi").select("scenario", "txid", "address", F.col("ts").alias("t0"))
+def aggregation_flow(entries: DataFrame, least_in: int = 2, most_in: int | None = None, most_out: int | None = None) -> DataFrame:
+    """(scenario, txid): fan-ins (input rows, from ``least_in`` to ``most_in``; at most ``most_out`` output rows) of which some output is spent later in the same scenario."""
+    per = entries.groupBy("scenario", "txid").agg(F.count_if(F.col("side") == "in").alias("i"), F.count_if(F.col("side") == "out").alias("o"))
+    ok = (F.col("i") >= least_in) & (F.lit(True) if most_in is None else F.col("i") <= most_in) & (F.lit(True) if most_out is None else F.col("o") <= most_out)
+    outs = entries.where("side = 'out'").join(per.where(ok).select("txid"), "txid", "left_semi").select("scenario", "txid", "address", F.col("ts").alias("t0"))
     # spent later means: the last time it is spent is later
     later = entries.where("side = 'in'").groupBy("scenario", "address").agg(F.max("ts").alias("t1"))
     return outs.join(later, ["scenario", "address"]).where("t1 > t0").select("scenario", "txid").distinct()
@@ -267,13 +270,14 @@ def evidence_mixing(entries: DataFrame, least: int = 3, most_cv: float = 0.1) ->
     return good.groupBy("scenario").agg(F.min(F.struct("cv", "txid")).alias("x")).select("scenario", "x.txid", "x.cv")
 
 
-def evidence_ransomware(entries: DataFrame, telemetry: DataFrame, tx: DataFrame, least: int = 3, most: int = 50, least_suspicious: int = 2, least_share: float = 0.25) -> DataFrame:
-    """(scenario, tx_count, suspicious, aggregated): small scenarios with suspicious relays, whose fan-ins' outputs are spent again later, and no fan-out of three or more."""
+def evidence_ransomware(entries: DataFrame, telemetry: DataFrame, tx: DataFrame, least: int = 3, most: int = 50, least_suspicious: int = 2, least_share: float = 0.25, fan_in: int = 2, most_outputs: int = 2, fan_out: int = 3) -> DataFrame:
+    """(scenario, tx_count, suspicious, aggregated): small scenarios with suspicious relays, without a transaction of ``fan_out`` outputs, where an output
+    of some fan-in (exactly ``fan_in`` input rows, at most ``most_outputs`` output rows) is spent again later."""
     infra = telemetry.join(tx, "txid").groupBy("scenario").agg(F.count("*").alias("tx_count"), F.count_if(suspicious(F.col("node_type"))).alias("suspicious"))
     infra = infra.where(F.col("tx_count").between(least, most) & (F.col("suspicious") >= least_suspicious) & (F.col("suspicious") >= least_share * F.col("tx_count")))
     per = entries.groupBy("scenario", "txid").agg(F.count_if(F.col("side") == "out").alias("o"))
-    wide = per.where("o >= 3").select("scenario").distinct()
-    again = aggregation_flow(entries, 2).groupBy("scenario").agg(F.count("*").alias("aggregated"))
+    wide = per.where(F.col("o") >= fan_out).select("scenario").distinct()
+    again = aggregation_flow(entries, fan_in, fan_in, most_outputs).groupBy("scenario").agg(F.count("*").alias("aggregated"))
     return infra.join(again, "scenario").join(wide, "scenario", "left_anti")
 
 
@@ -297,14 +301,17 @@ def alert_records(flagged: DataFrame, entries: DataFrame, tx: DataFrame, telemet
     return out.select(F.concat(F.lit("alert_"), "scenario").alias("candidate"), "scenario", "pattern_type", "tx_count", "txids", "in_sat", "out_sat", "ips", "asns", "countries", "infrastructure", F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
-def explanations(features: DataFrame, names: list[str], top: int = 3) -> DataFrame:
-    """(scenario, text): the ``top`` features of largest standard score over all scenarios, in words (ties by name)."""
+def explanations(features: DataFrame, names: list[str], top: int = 3, kind: str | None = None) -> DataFrame:
+    """(scenario, text): the ``top`` features of largest standard score over all scenarios, in words (ties by name), behind the scenario's typology
+    (the column ``kind``) where given."""
     from chainsift.functions.columns import explanation
 
     spread = features.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
     score = lambda n: F.round(F.when(F.col(f"s_{n}") > 0, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).otherwise(0.0), 6)
-    long = features.crossJoin(F.broadcast(spread)).select("scenario", F.array_sort(F.array(*[F.struct((-F.abs(score(n))).alias("size"), F.lit(n).alias("feature"), score(n).alias("effect")) for n in names])).alias("all"))  # one row of means
-    return long.select("scenario", F.array_join(F.transform(F.slice("all", 1, top), lambda x: explanation(x["feature"], x["effect"])), "; ").alias("text"))
+    head = F.concat(F.col(kind), F.lit(": ")) if kind else F.lit("")
+    long = features.crossJoin(F.broadcast(spread)).select("scenario", head.alias("head"), F.array_sort(F.array(*[F.struct((-F.abs(score(n))).alias("size"), F.lit(n).alias("feature"), score(n).alias("effect")) for n in names])).alias("all"))  # one row of means
+    listed = F.array_join(F.transform(F.slice("all", 1, top), lambda x: explanation(x["feature"], x["effect"], names)), "; ")
+    return long.select("scenario", F.concat("head", listed).alias("text"))
 
 
 def candidate_network(members: DataFrame, telemetry: DataFrame) -> DataFrame:

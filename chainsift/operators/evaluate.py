@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
@@ -13,10 +15,9 @@ def _div(a: Column, b: Column) -> Column:
 def _ranked(scored: DataFrame) -> DataFrame:
     """One row a distinct score, from the highest: positives and negatives at it and down to it.
 
-    Rows are counted for each score first; the running sum then goes over distinct (rounded) scores."""
+    Rows are counted for each score first; the running sums then go over distinct scores, dealt into ranges."""
     per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    return ranked(per, [F.desc("score")], {"tp": "p", "fp": "n"}).drop("rank")
 
 
 def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -131,7 +132,6 @@ def transaction_risk(tx: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def rank_alerts(alerts: DataFrame, limit: int | None = None) -> DataFrame:
-    """Alerts by risk, then anomaly, then scenario. The rank is global: with ``limit`` only that many rows are sorted together."""
-    if limit is not None:
-        alerts = alerts.orderBy(F.desc("risk"), F.desc("anomaly"), "scenario").limit(limit)
-    return alerts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk"), F.desc("anomaly"), "scenario")))
+    """Alerts by risk, then anomaly, then scenario, with their place among all alerts; with ``limit`` the first ones only."""
+    order = [F.desc("risk"), F.desc("anomaly"), F.asc("scenario")]
+    return ranked(alerts if limit is None else alerts.orderBy(*order).limit(limit), order)

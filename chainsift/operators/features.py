@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chainsift.functions.columns import micros, round_number, suspicious
 
+from .communities import longest_paths, triangles
 from .graphs import _cut
 
 COIN = 1e8
@@ -105,7 +106,7 @@ def network_features(tx: DataFrame, telemetry: DataFrame, entries: DataFrame) ->
     return out.withColumn("ip_to_addr_ratio", _ratio(F.col("unique_ip_count"), F.col("a"))).drop("a")
 
 
-def graph_features(entries: DataFrame, longest: int = 30) -> DataFrame:
+def graph_features(entries: DataFrame) -> DataFrame:
     """Shape of each scenario's wallet-transaction graph: deduplicated edges wallet -> transaction -> wallet."""
     t, w = F.concat(F.lit("tx:"), "txid"), F.concat(F.lit("w:"), "address")
     e = entries.select("scenario", F.when(F.col("side") == "in", w).otherwise(t).alias("u"), F.when(F.col("side") == "in", t).otherwise(w).alias("v")).distinct()
@@ -122,49 +123,20 @@ def graph_features(entries: DataFrame, longest: int = 30) -> DataFrame:
     part = entries.select("scenario", "txid", "address").distinct()
     co = part.join(part.withColumnRenamed("address", "other"), ["scenario", "txid"]).where("address <> other").select("scenario", F.col("address").alias("a"), F.col("other").alias("b")).distinct()
     co = _cut(co, "scenario-co")
-    closed = co.join(co.select("scenario", F.col("a").alias("b"), F.col("b").alias("c")), ["scenario", "b"]).where("a <> c").join(co.select("scenario", "a", F.col("b").alias("c")), ["scenario", "a", "c"], "left_semi")
-    tri = closed.groupBy("scenario", "a").agg((F.count("*") / 2).alias("t"))
+    tri = triangles(co.where("a < b")).withColumnRenamed("node", "a")
     deg = co.groupBy("scenario", "a").agg(F.count("*").alias("k"))
     local = part.select("scenario", F.col("address").alias("a")).distinct().join(deg, ["scenario", "a"], "left").join(tri, ["scenario", "a"], "left")
-    local = local.groupBy("scenario").agg(F.avg(F.when(F.coalesce("k", F.lit(0)) > 1, 2 * F.coalesce("t", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)).alias("avg_clustering"))
+    local = local.groupBy("scenario").agg(F.avg(F.when(F.coalesce("k", F.lit(0)) > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)).alias("avg_clustering"))
     parts = [size, top(in_deg, "v", "max_in_degree"), top(out_deg, "u", "max_out_degree"), assort, local]
     return reduce(lambda a, b: a.join(b, "scenario", "left"), parts)
 
 
-def chain_length(entries: DataFrame, cap: int = 15) -> DataFrame:
+def chain_length(entries: DataFrame, cap: int = 15, in_task: int = 200_000) -> DataFrame:
     """(scenario, max_chain_length): half the longest path of the scenario's graph; where that has a cycle, half the largest
     distance between two of its nodes, of at most ``cap``."""
     t, w = F.concat(F.lit("tx:"), "txid"), F.concat(F.lit("w:"), "address")
-    e = _cut(entries.select("scenario", F.when(F.col("side") == "in", w).otherwise(t).alias("u"), F.when(F.col("side") == "in", t).otherwise(w).alias("v")).distinct(), "chain-edges")
-    # nodes at the end of a walk of k steps: fewer each round, or as many for ever where there is a cycle
-    front = e.select("scenario", F.col("u").alias("x")).union(e.select("scenario", F.col("v").alias("x"))).distinct()
-    best = front.select("scenario").distinct().withColumn("steps", F.lit(0))
-    size, cyclic, k = front.groupBy("scenario").agg(F.count("*").alias("n")), None, 0
-    while True:
-        k += 1
-        front = _cut(front.withColumnRenamed("x", "u").join(e, ["scenario", "u"]).select("scenario", F.col("v").alias("x")).distinct(), "chain-front")
-        now = _cut(front.groupBy("scenario").agg(F.count("*").alias("n")), "chain-size")
-        if not now.limit(1).count():
-            break
-        stuck = _cut(now.join(size, ["scenario", "n"], "left_semi").select("scenario"), "chain-cyclic")
-        if stuck.limit(1).count():
-            cyclic = stuck if cyclic is None else cyclic.unionByName(stuck)
-            front, now = front.join(stuck, "scenario", "left_anti"), now.join(stuck, "scenario", "left_anti")
-        best = _cut(best.unionByName(now.select("scenario", F.lit(k).alias("steps"))).groupBy("scenario").agg(F.max("steps").alias("steps")), "chain-best")
-        size = now
-    if cyclic is not None:
-        own = e.join(cyclic, "scenario", "left_semi")
-        front = own.select("scenario", F.col("u").alias("start"), F.col("u").alias("x")).distinct()
-        seen, far = front, cyclic.withColumn("steps", F.lit(0))
-        for k in range(1, cap + 1):
-            new = front.withColumnRenamed("x", "u").join(own, ["scenario", "u"]).select("scenario", "start", F.col("v").alias("x")).distinct()
-            front = _cut(new.join(seen, ["scenario", "start", "x"], "left_anti"), "chain-reach")
-            if not front.limit(1).count():
-                break
-            seen = seen.unionByName(front)
-            far = far.unionByName(front.select("scenario").distinct().withColumn("steps", F.lit(k)))
-        best = best.join(cyclic, "scenario", "left_anti").unionByName(far)
-    return best.groupBy("scenario").agg(F.floor(F.max("steps") / 2).alias("max_chain_length"))
+    e = entries.select("scenario", F.when(F.col("side") == "in", w).otherwise(t).alias("u"), F.when(F.col("side") == "in", t).otherwise(w).alias("v")).distinct()
+    return longest_paths(e, cap, in_task).select("scenario", F.floor(F.col("steps") / 2).alias("max_chain_length"))
 
 
 def all_features(entries: DataFrame, tx: DataFrame, telemetry: DataFrame, chains: bool = True) -> DataFrame:

@@ -136,9 +136,10 @@ def trace_path(transfers: DataFrame, src: str, dst: str, max_depth: int = 6) ->
 def taint(entries: DataFrame, seeds: DataFrame, decay: float = 0.85, max_depth: int = 5, threshold: float = 0.01) -> DataFrame:
     """(address, hop, taint): haircut taint from ``seeds`` (address), level by level.
 
-    A transaction passes on to each output the taint of its tainted inputs by their share of all inputs,
-    times the output's share, times ``decay``; each level is rounded to four places; what is below
-    ``threshold`` stops. A wallet is expanded at its first hop only and keeps its highest taint there."""
+    A transaction passes on to each output the taint of a tainted input by its share of all inputs,
+    times the output's share, times ``decay``, rounded to four places at each hop; what is below
+    ``threshold`` stops. A wallet has the highest taint of all walks of at most ``max_depth`` hops, and the fewest hops of those that give it:
+    a later hop can raise it, and is then passed on. A wallet that was not raised is not expanded again, for what it would pass on has been."""
     amounts = entries.groupBy("txid", "side", "address").agg(F.sum("sat").alias("sat"))
     totals = amounts.groupBy("txid", "side").agg(F.sum("sat").alias("total"))
     share = amounts.join(totals, ["txid", "side"]).where("total > 0")
@@ -146,16 +147,16 @@ def taint(entries: DataFrame, seeds: DataFrame, decay: float = 0.85, max_depth:
     got = share.where("side = 'out'").select("txid", F.col("address").alias("dst"), (F.col("sat") / F.col("total")).alias("out_share"))
     flow = spent.join(got, "txid").where("src <> dst").select("src", "dst", (F.col("in_share") * F.col("out_share")).alias("share"))
     flow = _cut(flow.groupBy("src", "dst").agg(F.max("share").alias("share")), "flow")
-    seen = seeds.select("address", F.lit(0).alias("hop"), F.lit(1.0).alias("taint"))
-    frontier = seen
+    best = frontier = _cut(seeds.select("address").distinct().select("address", F.lit(0).alias("hop"), F.lit(1.0).alias("taint")), "taint")
     for hop in range(1, max_depth + 1):
         new = frontier.join(flow, F.col("address") == F.col("src")).groupBy("dst").agg(F.round(F.max(F.col("taint") * F.col("share")) * decay, 4).alias("taint"))
-        new = new.where(F.col("taint") >= threshold).select(F.col("dst").alias("address"), F.lit(hop).alias("hop"), "taint").join(seen.select("address"), "address", "left_anti")
-        frontier = _cut(new, "taint")
+        new = new.where(F.col("taint") >= threshold).select(F.col("dst").alias("address"), F.lit(hop).alias("hop"), "taint")
+        held = best.select("address", F.col("taint").alias("held"))
+        frontier = _cut(new.join(held, "address", "left").where("held is null or taint > held").drop("held"), "taint")
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        best = _cut(best.join(frontier.select("address"), "address", "left_anti").unionByName(frontier), "taint-best")
+    return best
 
 
 def coparticipation(entries: DataFrame, least: int = 3) -> DataFrame:
@@ -175,28 +176,13 @@ def community_metrics(pairs: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("community").agg(F.count("*").alias("size"))
     out = size.join(inner, "community", "left").join(outer, "community", "left").na.fill(0, ["inner_edges", "outer_edges"])
     n, i, o = F.col("size"), F.col("inner_edges"), F.col("outer_edges")
+    from .communities import diameters
+
     far = diameters(both.where("ca = cb").select(F.col("ca").alias("community"), "a", "b"))
     out = out.join(far, "community", "left").na.fill(0, ["diameter"])
     return out.select("community", "size", "inner_edges", "outer_edges", "diameter", F.round(F.when(n > 1, 2 * i / (n * (n - 1))).otherwise(0.0), 6).alias("density"), F.round(F.when(i + o > 0, o / (i + o)).otherwise(0.0), 6).alias("external_ratio"))
 
 
-def diameters(edges: DataFrame) -> DataFrame:
-    """(community, diameter): the largest distance of two nodes along the edges (community, a, b), by breadth-first steps from all nodes.
-
-    Communities are small by their detection; the pairs kept are those of one community."""
-    both = _cut(edges.select("community", "a", "b").unionByName(edges.select("community", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "diameter-edges")
-    front = seen = both.select("community", F.col("a").alias("start"), F.col("a").alias("x")).distinct()
-    out, hop = front.select("community").distinct().withColumn("d", F.lit(0)), 0
-    while True:
-        hop += 1
-        new = front.withColumnRenamed("x", "a").join(both, ["community", "a"]).select("community", "start", F.col("b").alias("x")).distinct()
-        front = _cut(new.join(seen, ["community", "start", "x"], "left_anti"), "diameter")
-        if not front.limit(1).count():
-            return out.groupBy("community").agg(F.max("d").alias("diameter"))
-        seen = seen.unionByName(front)
-        out = out.unionByName(front.select("community").distinct().withColumn("d", F.lit(hop)))
-
-
 def simple_paths(transfers: DataFrame, src: str, dst: str, max_depth: int = 3) -> DataFrame:
     """(hops, path): all paths of at most ``max_depth`` transfers between two wallets that visit no wallet twice, wallets joined by '>'.
 
@@ -245,13 +231,16 @@ def reach(transfers: DataFrame, hubs: DataFrame, hops: int = 3, gap_s: float = 2
     """(source, recipient, sink, hop, end_ts): where the money of a source's recipients gets to in time order, not through hubs.
 
     Steps keep the earliest arrival at a wallet for each (source, recipient)."""
+    from .ordering import join_within
+
     step = transfers.join(hubs.select(F.col("address").alias("dst")), "dst", "left_anti").groupBy("src", "dst", "ts").agg(F.min("txid").alias("txid"))
     start = transfers.groupBy(F.col("src").alias("source"), F.col("dst").alias("recipient")).agg(F.min("ts").alias("start_ts"))
     frontier = start.select("source", "recipient", "start_ts", F.col("recipient").alias("sink"), F.col("start_ts").alias("end_ts"), F.lit(0).alias("hop"))
     seen = frontier
     gap, span = F.expr(f"make_dt_interval(0, 0, 0, {gap_s})"), F.expr(f"make_dt_interval(0, 0, 0, {span_s})")
     for hop in range(1, hops + 1):
-        new = frontier.join(step, F.col("sink") == F.col("src")).where((F.col("ts") >= F.col("end_ts")) & (F.col("ts") <= F.col("end_ts") + gap) & (F.col("ts") <= F.col("start_ts") + span) & (F.col("dst") != F.col("source")))
+        until = F.least(F.col("end_ts") + gap, F.col("start_ts") + span)
+        new = join_within(frontier, step, ("sink", "src"), F.col("end_ts"), until, "ts", min(gap_s, span_s)).where(F.col("dst") != F.col("source"))
         new = new.groupBy("source", "recipient", "start_ts", F.col("dst").alias("sink")).agg(F.min("ts").alias("end_ts")).withColumn("hop", F.lit(hop))
         frontier = _cut(new.join(seen.select("source", "recipient", "sink"), ["source", "recipient", "sink"], "left_anti").select(seen.columns), "reach")
         seen = seen.unionByName(frontier)

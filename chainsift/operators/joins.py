@@ -78,13 +78,20 @@ def wallet_projection(entries: DataFrame) -> DataFrame:
 def maximal_sets(members: DataFrame) -> DataFrame:
     """(set_id) of sets (set_id, member) that no other set holds as a whole; of equal sets the lowest id stays.
 
-    Sets meet through shared members only."""
+    A set that holds another one holds its rarest member (ties: the lowest): a set is looked for only among those that do, and are
+    large enough. A member common to all sets brings no two together, unless they have no other."""
     rows = members.distinct()
-    sizes = rows.groupBy("set_id").agg(F.count("*").alias("n"))
-    a = rows.join(sizes, "set_id").select(F.col("set_id").alias("a"), "member", F.col("n").alias("n_a"))
-    b = rows.join(sizes, "set_id").select(F.col("set_id").alias("b"), "member", F.col("n").alias("n_b"))
-    shared = a.join(b, "member").where("a <> b and (n_a < n_b or (n_a = n_b and a > b))").groupBy("a", "b", "n_a").agg(F.count("*").alias("n"))
-    return sizes.select("set_id").join(shared.where("n = n_a").select(F.col("a").alias("set_id")).distinct(), "set_id", "left_anti")
+    equal = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("member").cast("decimal(20,0)")).alias("h"))
+    often = rows.groupBy("member").agg(F.count("*").alias("sets"))
+    rare = rows.join(often, "member").groupBy("set_id").agg(F.min(F.struct("sets", "member")).alias("x")).select("set_id", F.col("x.member").alias("rare"))
+    asks = equal.join(rare, "set_id").select(F.col("set_id").alias("a"), F.col("rare").alias("member"), F.col("n").alias("n_a"))
+    # of sets equal in size and hash, which are equal but for a chance collision, the lowest stands for all of them
+    first = equal.groupBy("n", "h").agg(F.min("set_id").alias("b"))
+    holds = rows.join(equal.join(first, ["n", "h"]).where("set_id = b").select("set_id", "n"), "set_id").select(F.col("set_id").alias("b"), "member", F.col("n").alias("n_b"))
+    pairs = asks.join(holds, "member").where("a <> b and (n_a < n_b or (n_a = n_b and a > b))").select("a", "b", "n_a")
+    shared = pairs.join(rows.select(F.col("set_id").alias("a"), "member"), "a").join(rows.select(F.col("set_id").alias("b"), "member"), ["b", "member"])
+    inside = shared.groupBy("a", "b", "n_a").agg(F.count("*").alias("n")).where("n = n_a")
+    return equal.select("set_id").join(inside.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_anti")
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:

@@ -55,13 +55,13 @@ def alert_record(t: Tables):
 
 _ZS = """zs AS (SELECT scenario, feature, value, avg(value) OVER (PARTITION BY feature) AS m, stddev_pop(value) OVER (PARTITION BY feature) AS sd FROM lo), zz AS (SELECT scenario, feature, round(CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END, 6) AS effect FROM zs),
   rk AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY abs(effect) DESC, feature) AS rn FROM zz)"""
-_PHRASE = " ".join(f"WHEN '{f}' THEN '{C.PHRASES[f]}'" for f in _FEAT)
+_PHRASE = " ".join(f"WHEN '{f}' THEN '{C.readable(f)}'" for f in _FEAT)
 
 
-@query(f", {_PROF.replace('SELECT CAST(tx_count AS DOUBLE)', 'SELECT scenario, CAST(tx_count AS DOUBLE)')}, {_ZS} SELECT scenario, string_agg(CASE WHEN effect > 0 THEN 'elevated ' ELSE 'reduced ' END || CASE feature {_PHRASE} END, '; ' ORDER BY rn) AS text FROM rk WHERE rn <= 3 GROUP BY 1")
+@query(f", {_PROF.replace('SELECT CAST(tx_count AS DOUBLE)', 'SELECT scenario, CAST(tx_count AS DOUBLE)')}, {_ZS}, tx3 AS (SELECT scenario, string_agg(CASE feature {_PHRASE} END || CASE WHEN effect > 0 THEN ' above usual' WHEN effect < 0 THEN ' below usual' ELSE ' as usual' END, '; ' ORDER BY rn) AS said FROM rk WHERE rn <= 3 GROUP BY 1) SELECT scenario, pattern_type || ': ' || said AS text FROM tx3 JOIN label USING (scenario)")
 def explanation_texts(t: Tables):
-    """Each scenario's three most unusual features (by standard score) in words."""
-    return D.explanations(_profiles(t), _FEAT)
+    """Each scenario's typology and its three most unusual features (by standard score) in words."""
+    return D.explanations(_profiles(t), _FEAT, kind="pattern_type")
 
 
 @query("SELECT scenario, sha256(string_agg(txid || '|' || fee || '|' || script_type, chr(10) ORDER BY txid || '|' || fee || '|' || script_type)) AS digest FROM tx GROUP BY 1")

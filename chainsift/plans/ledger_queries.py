@@ -437,14 +437,11 @@ def trace_path(t: Tables):
 
 @query(""", am AS (SELECT txid, side, address, sum(sat) AS sat FROM entry GROUP BY 1, 2, 3), tt AS (SELECT txid, side, sum(sat) AS total FROM am GROUP BY 1, 2 HAVING sum(sat) > 0), sh AS (SELECT am.*, sat / total AS share FROM am JOIN tt USING (txid, side)),
   fl AS (SELECT i.address AS src, o.address AS dst, max(CAST(i.share AS DOUBLE) * CAST(o.share AS DOUBLE)) AS share FROM sh i JOIN sh o ON i.txid = o.txid AND i.side = 'in' AND o.side = 'out' WHERE i.address <> o.address GROUP BY 1, 2),
-  h0 AS (SELECT DISTINCT address, 0 AS hop, CAST(1.0 AS DOUBLE) AS taint FROM entry WHERE side = 'in' AND scenario % 100 = 0),
-  h1 AS (SELECT dst AS address, 1 AS hop, round(max(taint * share) * 0.85, 4) AS taint FROM h0 JOIN fl ON src = address WHERE dst NOT IN (SELECT address FROM h0) GROUP BY dst HAVING round(max(taint * share) * 0.85, 4) >= 0.01),
-  h2 AS (SELECT dst AS address, 2 AS hop, round(max(taint * share) * 0.85, 4) AS taint FROM h1 JOIN fl ON src = address WHERE dst NOT IN (SELECT address FROM h0 UNION ALL SELECT address FROM h1) GROUP BY dst HAVING round(max(taint * share) * 0.85, 4) >= 0.01),
-  h3 AS (SELECT dst AS address, 3 AS hop, round(max(taint * share) * 0.85, 4) AS taint FROM h2 JOIN fl ON src = address WHERE dst NOT IN (SELECT address FROM h0 UNION ALL SELECT address FROM h1 UNION ALL SELECT address FROM h2) GROUP BY dst HAVING round(max(taint * share) * 0.85, 4) >= 0.01)
-  SELECT address, CAST(hop AS INT) AS hop, taint FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)""")
+  wk AS (SELECT DISTINCT address, 0 AS hop, CAST(1.0 AS DOUBLE) AS taint FROM entry WHERE side = 'in' AND scenario % 100 = 0 UNION SELECT dst, hop + 1, round(taint * share * 0.85, 4) FROM wk JOIN fl ON src = address WHERE hop < 5 AND round(taint * share * 0.85, 4) >= 0.01)
+  SELECT address, CAST(-x[2] AS INT) AS hop, x[1] AS taint FROM (SELECT address, max(row(taint, -hop)) AS x FROM wk GROUP BY 1)""")
 def taint_hops(t: Tables):
     seeds = t.entries.where("side = 'in' and scenario % 100 = 0").select("address").distinct()
-    return G.taint(t.entries, seeds, max_depth=3)
+    return G.taint(t.entries, seeds, max_depth=5)
 
 
 _CO = """w AS (SELECT txid FROM sums WHERE n_in >= 3 AND n_out >= 3), o AS (SELECT DISTINCT txid, address FROM entry JOIN w USING (txid) WHERE side = 'in'), co AS (SELECT x.address AS a, y.address AS b, count(*) AS weight FROM o x JOIN o y ON x.txid = y.txid AND x.address < y.address GROUP BY 1, 2)"""
