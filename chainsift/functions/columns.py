@@ -80,10 +80,10 @@ def readable(feature: str) -> str:
     return f"{last} of {' '.join(rest)}" if rest and last in MEASURES else " ".join([*rest, last])
 
 
-def explanation(feature: Column, effect: Column, names: list[str]) -> Column:
-    """One attribution in words: what the feature (one of ``names``) measures, and on which side of the usual it is."""
+def explanation(feature: Column, effect: Column, names: list[str], more: str = " above usual", less: str = " below usual") -> Column:
+    """One effect in words: what the feature (one of ``names``) measures, and what a positive or a negative effect means."""
     words = F.create_map(*[F.lit(x) for n in names for x in (n, readable(n))])
-    side = F.when(effect > 0, " above usual").when(effect < 0, " below usual").otherwise(" as usual")
+    side = F.when(effect > 0, more).when(effect < 0, less).otherwise(" as usual")
     return F.concat(F.coalesce(words[feature], feature), side)
 
 

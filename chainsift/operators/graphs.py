@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a step of an iteration to the shared folder (spark.checkpoint.dir; a temporary one where that is unset) and reads it again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own()}"
-    path = f"{folder.rstrip('/')}/chainsift/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On one machine a temporary folder will do where it is unset; on a
+    cluster that is an error, for the executors' rows would be left on their own disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines of the cluster share")
+    return f"file://{_own()}"
 
 
 def _own(made: list[str] = []) -> str:  # noqa: B006
@@ -25,6 +27,24 @@ def _own(made: list[str] = []) -> str:  # noqa: B006
     return made[0]
 
 
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes a step of an iteration to the shared folder and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/chainsift/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _drop(*written: DataFrame | None) -> None:
+    """Deletes steps that ``_cut`` wrote, once nothing reads them any more."""
+    for df in written:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def nodes(entries: DataFrame, tx: DataFrame, telemetry: DataFrame) -> DataFrame:
     """(id, node_type, detail): wallets, transactions and relay IPs; an IP's facts are those of its first transaction."""
     w = entries.select(F.concat(F.lit("w:"), "address").alias("id")).distinct().select("id", F.lit("wallet").alias("node_type"), F.lit(None).cast("string").alias("detail"))

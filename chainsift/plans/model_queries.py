@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainsift.functions import columns as C
 from chainsift.operators import aggregates as A
+from chainsift.operators import communities as K
 from chainsift.operators import detect as D
 from chainsift.operators import evaluate as V
 from chainsift.operators import features as E
@@ -16,6 +17,7 @@ from chainsift.operators import graphs as G
 from chainsift.operators import joins as J
 from chainsift.operators import models as M
 from chainsift.operators import quality as Q
+from chainsift.operators import shapley as X
 from chainsift.sources.ledger import DUCK
 from chainsift.streaming import reconcile as S
 
@@ -278,9 +280,8 @@ def event_scoring(t: Tables):
 
 
 def _folder(t: Tables) -> str:
-    """A new place in the shared folder (``spark.checkpoint.dir``; a temporary one where that is unset)."""
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-', dir='/tmp')}"
-    return f"{folder.rstrip('/')}/chainsift/stream-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    return f"{G.shared_folder(t.spark)}/chainsift/stream-{uuid.uuid4().hex}"
 
 
 def _as_stream(t: Tables, rows):
@@ -400,12 +401,12 @@ def model_gate(t: Tables):
 
 @query()
 def attribution_topn(t: Tables):
-    """The three strongest attributions of each of the 20 riskiest scenarios, in numbers and words."""
+    """The three strongest attributions (exact, in log-odds) of each of the 20 riskiest scenarios, in numbers and words."""
     rows, names = _training(t)
     model = M.binary_model(rows.where("part = 'train'"), names)
     top = M.binary_scores(model, rows, names).orderBy(F.desc("risk"), "scenario").limit(20)
-    found = M.attributions(lambda df: M.binary_scores(model, df, names), rows.join(F.broadcast(top.select("scenario")), "scenario").select("scenario", *names), names, over=rows)
-    return found.withColumn("words", C.explanation(F.col("feature"), F.col("effect")))
+    found = X.attributions(model, rows.join(F.broadcast(top.select("scenario")), "scenario").select("scenario", *names), names)
+    return _rounded(found.withColumn("words", C.explanation(F.col("feature"), F.col("effect"), names, " raises the risk", " lowers the risk")), 9)
 
 
 @query()
@@ -495,11 +496,37 @@ def corr_confidence(t: Tables):
     return found.where("status = 'MATCHED'").join(per, "scenario").select("key", "confidence")
 
 
+def _scenario_edges(t: Tables):
+    """(group, a, b, weight): wallets, transactions and relays of each scenario, an edge for each row that ties two of them."""
+    wallet, tx, ip = F.concat(F.lit("w:"), "address"), F.concat(F.lit("tx:"), "txid"), F.concat(F.lit("ip:"), "relay_ip")
+    moved = t.entries.select(F.col("scenario").alias("group"), wallet.alias("a"), tx.alias("b"))
+    relayed = t.telemetry.join(t.tx.select("txid", "scenario"), "txid").select(F.col("scenario").alias("group"), tx.alias("a"), ip.alias("b"))
+    return moved.unionByName(relayed).distinct().withColumn("weight", F.lit(1.0))
+
+
 @query()
 def scenario_communities(t: Tables):
-    """Communities of each scenario's wallets that take part in one transaction, by distributed local moving."""
-    part = t.entries.select("scenario", "txid", "address").distinct()
-    node = F.concat_ws(":", "scenario", "address")
-    own = part.select("txid", node.alias("n"))
-    pairs = own.withColumnRenamed("n", "a").join(own.withColumnRenamed("n", "b"), "txid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
-    return D.louvain(pairs).select(F.split("node", ":")[0].cast("long").alias("scenario"), F.split("node", ":")[1].alias("address"), "community")
+    """Modularity communities of each scenario's graph of wallets, transactions and relays: members, with the partition's modularity."""
+    found = K.greedy_communities(_scenario_edges(t))
+    kind = F.when(F.col("node").startswith("w:"), "wallet").when(F.col("node").startswith("tx:"), "transaction").otherwise("ip")
+    return found.select(F.col("group").alias("scenario"), F.concat(F.lit("comm_"), "group", F.lit("_"), "community").alias("community"), F.col("node").alias("id"), kind.alias("node_type"), "modularity")
+
+
+@query()
+def scenario_community_sizes(t: Tables):
+    """Each community's members by kind, and how many communities its scenario has."""
+    found = scenario_communities(t)
+    per = found.groupBy("scenario", "community", "modularity").agg(F.count("*").alias("members"), *[F.count_if(F.col("node_type") == k).alias(f"{k}_count") for k in ("wallet", "transaction", "ip")])
+    return per.withColumn("communities", F.count("*").over(Window.partitionBy("scenario")))
+
+
+@query(""", e AS (SELECT DISTINCT scenario, 'w:' || address AS a, txid FROM entry UNION SELECT scenario, 'ip:' || relay_ip, txid FROM telemetry JOIN tx USING (txid)), m AS (SELECT scenario, a AS node, min(txid) AS c FROM e GROUP BY 1, 2 UNION ALL SELECT DISTINCT scenario, 'tx:' || txid, txid FROM e),
+  x AS (SELECT e.scenario, p.c AS ca, e.txid AS cb FROM e JOIN m p ON p.scenario = e.scenario AND p.node = e.a), k AS (SELECT scenario, c, sum(k) AS k, sum(i) AS i FROM (SELECT scenario, ca AS c, count(*) AS k, count(*) FILTER (ca = cb) AS i FROM x GROUP BY 1, 2 UNION ALL SELECT scenario, cb, count(*), count(*) FILTER (ca = cb) FROM x GROUP BY 1, 2) GROUP BY 1, 2),
+  s AS (SELECT scenario, sum(k) AS t FROM k GROUP BY 1) SELECT scenario, round(sum(i / t - (k / t) * (k / t)), 9) AS modularity FROM k JOIN s USING (scenario) GROUP BY 1""")
+def modularity_by_transaction(t: Tables):
+    """Modularity of each scenario's graph where each transaction with the wallets and relays seen first in it is a community."""
+    edges = _scenario_edges(t)
+    ends = edges.select("group", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("group", "x.*")
+    own = F.when(F.col("node").startswith("tx:"), F.substring("node", 4, 30)).otherwise(F.substring("other", 4, 30)).cast("long")
+    members = ends.groupBy("group", "node").agg(F.min(own).alias("community"))
+    return K.modularity(edges, members).withColumnRenamed("group", "scenario")

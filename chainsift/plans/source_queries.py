@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -18,8 +17,7 @@ from .base import ORACLES, Tables, query
 
 
 def _folder(t: Tables) -> str:
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-files-', dir='/tmp')}"
-    return f"{at.rstrip('/')}/chainsift/files-{uuid.uuid4().hex}"
+    return f"{G.shared_folder(t.spark)}/chainsift/files-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(txid AS VARCHAR) AS txid, relay_ip, asn, country AS country_code, node_type FROM telemetry")
