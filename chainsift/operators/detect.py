@@ -93,6 +93,18 @@ def decay(members: DataFrame, group: str = "chain") -> DataFrame:
     return sums.select(group, F.col("n").cast("long").alias("hops"), _decay().alias("decay"))
 
 
+def chain_members(heads: DataFrame, hops: DataFrame) -> DataFrame:
+    """(chain, pos, txid): the transactions of the chains that start at ``heads`` (txid) along ``hops`` (txid, next); pos 0 is the head.
+
+    Positions double: after round k all below 2 ** k are known, so that there are as many rounds as the longest chain's logarithm."""
+    out, jump, step = _cut(heads.select(F.col("txid").alias("chain"), F.lit(0).cast("long").alias("pos"), "txid"), "members"), _cut(hops.select("txid", "next"), "jump"), 1
+    while jump.limit(1).count():
+        out = _cut(out.unionByName(out.join(jump, "txid").select("chain", (F.col("pos") + step).alias("pos"), F.col("next").alias("txid"))), "members")
+        jump = _cut(jump.join(jump.toDF("next", "far"), "next").select("txid", F.col("far").alias("next")), "jump")
+        step *= 2
+    return out
+
+
 def _descends(good: DataFrame, hops: DataFrame) -> DataFrame:
     """(txid): transactions that the chain of a good start passes later on, by doubling pointers backwards."""
     marked = _cut(good.select("txid"), "marked")
@@ -109,6 +121,16 @@ def _descends(good: DataFrame, hops: DataFrame) -> DataFrame:
 def peel_chains(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, tolerance: float = 0.05, least_hops: int = 3, least_decay: float = 0.6) -> DataFrame:
     """(chain, hops, decay, total_peeled, first_ts, last_ts): suffixes of maximal chains that are long and decay enough; a
     suffix of a chain that passes itself is dropped. ``chain``: the first transaction."""
+    return _peel_chains(entries, gap_s, ratio, tolerance, least_hops, least_decay)[0]
+
+
+def peel_members(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, tolerance: float = 0.05, least_hops: int = 3, least_decay: float = 0.6) -> DataFrame:
+    """(chain, pos, txid): the transactions of the chains that ``peel_chains`` finds."""
+    found, hops = _peel_chains(entries, gap_s, ratio, tolerance, least_hops, least_decay)
+    return chain_members(found.select(F.col("chain").alias("txid")), hops)
+
+
+def _peel_chains(entries: DataFrame, gap_s: float, ratio: float, tolerance: float, least_hops: int, least_decay: float) -> tuple[DataFrame, DataFrame]:
     peels = _cut(peel_transactions(entries, ratio), "peels")
     hops = _cut(peel_hops(entries, peels, gap_s, tolerance), "hops")
     own = peels.where("two_rows").select("txid", "ts", "carry", "peel")
@@ -118,7 +140,7 @@ def peel_chains(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, to
     steps = own.join(ahead, "txid", "left").select("txid", "next", F.log(F.greatest(F.col("carry"), F.lit(1)).cast("double")).alias("y"), F.coalesce((F.col("after") < F.col("carry")).cast("double"), F.lit(0.0)).alias("falls"), F.col("peel").alias("total"), "ts")
     found = chains(steps).withColumn("decay", _decay()).where((F.col("n") >= least_hops) & (F.col("decay") >= least_decay))
     good = _cut(found.join(own.select("txid", "ts"), "txid").select("txid", F.col("n").cast("long").alias("hops"), "decay", F.col("total").alias("total_peeled"), F.col("ts").alias("first_ts"), F.col("until").alias("last_ts")), "good")
-    return good.join(_descends(good, hops), "txid", "left_anti").withColumnRenamed("txid", "chain")
+    return good.join(_descends(good, hops), "txid", "left_anti").withColumnRenamed("txid", "chain"), hops
 
 
 def evidence_peel(entries: DataFrame, gap_s: float = 21600, ratio: float = 2.0, rise: float = 1.05, least_hops: int = 5, least_shapes: int = 3) -> DataFrame:
@@ -327,6 +349,22 @@ def candidate_truth(members: DataFrame, truth: DataFrame) -> DataFrame:
     return members.join(truth, "txid").groupBy("candidate", "kind").agg(F.count("*").alias("members"), F.count_if(F.col("pattern_type") == F.col("kind")).alias("matching"), F.mode("pattern_type", True).alias("dominant"))
 
 
+def validate_candidates(found: DataFrame, truth: DataFrame, least_share: float = 0.8) -> DataFrame:
+    """Precision, recall and F1 by kind of candidates (kind, candidate, txid) against (txid, scenario, pattern_type).
+
+    A candidate is a true positive if ``least_share`` of its transactions are of its kind's pattern. A scenario of the pattern counts as found if a
+    true positive has one of its transactions. A kind without candidates has zeros; one without scenarios has a recall of zero."""
+    rows = found.select("kind", "candidate", "txid").distinct().join(truth, "txid", "left")
+    hit = F.coalesce(F.col("pattern_type") == F.col("kind"), F.lit(False))
+    per = rows.groupBy("kind", "candidate").agg((F.count_if(hit) >= least_share * F.count("*")).alias("tp"))
+    counts = per.groupBy("kind").agg(F.count("*").alias("candidates"), F.count_if("tp").alias("true_positives"))
+    covered = rows.where(hit).join(per.where("tp"), ["kind", "candidate"]).groupBy("kind").agg(F.count_distinct("scenario").alias("found"))
+    totals = truth.groupBy(F.col("pattern_type").alias("kind")).agg(F.count_distinct("scenario").alias("scenarios"))
+    out = counts.join(covered, "kind", "left").join(totals, "kind", "left").na.fill(0, ["found", "scenarios"])
+    p, r = F.col("true_positives") / F.col("candidates"), F.when(F.col("scenarios") > 0, F.col("found") / F.col("scenarios")).otherwise(0.0)
+    return out.select("kind", "candidates", "true_positives", (F.col("candidates") - F.col("true_positives")).alias("false_positives"), "found", "scenarios", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
+
+
 def validate(truthed: DataFrame, totals: DataFrame, least_share: float = 0.8) -> DataFrame:
     """Precision, recall and F1 by kind. ``truthed``: candidate_truth with ``scenario``; ``totals``: (kind, scenarios)."""
     tp = F.col("matching") >= least_share * F.col("members")

@@ -196,13 +196,18 @@ def community_metrics(pairs: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("community").agg(F.count("*").alias("size"))
     out = size.join(inner, "community", "left").join(outer, "community", "left").na.fill(0, ["inner_edges", "outer_edges"])
     n, i, o = F.col("size"), F.col("inner_edges"), F.col("outer_edges")
-    from .communities import diameters
-
     far = diameters(both.where("ca = cb").select(F.col("ca").alias("community"), "a", "b"))
     out = out.join(far, "community", "left").na.fill(0, ["diameter"])
     return out.select("community", "size", "inner_edges", "outer_edges", "diameter", F.round(F.when(n > 1, 2 * i / (n * (n - 1))).otherwise(0.0), 6).alias("density"), F.round(F.when(i + o > 0, o / (i + o)).otherwise(0.0), 6).alias("external_ratio"))
 
 
+def diameters(edges: DataFrame) -> DataFrame:
+    """(community, diameter) over the edges (community, a, b): see ``communities.diameters``."""
+    from . import communities
+
+    return communities.diameters(edges)
+
+
 def simple_paths(transfers: DataFrame, src: str, dst: str, max_depth: int = 3) -> DataFrame:
     """(hops, path): all paths of at most ``max_depth`` transfers between two wallets that visit no wallet twice, wallets joined by '>'.
 

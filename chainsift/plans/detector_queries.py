@@ -92,10 +92,11 @@ def ev_mixing(t: Tables):
 
 @query(""", inf AS (SELECT scenario, count(*) AS tx_count, count(*) FILTER (node_type IN ('tor_exit_node', 'vpn_proxy', 'bulletproof_host')) AS suspicious FROM tx JOIN telemetry USING (txid) GROUP BY 1),
   per AS (SELECT scenario, txid, count(*) FILTER (side = 'in') AS i, count(*) FILTER (side = 'out') AS o FROM entry GROUP BY 1, 2), la AS (SELECT scenario, address, max(ts) AS t1 FROM entry WHERE side = 'in' GROUP BY 1, 2),
-  ag AS (SELECT e.scenario, count(DISTINCT e.txid) AS aggregated FROM entry e JOIN per USING (txid) JOIN la ON la.scenario = e.scenario AND la.address = e.address WHERE side = 'out' AND i >= 2 AND t1 > e.ts GROUP BY 1)
-  SELECT scenario, tx_count, suspicious, aggregated FROM inf JOIN ag USING (scenario) WHERE tx_count BETWEEN 3 AND 50 AND suspicious >= 2 AND suspicious >= 0.25 * tx_count AND scenario NOT IN (SELECT scenario FROM per WHERE o >= 3)""")
+  ag AS (SELECT e.scenario, count(DISTINCT e.txid) AS aggregated FROM entry e JOIN per USING (txid) JOIN la ON la.scenario = e.scenario AND la.address = e.address WHERE side = 'out' AND i = 2 AND o <= 4 AND t1 > e.ts GROUP BY 1)
+  SELECT scenario, tx_count, suspicious, aggregated FROM inf JOIN ag USING (scenario) WHERE tx_count BETWEEN 3 AND 50 AND suspicious >= 2 AND suspicious >= 0.25 * tx_count AND scenario NOT IN (SELECT scenario FROM per WHERE o >= 5)""")
 def ev_ransomware(t: Tables):
-    return D.evidence_ransomware(t.entries, t.telemetry, t.tx)
+    """Transactions have more outputs here than the detector's defaults allow."""
+    return D.evidence_ransomware(t.entries, t.telemetry, t.tx, most_outputs=4, fan_out=5)
 
 
 def _fragments(t: Tables):

@@ -14,6 +14,7 @@ from chainsift.sources import uploads as U
 from chainsift.sources.ledger import DUCK
 
 from .base import ORACLES, Tables, query
+from .detector_queries import _PEEL, _hop
 
 
 def _folder(t: Tables) -> str:
@@ -118,7 +119,7 @@ def _found(t: Tables, entries):
         D.evidence_peel(entries, 8 * 180 * 86400, least_hops=2).select(F.lit("peeling_chain").alias("kind"), "scenario", "hops"),
         D.evidence_layering(entries, 2000 * 86400, 0.3, 2).select(F.lit("layering").alias("kind"), "scenario", "share"),
         D.evidence_mixing(entries, 2, 0.4).select(F.lit("mixing").alias("kind"), "scenario", "cv"),
-        D.evidence_ransomware(entries, t.telemetry, t.tx).select(F.lit("ransomware").alias("kind"), "scenario", "suspicious", "aggregated"),
+        D.evidence_ransomware(entries, t.telemetry, t.tx, most_outputs=4, fan_out=5).select(F.lit("ransomware").alias("kind"), "scenario", "suspicious", "aggregated"),
     ]
 
 
@@ -138,23 +139,45 @@ def ml_handoff(t: Tables):
     return t.spark.read.option("header", True).schema("kind string, scenario long, hops long, share double, cv double, suspicious long, aggregated long").csv(f"{at}/handoff")
 
 
+def _traced(entries, transfers):
+    """(kind, candidate, txid) of peeling chains and of layering: all transactions of a chain, all sends of a source."""
+    peel = D.peel_members(entries, 180 * 86400, least_hops=2).select(F.lit("peeling_chain").alias("kind"), F.concat(F.lit("p"), "chain").alias("candidate"), "txid")
+    layered = D.layering_candidates(entries, transfers, 5, 0.3, 400 * 86400, 40, 2)
+    sends = entries.where("side = 'in'").select(F.col("address").alias("source"), "txid").distinct()
+    layering = layered.join(sends, "source").select(F.lit("layering").alias("kind"), F.concat_ws(">", "source", "sink").alias("candidate"), "txid")
+    return peel.unionByName(layering)
+
+
+_CANDIDATES = f""", pc AS (WITH RECURSIVE {ORACLES['peel_chains'].removeprefix(DUCK).lstrip(', ')}), {_PEEL}, {_hop()}, cm AS (SELECT chain, chain AS txid FROM pc UNION ALL SELECT chain, next FROM cm JOIN hop USING (txid)),
+  lc AS (WITH RECURSIVE {ORACLES['layering_candidates'].removeprefix(DUCK).lstrip(', ')}), cand AS (SELECT 'peeling_chain' AS kind, 'p' || chain AS candidate, txid FROM cm UNION SELECT 'layering', source || '>' || sink, txid FROM lc JOIN entry ON address = source AND side = 'in')"""
+
+
+@query(f"""{_CANDIDATES}, vr AS (SELECT kind, candidate, c.txid, scenario, pattern_type, coalesce(pattern_type = kind, false) AS hit FROM cand c LEFT JOIN (SELECT txid, scenario, pattern_type FROM tx JOIN label USING (scenario)) l USING (txid)),
+  vp AS (SELECT kind, candidate, count(*) FILTER (hit) >= 0.3 * count(*) AS tp FROM vr GROUP BY 1, 2), vk AS (SELECT kind, count(*) AS candidates, count(*) FILTER (tp) AS true_positives FROM vp GROUP BY 1), vf AS (SELECT kind, count(DISTINCT scenario) AS found FROM vr JOIN vp USING (kind, candidate) WHERE hit AND tp GROUP BY 1),
+  vs AS (SELECT pattern_type AS kind, count(DISTINCT scenario) AS scenarios FROM tx JOIN label USING (scenario) GROUP BY 1), vm AS (SELECT *, true_positives / candidates AS pr, CASE WHEN coalesce(scenarios, 0) > 0 THEN coalesce(found, 0) / scenarios ELSE 0 END AS re FROM vk LEFT JOIN vf USING (kind) LEFT JOIN vs USING (kind))
+  SELECT kind, candidates, true_positives, candidates - true_positives AS false_positives, coalesce(found, 0) AS found, coalesce(scenarios, 0) AS scenarios, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM vm""")
+def validate_traced(t: Tables):
+    """Chains and layering against the labels, which are independent of the money's ways in these tables: a third of the transactions will do here."""
+    entries, transfers = G._cut(t.entries, "entries"), G._cut(t.transfers, "transfers")
+    return D.validate_candidates(_traced(entries, transfers), t.tx.join(t.labels, "scenario").select("txid", "scenario", "pattern_type"), 0.3)
+
+
 @query()
 def detect_all(t: Tables):
-    """The detector pipeline: chains, layering and mixing over one table of entries; candidates with their relays; the graph and the candidates
-    as files; precision by kind beside each candidate. Rows (kind, candidate, members, ips, asns, tor_vpn_share, precision)."""
+    """The detector pipeline: chains, layering and mixing over one table of entries; candidates with their relays; the graph, the candidates and
+    the models' flat table as files; precision, recall and F1 by kind beside each candidate."""
     at = _folder(t)
     entries, transfers = G._cut(t.entries, "entries"), G._cut(t.transfers, "transfers")
     pairs = G._cut(G.coparticipation(entries), "co")
-    peel = D.peel_chains(entries, 180 * 86400, least_hops=2).select(F.lit("peeling_chain").alias("kind"), F.concat(F.lit("p"), "chain").alias("candidate"), F.col("chain").alias("txid"))
-    layered = D.layering_candidates(entries, transfers, 5, 0.3, 400 * 86400, 40, 2)
-    sends = entries.where("side = 'in'").select(F.col("address").alias("source"), "txid").distinct()
-    layering = layered.join(sends, "source").select(F.lit("layering").alias("kind"), F.concat_ws(">", "source", "sink").alias("candidate"), "txid")
+    sends = entries.where("side = 'in'").select(F.col("address").alias("node"), "txid").distinct()
     members = D.louvain(pairs)
-    mixed = D.mixing_candidates(entries, members, pairs, 3, 0.3, 0.4, 1.0, 4000 * 86400).select("community").join(members, "community")
-    mixing = mixed.join(sends.withColumnRenamed("source", "node"), "node").select(F.lit("mixing").alias("kind"), F.col("community").alias("candidate"), "txid").distinct()
-    found = G._cut(peel.unionByName(layering).unionByName(mixing), "candidates")
+    mixed = D.mixing_candidates(entries, members, pairs, 3, 0.3, 0.4, 1.0, 4000 * 86400)
+    mixing = mixed.select("community").join(members, "community").join(sends, "node").select(F.lit("mixing").alias("kind"), F.col("community").alias("candidate"), "txid").distinct()
+    found = G._cut(_traced(entries, transfers).unionByName(mixing), "candidates")
     U.export_graph(G.nodes(entries, t.tx, t.telemetry), G.edges(entries, t.telemetry), found, at)
-    truthed = D.candidate_truth(found, t.tx.join(t.labels, "scenario").select("txid", "pattern_type")).withColumn("scenario", F.col("candidate"))
-    checked = D.validate(truthed, t.labels.where("is_illicit = 1").groupBy(F.col("pattern_type").alias("kind")).agg(F.count("*").alias("scenarios")))
     size = found.groupBy("kind", "candidate").agg(F.count_distinct("txid").alias("members"))
-    return size.join(D.candidate_network(found, t.telemetry).drop("member_ips"), "candidate").join(F.broadcast(checked.select("kind", "precision")), "kind")  # a row for each kind
+    network = D.candidate_network(found.select("candidate", "txid"), t.telemetry).drop("member_ips")
+    shape = mixed.select(F.lit("mixing").alias("kind"), F.col("community").alias("candidate"), "density", "external_ratio", "cv")
+    size.join(network, "candidate").join(shape, ["kind", "candidate"], "left").write.option("header", True).csv(f"{at}/handoff")
+    checked = D.validate_candidates(found, t.tx.join(t.labels, "scenario").select("txid", "scenario", "pattern_type"))
+    return size.join(network, "candidate").join(F.broadcast(checked.select("kind", "precision", "recall", "f1")), "kind")  # a row for each kind
