@@ -198,19 +198,14 @@ def _walk(starts: DataFrame, transfers: DataFrame, hubs: DataFrame, hops: int, w
 def _moved(both: DataFrame, total: float) -> DataFrame | None:
     """(node, community) after local moving over (a, b, weight), both ways, loops in; None if nothing moves.
 
-    In a round only nodes of one hash half may move, to where modularity gains most (ties: the lowest community). Rounds end
-    when neither half moves, or when moves at the same time would lose what they gain."""
+    A node wants to go where modularity gains most (ties: the lowest community). Of neighbours that want to move, only the one of the highest gain (then
+    hash) may in a round, so that no two neighbours move together; and of those that go to one community, each must still gain after all of
+    higher gain have gone there. What a round gains is then at least the sum of what is counted, so that modularity never falls, and the
+    best move of all is always made. Rounds end when no node wants to move."""
     degree = _cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "degree")
     apart = both.where("a <> b")
-
-    def modularity(part: DataFrame) -> float:
-        x = both.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")))).first()[0] or 0
-        y = degree.join(part, "node").groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / total, F.lit(2)))).first()[0] or 0
-        return x / total - y
-
-    part = _cut(degree.select("node", F.col("node").alias("community")), "part")
-    held, quiet, r, changed = modularity(part), 0, 0, False
-    while quiet < 2:
+    part, r, changed = _cut(degree.select("node", F.col("node").alias("community")), "part"), 0, False
+    while True:
         own = degree.join(part, "node")
         sums = own.groupBy("community").agg(F.sum("k").alias("tot"))
         near = apart.join(part.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
@@ -218,18 +213,17 @@ def _moved(both: DataFrame, total: float) -> DataFrame | None:
         near = near.unionByName(part.withColumn("w", F.lit(0).cast("long"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
         choice = near.join(sums, "community").join(own.select("node", "k", F.col("community").alias("own")), "node")
         gain = F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)) / total, 9)
-        best = choice.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), "community")).alias("x"), F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stay")).select("node", F.col("x.community").alias("to"), (-F.col("x.g") > F.col("stay")).alias("better"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        new = _cut(part.join(best, "node", "left").select("node", F.when(moves & F.col("better"), F.col("to")).otherwise(F.col("community")).alias("community"), (moves & F.col("better")).alias("went")), "part")
-        r += 1
-        if not new.where("went").limit(1).count():
-            quiet += 1
-            continue
-        now = modularity(new.drop("went"))
-        if now <= held + 1e-9:
-            break
-        part, held, quiet, changed = new.drop("went"), now, 0, True
-    return part if changed else None
+        best = choice.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), "community")).alias("x"), F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stay"), F.max("k").alias("k"))
+        wants = best.select("node", "k", F.col("x.community").alias("to"), (-F.col("x.g") - F.col("stay")).alias("more")).where("more > 1e-9")
+        wants = _cut(wants.withColumn("first", F.struct("more", F.xxhash64("node", F.lit(r)).alias("h"), "node")), "wants")
+        if not wants.limit(1).count():
+            return part if changed else None
+        beside = apart.join(wants.select(F.col("node").alias("a"), F.col("first").alias("mine")), "a").join(wants.select(F.col("node").alias("b"), F.col("first").alias("other")), "b")
+        free = wants.join(beside.where("other > mine").select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        before = F.coalesce(F.sum("k").over(Window.partitionBy("to").orderBy(F.desc("more"), "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        goes = free.withColumn("before", before).where(F.col("more") - F.col("k") * F.col("before") / total > 1e-9).select("node", "to")
+        part = _cut(part.join(goes, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "part")
+        r, changed = r + 1, True
 
 
 def louvain(pairs: DataFrame) -> DataFrame:
