@@ -19,6 +19,7 @@ from chainsift.operators import models as M
 from chainsift.operators import quality as Q
 from chainsift.operators import shapley as X
 from chainsift.sources.ledger import DUCK
+from chainsift.streaming import matching as W
 from chainsift.streaming import reconcile as S
 
 from .base import ORACLES, Tables, query
@@ -317,6 +318,16 @@ def reconcile_stream(t: Tables):
     return _drain(S.reconcile(blocks, relays, 60.0, "2 hours"), t)
 
 
+@query(f"{_MATCH} SELECT * FROM c", bare=True)
+def match_stream(t: Tables):
+    """Both feeds as one stream, each key with its lists in kept state, until nothing new comes: the batch's result."""
+    at = _folder(t)
+    W.feed(_blocks(t), _relays(t)).write.parquet(f"{at}/in")
+    rows = t.spark.readStream.schema(t.spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
+    found = W.run_matching(t.spark, rows, at, 864_000.0, 3650 * 86_400.0, "3650 days")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("block_ts", "relay_ts")})
+
+
 @query(f"WITH {_BLOCKS} SELECT key, count(*) AS rows, count(DISTINCT row(block_ts, fact)) AS variants, CASE WHEN count(DISTINCT row(block_ts, fact)) > 1 THEN 'CONFLICTING' ELSE 'SINGLE' END AS status FROM b GROUP BY 1", bare=True)
 def conflict_stream(t: Tables):
     blocks = _stream(t).where("event_type = 'purchase'").select(_key().alias("key"), F.concat_ws("/", F.col("ts").cast("string"), F.col("value").cast("string")).alias("fact"), F.col("ts").alias("block_ts"))
