@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainsift.functions.columns import micros, suspicious
 
-from .graphs import _cut, community_metrics
+from .graphs import _cut, _drop, community_metrics
 from .ordering import join_within
 
 
@@ -43,20 +46,61 @@ def peel_hops(entries: DataFrame, peels: DataFrame, gap_s: float = 21600, tolera
     return both.where(ok).groupBy("txid").agg(F.min(F.struct("next_ts", "next")).alias("x")).select("txid", F.col("x.next").alias("next"))
 
 
-def chains(steps: DataFrame) -> DataFrame:
+#: Rows of chains that one task may hold; more go through rounds of jobs, to the same result.
+IN_TASK = 200_000
+_SUMS = ("n", "x", "xx", "y", "yy", "xy", "falls", "total")
+
+
+def _along(next_of: dict[int, int]) -> Iterator[int]:
+    """Transactions of a forest of hops, each after the one it leads to."""
+    done: set[int] = set()
+    for start in next_of:
+        way = []
+        at = start
+        while at is not None and at not in done:
+            way.append(at)
+            done.add(at)
+            at = next_of.get(at)
+        yield from reversed(way)
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``chains`` in one task: what a chain adds up to is its first transaction and the rest, moved on by one position."""
+    tables = list(batches)
+    if not tables:
+        return
+    rows = pd.concat(tables)
+    own = {r.txid: r for r in rows.itertuples()}
+    next_of = {t: None if pd.isna(r.next) or int(r.next) not in own else int(r.next) for t, r in own.items()}
+    held: dict[int, tuple] = {}
+    for t in _along(next_of):
+        r, ahead = own[t], held.get(next_of[t])
+        n, x, xx, y, yy, xy, falls, total, last, until = ahead or (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, t, r.ts)
+        held[t] = (n + 1, x + n, xx + 2 * x + n, r.y + y, r.y * r.y + yy, xy + y, r.falls + falls, r.total + total, last, until)
+    out = pd.DataFrame.from_dict(held, orient="index", columns=[*_SUMS, "last", "until"])
+    yield out.rename_axis("txid").reset_index()
+
+
+def chains(steps: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(txid, last, n, x, xx, y, yy, xy, falls, total, until): what the chain from each transaction on adds up to, whatever its length.
 
     ``steps``: (txid, next, y, falls, total, ts), one row a transaction, next NULL at an end; hops form a forest. n members, sums over their
-    positions x (0 first) and values y, ``falls`` and ``total`` summed, ``until`` the last time. Pointers double: after round k a row covers
-    2 ** k members, so that there are as many rounds as the longest chain's logarithm and no list of members is ever made."""
+    positions x (0 first) and values y, ``falls`` and ``total`` summed, ``until`` the last time. Up to ``in_task`` rows are walked in one task. With more,
+    pointers double: after round k a row covers 2 ** k members, so that there are as many rounds as the longest chain's logarithm; a round reads and
+    writes the rows whose chain goes on, and looks up the others."""
     zero = F.lit(0.0)
     at = steps.select("txid", "next", F.col("txid").alias("last"), F.lit(1.0).alias("n"), zero.alias("x"), zero.alias("xx"), "y", (F.col("y") * F.col("y")).alias("yy"), zero.alias("xy"), "falls", "total", F.col("ts").alias("until"))
     at = _cut(at, "chain")
-    while at.where("next is not null").limit(1).count():
-        far = at.select(*[F.col(c).alias(f"f_{c}") for c in at.columns])
+    kinds = dict(at.dtypes)
+    if at.count() <= in_task:
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("txid", *_SUMS, "last", "until"))
+        return at.select("txid", "next", "y", "falls", "total", F.col("until").alias("ts")).coalesce(1).mapInPandas(_summed, schema)
+    ended = at.where("next is null")
+    while (going := at.where("next is not null")).limit(1).count():
+        far = ended.unionByName(going).select(*[F.col(c).alias(f"f_{c}") for c in at.columns])
         n = F.col("n")
         g = lambda c: F.coalesce(F.col(f"f_{c}"), zero)
-        both = at.join(far, F.col("next") == F.col("f_txid"), "left")
+        both = going.join(far, F.col("next") == F.col("f_txid"), "left")
         at = _cut(
             both.select(
                 "txid",
@@ -74,7 +118,8 @@ def chains(steps: DataFrame) -> DataFrame:
             ),
             "chain",
         )
-    return at
+        ended = ended.unionByName(at.where("next is null"))
+    return ended
 
 
 def _decay() -> F.Column:
@@ -105,8 +150,25 @@ def chain_members(heads: DataFrame, hops: DataFrame) -> DataFrame:
     return out
 
 
-def _descends(good: DataFrame, hops: DataFrame) -> DataFrame:
-    """(txid): transactions that the chain of a good start passes later on, by doubling pointers backwards."""
+def _passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_descends`` in one task, over (txid, next, good)."""
+    tables = list(batches)
+    if not tables:
+        return
+    rows = pd.concat(tables)
+    next_of, good = dict(zip(rows["txid"].tolist(), rows["next"].tolist())), set(rows.loc[rows["good"], "txid"].tolist())
+    passed: set[int] = set()
+    for t in reversed(list(_along(next_of))):  # each before the one it leads to
+        if t in next_of and (t in good or t in passed):
+            passed.add(next_of[t])
+    yield pd.DataFrame({"txid": pd.Series(sorted(passed), dtype="int64")})
+
+
+def _descends(good: DataFrame, hops: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(txid): transactions that the chain of a good start passes later on: in one task up to ``in_task`` hops, else by doubling pointers backwards."""
+    if hops.count() <= in_task:
+        marked = hops.join(good.select("txid", F.lit(True).alias("good")), "txid", "left").select("txid", "next", F.coalesce("good", F.lit(False)).alias("good"))
+        return marked.coalesce(1).mapInPandas(_passed, f"txid {dict(hops.dtypes)['txid']}")
     marked = _cut(good.select("txid"), "marked")
     jump, out = _cut(hops.select("txid", "next"), "jump"), None
     while jump.limit(1).count():
@@ -217,13 +279,15 @@ def _moved(both: DataFrame, total: float) -> DataFrame | None:
         wants = best.select("node", "k", F.col("x.community").alias("to"), (-F.col("x.g") - F.col("stay")).alias("more")).where("more > 1e-9")
         wants = _cut(wants.withColumn("first", F.struct("more", F.xxhash64("node", F.lit(r)).alias("h"), "node")), "wants")
         if not wants.limit(1).count():
+            _drop(wants, degree, None if changed else part)
             return part if changed else None
         beside = apart.join(wants.select(F.col("node").alias("a"), F.col("first").alias("mine")), "a").join(wants.select(F.col("node").alias("b"), F.col("first").alias("other")), "b")
         free = wants.join(beside.where("other > mine").select(F.col("a").alias("node")).distinct(), "node", "left_anti")
         before = F.coalesce(F.sum("k").over(Window.partitionBy("to").orderBy(F.desc("more"), "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         goes = free.withColumn("before", before).where(F.col("more") - F.col("k") * F.col("before") / total > 1e-9).select("node", "to")
-        part = _cut(part.join(goes, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "part")
-        r, changed = r + 1, True
+        new = _cut(part.join(goes, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "part")
+        _drop(part, wants)
+        part, r, changed = new, r + 1, True
 
 
 def louvain(pairs: DataFrame) -> DataFrame:
@@ -231,10 +295,15 @@ def louvain(pairs: DataFrame) -> DataFrame:
     weight a loop) and move in turn, level by level. A community is named after its lowest node; deterministic."""
     both = _cut(pairs.select("a", "b", F.col("weight").cast("long").alias("weight")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").cast("long").alias("weight"))), "pairs")
     total = both.agg(F.sum("weight")).first()[0] or 1
-    label = both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+    label = _cut(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct(), "louvain")
     while (part := _moved(both, total)) is not None:
-        label = _cut(label.join(part.toDF("community", "to"), "community").select("node", F.col("to").alias("community")), "louvain")
-        both = _cut(both.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "pairs")
+        new = _cut(label.join(part.toDF("community", "to"), "community").select("node", F.col("to").alias("community")), "louvain")
+        _drop(label)
+        label = new
+        new = _cut(both.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "pairs")
+        _drop(both, part)
+        both = new
+    _drop(both)
     name = label.groupBy("community").agg(F.min("node").alias("name"))
     return label.join(name, "community").select("node", F.col("name").alias("community"))
 

@@ -75,22 +75,24 @@ def bipartite_violations(tx: DataFrame, entries: DataFrame) -> DataFrame:
     return both.where(no_in | no_out).select("txid", reason.alias("reason"))
 
 
-def connected(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, label): the smallest node that each node of (a, b) reaches, by alternating large and small stars."""
+def connected(pairs: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of (a, b) reaches, by alternating large and small stars, until they no longer change (about
+    the logarithm of the longest path); a round's table goes once the next one is written."""
     at = _cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        at = _cut(small.where("a <> b").distinct(), "stars")
+        new = _cut(small.where("a <> b").distinct(), "stars")
+        _drop(at)
+        at = new
         now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return at.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def entity_clusters(entries: DataFrame) -> DataFrame:
