@@ -78,20 +78,16 @@ def test_validation_of_candidates(spark):
     assert (rows["peeling_chain"]["recall"], rows["peeling_chain"]["scenarios"]) == (0.0, 0)
 
 
-def test_rounds_leave_no_tables(spark, tmp_path):
+def test_rounds_leave_no_tables(spark, tmp_path, monkeypatch):
     from chainsift.operators import graphs as G
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        pairs = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
-        assert {r["label"] for r in G.connected(pairs).collect()} == {0}
-        assert len(list((tmp_path / "chainsift").glob("stars-*"))) == 1
-        weighted = spark.createDataFrame([(f"{a}", f"{b}", 1) for a, b in [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)]], "a string, b string, weight long")
-        assert len({r["community"] for r in D.louvain(weighted).collect()}) == 2
-        left = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "chainsift").iterdir())
-        assert left == ["louvain", "stars"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(G, "shared_folder", lambda _: f"file://{tmp_path}")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    assert {r["label"] for r in G.connected(pairs).collect()} == {0}
+    assert len(list((tmp_path / "chainsift").glob("stars-*"))) == 1
+    weighted = spark.createDataFrame([(f"{a}", f"{b}", 1) for a, b in [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)]], "a string, b string, weight long")
+    assert len({r["community"] for r in D.louvain(weighted).collect()}) == 2
+    assert sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "chainsift").iterdir()) == ["louvain", "stars"]
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():
