@@ -87,3 +87,12 @@ def test_words_come_from_names(spark):
     assert C.readable("change_output_ratio") == "ratio of change output" and C.readable("in_sat") == "in satoshi" and C.readable("unique_asn_count") == "count of unique asn"
     df = spark.createDataFrame([("in_sat", 1.0), ("wallets", -2.0), ("other", 0.0)], "f string, e double")
     assert [r[0] for r in df.select(C.explanation(F.col("f"), F.col("e"), ["in_sat", "wallets"])).collect()] == ["in satoshi above usual", "wallets below usual", "other as usual"]
+
+
+def test_taint_is_rounded_like_sql(spark):
+    """0.181 * 0.85 prints as 0.15385 and 0.123 * 0.85 as 0.10454999999999999: times 10,000 they are below and at the half."""
+    got = {}
+    for k in (181, 123):
+        entries = spark.createDataFrame([(1, None, 1, "in", 0, "S", 1000), (1, None, 1, "out", 0, "A", k), (1, None, 1, "out", 1, "B", 1000 - k)], "txid long, ts timestamp, scenario long, side string, idx int, address string, sat long")
+        got[k] = {r["address"]: r["taint"] for r in G.taint(entries, spark.createDataFrame([("S",)], "address string"), max_depth=1).collect()}["A"]
+    assert got == {181: 0.1538, 123: 0.1046}
