@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chainsift.functions.columns import rounded
 from chainsift.operators import detect as D
 from chainsift.operators import features as E
 from chainsift.operators import graphs as G
@@ -195,7 +196,7 @@ def mixing_candidates(t: Tables):
 
 
 def _rounded(df, places: int = 6):
-    return df.select(*[F.round(c, places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    return df.select(*[rounded(F.col(c), places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 _AMOUNT = """, per AS (SELECT scenario, txid, ts, coalesce(sum(sat) FILTER (side = 'in'), 0) / 1e8 AS i, coalesce(sum(sat) FILTER (side = 'out'), 0) / 1e8 AS o FROM entry GROUP BY 1, 2, 3),
