@@ -96,3 +96,18 @@ def test_taint_is_rounded_like_sql(spark):
         entries = spark.createDataFrame([(1, None, 1, "in", 0, "S", 1000), (1, None, 1, "out", 0, "A", k), (1, None, 1, "out", 1, "B", 1000 - k)], "txid long, ts timestamp, scenario long, side string, idx int, address string, sat long")
         got[k] = {r["address"]: r["taint"] for r in G.taint(entries, spark.createDataFrame([("S",)], "address string"), max_depth=1).collect()}["A"]
     assert got == {181: 0.1538, 123: 0.1046}
+
+
+def test_sets_that_share_all_members_but_hold_few(spark):
+    """Many equal sets over a few members, as relays of few networks: pairs grow with the different sets, and those without all marks never leave the join."""
+    rng = random.Random(5)
+    sets = {k: frozenset(rng.sample(range(12), rng.randint(1, 4))) for k in range(3000)} | {5000: frozenset(range(300, 700)), 5001: frozenset(range(300, 699))}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s], "set_id long, member long").repartition(4)
+    kinds = {}
+    for k, s in sorted(sets.items()):
+        kinds.setdefault(s, k)
+    want = sorted(k for s, k in kinds.items() if not any(s < o for o in kinds))
+    found = J.maximal_sets(df)
+    assert sorted(r[0] for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "& w0" in line for line in plan.splitlines())
