@@ -70,3 +70,77 @@ def test_a_timer_lets_keys_go(spark, tmp_path):
     # a's first rows are final before its second ones come, which then count alone
     assert [(r["relays"], r["final"]) for r in seen if r["key"] == "a"][:3] == [(1, False), (1, True), (1, False)]
     assert any(r["key"] == "b" and r["final"] for r in seen)
+
+
+class Kept:
+    """A bucket's lists and timers in memory, with a count of the calls."""
+
+    def __init__(self):
+        self.lists, self.timers, self.calls = {}, set(), 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        outer = self
+
+        class State:
+            def get(self):
+                outer.calls += 1
+                return iter(list(outer.lists.get(name, [])))
+
+            def put(self, rows):
+                outer.calls += 1
+                outer.lists[name] = list(rows)
+
+            def appendList(self, rows):  # noqa: N802
+                outer.calls += 1
+                outer.lists.setdefault(name, []).extend(rows)
+
+            def clear(self):
+                outer.calls += 1
+                outer.lists.pop(name, None)
+
+        return State()
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(ms)
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return iter(set(self.timers))
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_calls_to_the_state_do_not_grow_with_keys():
+    import pandas as pd
+
+    held, matcher = Kept(), S.Matcher(600.0, 10.0)
+    matcher.init(held)
+    rows = [(f"k{k}", block, k * 1_000_000, 1.0 if block else None, None if block else "10.0.0.1") for k in range(2000) for block in (True, False, True)]
+    batch = pd.DataFrame(rows, columns=["key", "is_block", "us", "fact", "relay_ip"])
+    found = pd.concat(matcher.handleInputRows((0,), iter([batch[:3000], batch[3000:]]), Now(0)))
+    assert len(found) == 2000 and set(found["status"]) == {"MATCHED"} and set(found["relays"]) == {1}
+    assert held.calls < 20 and held.timers == {10_000}
+    # the keys whose time has come go with a final reading, the others stay and a timer waits for the first of them
+    gone = pd.concat(matcher.handleExpiredTimer((0,), Now(10_000 + 5_000), None))
+    assert set(gone["key"]) == {f"k{k}" for k in range(6)} and gone["final"].all()
+    assert held.timers == {10_000 + 6_000} and len(held.lists["blocks"]) == len(held.lists["relays"]) == 1994
+    # one that comes again starts anew; a conflict with rows that are still kept is seen
+    again = pd.DataFrame([("k0", True, 20_000_000, 1.0, None), ("k9", True, 9_000_000, 2.0, None)], columns=batch.columns)
+    found = pd.concat(matcher.handleInputRows((0,), iter([again]), Now(15_000))).set_index("key")
+    assert (found.loc["k0", "status"], found.loc["k9", "status"]) == ("LEDGER_ONLY", "CONFLICTING")
+
+
+def test_delays_are_rounded_as_sql_has_them():
+    assert S.reading("k", {(0, 1.0)}, [(144_588_601_500, "10.0.0.1")], 1.0)["delta_s"] == -144588.602
+    assert S.reading("k", {(57_642_399_500, 1.0)}, [(0, "10.0.0.1")], 1.0)["delta_s"] == 57642.4
