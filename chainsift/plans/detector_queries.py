@@ -33,7 +33,7 @@ def peel_tx(t: Tables):
 
 @query(f", {_PEEL}, {_hop()} SELECT txid, next FROM hop")
 def peel_hops(t: Tables):
-    return D.peel_hops(t.entries, D.peel_transactions(t.entries), DAYS)
+    return D.peel_hops(t.entries, G._cut(D.peel_transactions(t.entries), "peels"), DAYS)
 
 
 _CHAIN = """ch AS (SELECT txid AS chain, txid, 0 AS pos FROM peel WHERE two_rows UNION ALL SELECT chain, next, pos + 1 FROM ch JOIN hop USING (txid)),
@@ -62,7 +62,7 @@ def ev_peel(t: Tables):
 def chain_gaps(t: Tables):
     from chainsift.functions.columns import seconds_between
 
-    peels = D.peel_transactions(t.entries)
+    peels = G._cut(D.peel_transactions(t.entries), "peels")
     ts = peels.select(F.col("txid").alias("next"), F.col("ts").alias("next_ts"))
     return D.peel_hops(t.entries, peels, DAYS).join(peels.select("txid", "ts"), "txid").join(ts, "next").select("txid", "next", seconds_between(F.col("next_ts"), F.col("ts")).alias("gap_s"))
 
