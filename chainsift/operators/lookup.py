@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from chainsift.functions.columns import seconds_between
 
+from .graphs import _cut
+
 
 def transactions(per_tx: DataFrame, tx: DataFrame, telemetry: DataFrame) -> DataFrame:
     """Each transaction with its telemetry; defaults where none was observed, and a flag that says so."""
@@ -63,12 +65,13 @@ def resolve_scenario(targets: DataFrame, tx: DataFrame, entries: DataFrame, alia
         q.join(aliases.select(F.col("alias").alias("q"), "scenario").join(ids, "scenario", "left_semi"), "q"),
         q.join(of_tx, "q"),
         q.join(hashes.select(F.col("hash").alias("q"), "txid").join(of_tx.select("txid", "scenario"), "txid"), "q"),
-        q.join(entries.select(F.col("address").alias("q"), "scenario").distinct(), "q"),
+        q.join(entries.select(F.col("address").alias("q"), "scenario"), "q"),
     ]
     exact = [d.select("query", "scenario", F.lit(k).alias("p")) for k, d in enumerate(steps)]
-    found = reduce(DataFrame.unionByName, exact)
+    found = _cut(reduce(DataFrame.unionByName, exact), "exact")  # four parts ask for it
     low = F.substring(F.lower("q"), 1, longest)
     left = q.join(found.select("query").distinct(), "query", "left_anti").select("query", low.alias("low"), F.regexp_replace(low, marks, "").alias("clean")).where("low <> ''")
+    left = _cut(left, "unanswered")
     parts = ids.select("scenario", F.explode(substrings(F.lower("sid"))).alias("part"))
     holds = left.select("query", F.explode(F.array_distinct(F.array("low", "clean"))).alias("part")).where("part <> ''").join(parts, "part").select("query", "scenario", F.lit(len(steps)).alias("p"))
     held = left.select("query", F.explode(substrings(F.col("low"))).alias("sid")).join(ids.withColumn("sid", F.lower("sid")), "sid").select("query", "scenario", F.lit(len(steps)).alias("p"))

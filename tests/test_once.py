@@ -5,6 +5,7 @@ import datetime as dt
 from chainsift.operators import detect as D
 from chainsift.operators import graphs as G
 from chainsift.operators import joins as J
+from chainsift.operators import lookup as L
 from chainsift.sources import uploads as U
 from pyspark.sql import functions as F
 
@@ -83,3 +84,13 @@ def test_an_export_computes_its_nodes_once(spark, tmp_path):
     U.export_graph(nodes, edges, edges, f"{tmp_path}/out")
     assert seen.value == 10
     assert [tuple(r) for r in spark.read.schema("nodes long, edges long").json(f"{tmp_path}/out/metadata").collect()] == [(10, 7)]
+
+
+def test_lookups_write_their_exact_steps(spark):
+    e = ledger(spark, 10)
+    tx = e.select("txid", "ts", "scenario").distinct()
+    texts = spark.createDataFrame([("w3",), ("s2",), ("xs1x",), ("s",)], "query string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    found = L.resolve_scenario(texts, tx, e, none("alias string, scenario long"), none("hash string, txid long"), none("prefix string, scenario long"))
+    assert "address" not in plan(found)  # entries are not read again for the steps by substrings
+    assert {tuple(r) for r in found.collect()} == {("w3", 0), ("s2", 2), ("xs1x", 1), ("s", 0)}
