@@ -88,7 +88,7 @@ def test_an_export_computes_its_nodes_once(spark, tmp_path):
 
 def test_lookups_write_their_exact_steps(spark):
     e = ledger(spark, 10)
-    tx = e.select("txid", "ts", "scenario").distinct()
+    tx = spark.createDataFrame([(k, START, k % 5) for k in range(10)], "txid long, ts timestamp_ntz, scenario long")
     texts = spark.createDataFrame([("w3",), ("s2",), ("xs1x",), ("s",)], "query string")
     none = lambda schema: spark.createDataFrame([], schema)
     found = L.resolve_scenario(texts, tx, e, none("alias string, scenario long"), none("hash string, txid long"), none("prefix string, scenario long"))
