@@ -1,11 +1,14 @@
 """What is computed once: walks, shapes of transactions and exports do not compute or shuffle their input again for each part."""
 
 import datetime as dt
+from collections import Counter
 
+from chainsift.operators import communities as K
 from chainsift.operators import detect as D
 from chainsift.operators import graphs as G
 from chainsift.operators import joins as J
 from chainsift.operators import lookup as L
+from chainsift.plans.catalog import queries
 from chainsift.sources import uploads as U
 from pyspark.sql import functions as F
 
@@ -94,3 +97,20 @@ def test_lookups_write_their_exact_steps(spark):
     found = L.resolve_scenario(texts, tx, e, none("alias string, scenario long"), none("hash string, txid long"), none("prefix string, scenario long"))
     assert "address" not in plan(found)  # entries are not read again for the steps by substrings
     assert {tuple(r) for r in found.collect()} == {("w3", 0), ("s2", 2), ("xs1x", 1), ("s", 0)}
+
+
+def test_communities_of_small_groups_leave_their_task_finished(spark):
+    # more groups than an Arrow batch has rows, each a pair beside a triangle, with parallel edges
+    names = [("a", "b", 1.0), ("b", "a", 0.5), ("p", "q", 1.0), ("q", "r", 1.0), ("r", "p", 1.0)]
+    rows = [(g, *e) for g in range(4_000) for e in names]
+    found = K.greedy_communities(spark.createDataFrame(rows, "group long, a string, b string, weight double"))
+    assert "FlatMapGroups" not in plan(found) and plan(found).count("Exchange hashpartitioning") <= 1
+    want = {"a": 2, "b": 2, "p": 1, "q": 1, "r": 1}
+    got = found.collect()
+    assert Counter((r["node"], r["community"]) for r in got) == dict.fromkeys(want.items(), 4_000)
+    assert {r["modularity"] for r in got} == {round(1 - (1.5 / 4.5) ** 2 - (3 / 4.5) ** 2, 9)}
+
+
+def test_modularity_by_transaction_reads_lines_once_for_wallets_and_once_for_relays(spark):
+    found = queries()["modularity_by_transaction"](spark, "/root/testdata/sf0.001")
+    assert plan(found).count("lineitem.parquet") <= 2
