@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, drop_table, write_table
 from .tokens import slices, tokenizer
 
+#: Bytes of text that are encoded at once: what a task holds besides its words and one batch is a few times this.
+SLICE = 1 << 19
 #: Pieces that a worker ranks on its own, about.
 PER_WORKER = 20_000
 
@@ -66,7 +68,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         for batch in batches:
-            for at, n in slices(batch.column("text")):
+            for at, n in slices(batch.column("text"), SLICE):
                 part = batch.slice(at, n)
                 ids, places = tok.encode_array(part.column("text"), end_id)
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
@@ -77,6 +79,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                 spans = [raw[x:y] for x, y in zip(lo.tolist(), (lo + 4 * length).tolist())]
                 found = (part.column("doc_id").take(pa.array(doc)), start, length, list(map(zlib.crc32, spans)), totals[doc], k, list(map(bytes, spans)) if with_ids else pa.nulls(len(doc)))
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if isinstance(v, list) else v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v).cast(f.type) for v, f in zip(found, kind)], schema=kind)
+            pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its heap
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, ids binary")
     if not with_ids:
