@@ -25,7 +25,7 @@ from .source_queries import _folder
   UNION ALL SELECT t.scenario, 'tx:' || t.txid, 'transaction', 1, t.ts, t.ts, cluster, false, coalesce(out_sat, 0), CASE WHEN pattern_type <> 'normal' THEN upper(pattern_type) END FROM tx t LEFT JOIN sums s ON s.txid = t.txid LEFT JOIN fi ON fi.txid = t.txid LEFT JOIN cluster c ON c.address = fi.address LEFT JOIN label l ON l.scenario = t.scenario
   UNION ALL SELECT scenario, 'ip:' || relay_ip, 'ip', count(*), min(relay_ts), max(relay_ts), NULL, false, NULL, arg_min(node_type, txid) FROM telemetry JOIN tx USING (txid) GROUP BY scenario, relay_ip""")
 def scenario_graph(t: Tables):
-    return G.scenario_graph(t.entries, t.tx, t.telemetry, t.clusters, t.labels, 12)
+    return G.scenario_graph(t.entries, t.tx, t.telemetry, None, t.labels, 12)
 
 
 @query(""", s AS (SELECT min(src) AS a FROM transfer), f AS (SELECT DISTINCT src, dst FROM transfer WHERE src <> dst), l1 AS (SELECT DISTINCT dst AS w FROM f, s WHERE src = a), z AS (SELECT max(dst) AS z FROM f JOIN l1 ON src = w, s WHERE dst <> a),

@@ -114,3 +114,19 @@ def test_communities_of_small_groups_leave_their_task_finished(spark):
 def test_modularity_by_transaction_reads_lines_once_for_wallets_and_once_for_relays(spark):
     found = queries()["modularity_by_transaction"](spark, "/root/testdata/sf0.001")
     assert plan(found).count("lineitem.parquet") <= 2
+
+
+def test_a_scenario_graph_reads_its_lines_once(spark):
+    found = queries()["scenario_graph"](spark, "/root/testdata/sf0.001")
+    assert "lineitem.parquet" not in plan(found)
+    # clusters that come from outside give the same; rows that come again, without transaction or without entries, count as they do in joins
+    e = ledger(spark).unionByName(spark.createDataFrame([(None, START, 1, "in", 0, "w1", 5), (None, START, 1, "in", 1, "w9", 5), (99, START, 2, "in", 0, None, 7)], ledger(spark, 1).schema))
+    tx = spark.createDataFrame([*((k, START, k % 5) for k in [*range(1, 61), 7]), (None, START, 0)], "txid long, ts timestamp_ntz, scenario long")
+    relays = spark.createDataFrame([(k, START + dt.timedelta(seconds=k), f"10.0.0.{k % 3}", "vpn_proxy" if k % 2 else "mobile") for k in [7, 8, 8, 9, 200]], "txid long, relay_ts timestamp_ntz, relay_ip string, node_type string")
+    labels = spark.createDataFrame([(k, "layering" if k else "normal") for k in range(5)], "scenario long, pattern_type string")
+    graph, other = (G.scenario_graph(e, tx, relays, c, labels, 3).collect() for c in (None, G.entity_clusters(e)))
+    assert Counter(graph) == Counter(other)
+    got = {(r["scenario"], r["id"]): (r["tx_count"], r["cluster"], r["is_exchange"], r["amount_sat"], r["tag"]) for r in graph}
+    assert got[(2, "tx:7")] == (1, "w7", False, 900, "LAYERING") and sum(r["id"] == "tx:7" for r in graph) == 2
+    assert got[(1, "w:w1")] == (3, "w1", False, None, "S1") and got[(1, "w:w9")][1] == "w9" and got[(4, "w:w12")] == (4, "w12", True, None, "LICIT_EXCHANGE")
+    assert got[(2, "ip:10.0.0.1")] == (2, None, False, None, "vpn_proxy") and got[(3, "ip:10.0.0.2")][0] == 2 and (0, "tx:60") in got and (0, "tx:0") not in got
