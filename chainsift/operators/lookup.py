@@ -37,6 +37,11 @@ def substrings(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda k: F.substring(text, a, k)))))
 
 
+def pieces(text: Column, size: Column) -> Column:
+    """All distinct substrings of ``size`` characters, in one pass along the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1)))
+
+
 def search(queries: DataFrame, tx: DataFrame, entries: DataFrame, telemetry: DataFrame, limit: int = 20) -> DataFrame:
     """For each query: the transaction, else the wallet, else the scenario of that id, else IPs and ASNs that contain it; at most ``limit`` rows each.
 
@@ -51,12 +56,12 @@ def search(queries: DataFrame, tx: DataFrame, entries: DataFrame, telemetry: Dat
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("id"))).where(F.col("rn") <= limit).drop("rn")
 
 
-def resolve_scenario(targets: DataFrame, tx: DataFrame, entries: DataFrame, aliases: DataFrame, hashes: DataFrame, prefixes: DataFrame, marks: str = "sample_|live_|test_", longest: int = 64) -> DataFrame:
+def resolve_scenario(targets: DataFrame, tx: DataFrame, entries: DataFrame, aliases: DataFrame, hashes: DataFrame, prefixes: DataFrame, marks: str = "sample_|live_|test_") -> DataFrame:
     """(query, scenario), by the first that answers: scenario id, alias (alias, scenario), transaction, hash (hash, txid), address, a scenario id
     that holds the query (as it is or without ``marks``) or is held by it, and a known prefix (prefix, scenario) of the query.
 
-    Of several scenarios the lowest counts. Queries are cut to ``longest`` characters for the two substring steps, which are equi-joins on
-    the substrings of scenario ids and of queries; only queries that nothing before answers take part in them."""
+    Of several scenarios the lowest counts. The two substring steps are equi-joins on the substrings of scenario ids, and on those of whole queries that
+    are as long as some id; only queries that nothing before answers take part in them."""
     q = targets.select("query", F.regexp_replace("query", "^(TX:|w:|tx:)", "").alias("q")).distinct()
     ids = tx.select("scenario").distinct().withColumn("sid", F.concat(F.lit("s"), F.col("scenario")))
     of_tx = tx.select("txid", F.col("txid").cast("string").alias("q"), "scenario")
@@ -69,12 +74,14 @@ def resolve_scenario(targets: DataFrame, tx: DataFrame, entries: DataFrame, alia
     ]
     exact = [d.select("query", "scenario", F.lit(k).alias("p")) for k, d in enumerate(steps)]
     found = _cut(reduce(DataFrame.unionByName, exact), "exact")  # four parts ask for it
-    low = F.substring(F.lower("q"), 1, longest)
+    low = F.lower("q")
     left = q.join(found.select("query").distinct(), "query", "left_anti").select("query", low.alias("low"), F.regexp_replace(low, marks, "").alias("clean")).where("low <> ''")
     left = _cut(left, "unanswered")
     parts = ids.select("scenario", F.explode(substrings(F.lower("sid"))).alias("part"))
     holds = left.select("query", F.explode(F.array_distinct(F.array("low", "clean"))).alias("part")).where("part <> ''").join(parts, "part").select("query", "scenario", F.lit(len(steps)).alias("p"))
-    held = left.select("query", F.explode(substrings(F.col("low"))).alias("sid")).join(ids.withColumn("sid", F.lower("sid")), "sid").select("query", "scenario", F.lit(len(steps)).alias("p"))
+    sizes = ids.select(F.char_length(F.lower("sid")).alias("k")).distinct()  # a row for each length of an id
+    held = left.crossJoin(F.broadcast(sizes)).select("query", F.explode(pieces(F.col("low"), F.col("k"))).alias("sid"))
+    held = held.join(ids.withColumn("sid", F.lower("sid")), "sid").select("query", "scenario", F.lit(len(steps)).alias("p"))
     begins = left.select("query", F.explode(F.array_distinct(F.array("low", "clean"))).alias("text"))
     begins = begins.join(F.broadcast(prefixes), F.col("text").startswith(F.col("prefix"))).select("query", "scenario", F.lit(len(steps) + 1).alias("p"))  # a short fixed list
     both = found.unionByName(holds).unionByName(held).unionByName(begins)

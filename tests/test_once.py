@@ -99,6 +99,17 @@ def test_lookups_write_their_exact_steps(spark):
     assert {tuple(r) for r in found.collect()} == {("w3", 0), ("s2", 2), ("xs1x", 1), ("s", 0)}
 
 
+def test_a_scenario_is_looked_for_in_the_whole_text(spark):
+    tx = spark.createDataFrame([(k, START, k) for k in (2, 11, 305)], "txid long, ts timestamp_ntz, scenario long")
+    long = "x" * 300 + "\n\U0001f600"
+    texts = spark.createDataFrame([(long + "s305" + "y" * 9,), (long + "S11",), (long,), ("s2" + long + "s11",), ("s" * 64 + "11",)], "query string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    prefixes = spark.createDataFrame([("s" * 60 + "k" * 9, 2), ("s" * 64 + "k", 305)], "prefix string, scenario long")
+    more = texts.unionByName(spark.createDataFrame([("s" * 60 + "k" * 10,), ("s" * 64 + "kk",)], "query string"))
+    found = L.resolve_scenario(more, tx, ledger(spark, 2), none("alias string, scenario long"), none("hash string, txid long"), prefixes)
+    assert {tuple(r) for r in found.collect()} == {(long + "s305" + "y" * 9, 305), (long + "S11", 11), ("s2" + long + "s11", 2), ("s" * 64 + "11", 11), ("s" * 60 + "k" * 10, 2), ("s" * 64 + "kk", 305)}
+
+
 def test_communities_of_small_groups_leave_their_task_finished(spark):
     # more groups than an Arrow batch has rows, each a pair beside a triangle, with parallel edges
     names = [("a", "b", 1.0), ("b", "a", 0.5), ("p", "q", 1.0), ("q", "r", 1.0), ("r", "p", 1.0)]
