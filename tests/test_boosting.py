@@ -11,6 +11,7 @@ from chainsift.operators import detect as D
 from chainsift.operators import models as M
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.sql import functions as F
 
 NAMES = [f"f{k}" for k in range(6)]
 
@@ -57,6 +58,17 @@ def test_boosting_of_odd_tables(spark):
     assert np.allclose(flat.probabilities(same), 0.5)
 
 
+def test_all_rows_are_learnt_from_and_jobs_give_the_trees_of_one_task(spark):
+    rows = made(spark, 900, 5).withColumn("f5", F.round("f5")).withColumn("f4", F.lit(1.0))
+    one, many = (B.boost_classes(t, NAMES, how=B.Boosting(rows=k, rounds=11, kept=4)) for t, k in ((rows.coalesce(1), 900), (rows.repartition(7), 40)))
+    assert one.classes == many.classes and len(one.rounds) == len(many.rounds) > 4
+    for a, b in zip([t for r in one.rounds for t in r], [t for r in many.rounds for t in r]):
+        assert all(np.array_equal(x, y) for x, y in ((a.feature, b.feature), (a.threshold, b.threshold), (a.value, b.value)))
+    # a class of a few rows among many is seen by any bound
+    few = rows.unionByName(rows.limit(3).withColumn("pattern_type", F.lit("ransomware")).withColumn("scenario", F.col("scenario") + 5_000))
+    assert B.boost_classes(few, NAMES, how=B.Boosting(rows=40, rounds=1)).classes == ["layering", "mixing", "peeling_chain", "ransomware"]
+
+
 def planted(rng, groups, size, inside, across):
     n = groups * size
     return [(a, b, rng.choice([1, 1, 3])) for a, b in combinations(range(n), 2) if rng.random() < (inside if a // size == b // size else across)]
