@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,27 +29,37 @@ def reconcile(blocks: DataFrame, relays: DataFrame, window_s: float = 60.0, rete
     return both.select(F.coalesce("b_key", "r_key").alias("key"), status.alias("status"), "block_ts", "relay_ts", "relay_ip", F.when(status == "MATCHED", delta).alias("delta_s"), F.when(status == "MATCHED", timing).alias("timing"))
 
 
-def conflicts(blocks: DataFrame, retention: str = "1 hour", retention_ms: int = 3_600_000) -> DataFrame:
+def conflicts(blocks: DataFrame, retention: str = "1 hour", retention_ms: int = 3_600_000, buckets: int = 1024) -> DataFrame:
     """(key, rows, variants, status) updates of a stream (key, fact, block_ts): equal repeats are ignored, differing ones are CONFLICTING.
 
-    The state of a key holds its distinct facts and goes once the watermark is ``retention_ms`` past its last row."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    The state holds a key's distinct facts, which go once the watermark is ``retention_ms`` past its last row. Keys are dealt into ``buckets`` by a hash:
+    a group is a bucket, whose keys are read and written together. The number must stay the same over restarts."""
+
+    def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else {}  # key: rows, facts, until
+        now, last = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
+            for b in batches:
+                for key, fact, ms in zip(b["key"].tolist(), b["fact"].tolist(), b["ms"].tolist()):
+                    own = held.get(key)
+                    if own is None:
+                        own = held[key] = [0, set(), 0]
+                    own[0] += 1
+                    own[1].add(fact)
+                    last[key] = max(last.get(key, 0), 0 if pd.isna(ms) else int(ms))
+            for key, ms in last.items():
+                held[key][2] = max(ms, now) + retention_ms
+        held = {k: v for k, v in held.items() if v[2] > now}
+        if held:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(min(v[2] for v in held.values()))
+        else:
             state.remove()
-            return
-        rows, facts = state.get if state.exists else (0, "")
-        seen, last = set(facts.split("|")) - {""}, 0
-        for b in batches:
-            rows += len(b)
-            seen |= {str(f) for f in b["fact"]}
-            last = max(last, int(b["ms"].max()))
-        state.update((rows, "|".join(sorted(seen))))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + retention_ms)
-        yield pd.DataFrame({"key": [key[0]], "rows": [rows], "variants": [len(seen)], "status": ["CONFLICTING" if len(seen) > 1 else "SINGLE"]})
-
-    timed = blocks.withWatermark("block_ts", retention).withColumn("ms", F.unix_millis("block_ts"))
-    return timed.groupBy("key").applyInPandasWithState(update, "key string, rows long, variants long, status string", "rows long, facts string", "update", GroupStateTimeout.EventTimeTimeout)
+        found = [(k, held[k][0], len(held[k][1])) for k in last]
+        yield pd.DataFrame({"key": [k for k, *_ in found], "rows": [n for _, n, _ in found], "variants": [v for *_, v in found], "status": ["CONFLICTING" if v > 1 else "SINGLE" for *_, v in found]})
+
+    timed = blocks.withWatermark("block_ts", retention).withColumn("ms", F.unix_millis("block_ts")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return timed.groupBy("bucket").applyInPandasWithState(update, "key string, rows long, variants long, status string", "held binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:

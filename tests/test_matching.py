@@ -144,3 +144,23 @@ def test_calls_to_the_state_do_not_grow_with_keys():
 def test_delays_are_rounded_as_sql_has_them():
     assert S.reading("k", {(0, 1.0)}, [(144_588_601_500, "10.0.0.1")], 1.0)["delta_s"] == -144588.602
     assert S.reading("k", {(57_642_399_500, 1.0)}, [(0, "10.0.0.1")], 1.0)["delta_s"] == 57642.4
+
+
+def test_conflicts_are_kept_by_buckets_of_keys(spark, tmp_path):
+    """Four files in turn: repeats, facts that differ in a later file, a fact with a bar in it, and keys that the watermark has let go."""
+    from chainsift.streaming.reconcile import conflicts
+
+    start = dt.datetime(2024, 5, 1)
+    rows = [[(f"k{k}", f"a{k}|b", start + dt.timedelta(seconds=k)) for k in range(200) for _ in range(2)], [("k3", "c", start), ("k7", "a7|b", start)], [("late", "x", start + dt.timedelta(hours=9))], [("late", "x", start + dt.timedelta(hours=9)), ("k3", "c", start + dt.timedelta(hours=9))]]
+    for k, own in enumerate(rows):
+        spark.createDataFrame(own, "key string, fact string, block_ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, fact string, block_ts timestamp").parquet(f"{tmp_path}/in")
+        run = conflicts(stream, buckets=8).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+        run = run.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 8
+    found = spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect()
+    newest = {r["key"]: (r["rows"], r["variants"], r["status"]) for r in found}
+    assert newest.pop("late") == (2, 1, "SINGLE") and newest.pop("k3") == (1, 1, "SINGLE") and newest.pop("k7") == (3, 1, "SINGLE")
+    assert (3, 2, "CONFLICTING") in [(r["rows"], r["variants"], r["status"]) for r in found if r["key"] == "k3"]
+    assert len(newest) == 198 and set(newest.values()) == {(2, 1, "SINGLE")}
