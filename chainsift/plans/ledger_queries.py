@@ -468,7 +468,11 @@ def _reach(source: str) -> str:
   r2 AS (SELECT r1.source, r1.recipient, r1.t0, dst AS sink, min(ts) AS e FROM r1 JOIN st ON r1.sink = src WHERE ts BETWEEN e AND least(e + INTERVAL 100 DAY, t0 + INTERVAL 100 DAY) AND dst <> source AND dst <> recipient AND NOT EXISTS (SELECT 1 FROM r1 k WHERE k.source = r1.source AND k.recipient = r1.recipient AND k.sink = dst) GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"{_reach('')} SELECT source, recipient, sink, CAST(1 AS INT) AS hop, e AS end_ts FROM r1 UNION ALL SELECT source, recipient, sink, 2, e FROM r2")
+_THIRD = """, r3 AS (SELECT r2.source, r2.recipient, r2.t0, dst AS sink, min(ts) AS e FROM r2 JOIN st ON r2.sink = src WHERE ts BETWEEN e AND least(e + INTERVAL 100 DAY, t0 + INTERVAL 100 DAY) AND dst <> source AND dst <> recipient
+  AND NOT EXISTS (SELECT 1 FROM r1 k WHERE k.source = r2.source AND k.recipient = r2.recipient AND k.sink = dst) AND NOT EXISTS (SELECT 1 FROM r2 k WHERE k.source = r2.source AND k.recipient = r2.recipient AND k.sink = dst) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"{_reach('')}{_THIRD} SELECT source, recipient, sink, CAST(1 AS INT) AS hop, e AS end_ts FROM r1 UNION ALL SELECT source, recipient, sink, 2, e FROM r2 UNION ALL SELECT source, recipient, sink, 3, e FROM r3")
 def reach_bfs(t: Tables):
     hubs = t.entries.groupBy("address").agg(F.count("*").alias("n")).where("n > 40").select("address")
-    return G.reach(t.transfers, hubs, 2, 100 * 86400, 100 * 86400)
+    return G.reach(t.transfers, hubs, 3, 100 * 86400, 100 * 86400)

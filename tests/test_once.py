@@ -51,6 +51,11 @@ def test_reach_reads_what_it_wrote(spark):
     assert {tuple(r) for r in found.collect()} == want and want
 
 
+def test_the_query_of_reach_goes_three_hops(spark):
+    found = queries()["reach_bfs"](spark, "/root/testdata/sf0.001").select("hop").distinct().collect()
+    assert {r["hop"] for r in found} == {1, 2, 3}
+
+
 def test_layering_shuffles_pairs_once_and_equals_plain_walks(spark):
     e = ledger(spark)
     found = D.layering_candidates(e, J.wallet_projection(e), 2, 0.5, 4 * 3600, 500, 3)
